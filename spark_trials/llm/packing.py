@@ -18,12 +18,16 @@ are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,44 +38,61 @@ CACHED_WORDS = 300_000
 _coders: dict[str, WordCoder] = {}
 
 
+#: The pre-tokenizer of byte-level BPE files that name none of their own.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_signs() -> dict[str, int]:
+    """The sign that a byte-level vocabulary writes for each byte: printable ones as they are, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def read_byte_bpe(path: str) -> tiktoken.Encoding:
+    """A byte-level BPE file of the tokenizers library. Ids follow the order of the merges, so they are the ranks as well;
+    the strings of special tokens are ordinary text."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    special = {t["content"] for t in model.get("added_tokens", [])}
+    signs = _byte_signs()
+    ranks = {bytes(signs[c] for c in token): id_ for token, id_ in model["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding(os.path.basename(path), pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordCoder:
     """The ids of a byte-level BPE tokenizer file, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer's pre-tokenizer always starts a new piece at a blank that a non-blank follows, so a text can be coded
-    word by word, and words repeat: each is coded once and kept. Texts with other blanks beside a space are coded whole.
-    The kept words are emptied when there are ``CACHED_WORDS``, which bounds memory and changes no result.
+    Its pre-tokenizer always starts a new piece at a blank that a non-blank follows, so a text can be coded word by word,
+    and words repeat: each is coded once and kept. Texts with other blanks beside a space are coded whole. The kept words
+    are emptied when there are ``CACHED_WORDS``, which bounds memory and changes no result.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.code = read_byte_bpe(path).encode_ordinary
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut, whole = [], []
-        for t in texts:
-            first, *rest = t.split(" ")
-            words = [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-            if not t or any(map(_blank_first, rest)) or (not first and not rest):
-                whole.append(t)
-                words = None
-            cut.append(words)
-        new = {w for words in cut if words for w in words if w not in self.known}
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = {w for words in cut if words for w in words}
-        todo = list(new)
-        for lo in range(0, len(todo), 20_000):
-            part = todo[lo : lo + 20_000]
-            self.known.update(zip(part, self._ids(part), strict=True))
-        rest_ids = iter(self._ids(whole)) if whole else iter(())
-        of = self.known.__getitem__
-        return [next(rest_ids) if words is None else b"".join(map(of, words)) for words in cut]
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.code(text)).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        if any(map(_blank_first, rest)):
+            return self._ids(text)
+        words = [" " + w for w in rest]
+        if first:
+            words.append(first)
+        known = self.known
+        new = {w for w in words if w not in known}
+        if len(known) + len(new) > CACHED_WORDS:
+            known.clear()
+            new = set(words)
+        ids = self._ids
+        for w in new:
+            known[w] = ids(w)
+        if first:
+            words = [words.pop(), *words]
+        return b"".join(map(known.__getitem__, words))
 
 
 def _blank_first(word: str) -> bool:
@@ -97,8 +118,8 @@ def pieces(docs: DataFrame, tokenizer: Callable[[], str] | str, *, capacity: int
             for lo in range(0, b.num_rows, step):
                 ids, texts = b.column(0).slice(lo, step).to_pylist(), b.column(1).slice(lo, step).to_pylist()
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for id_, coded in zip(ids, code.encode([t or "" for t in texts]), strict=True):
-                    coded += end
+                for id_, text in zip(ids, texts, strict=True):
+                    coded = code.encode(text or "") + end
                     total = len(coded) // 4
                     start, k = 0, 0
                     size = total % capacity or capacity if total > capacity else total

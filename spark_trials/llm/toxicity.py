@@ -144,7 +144,8 @@ def fit(
         bar = int(fit_rows / there * (1 << 31))
         marks = marks.where(F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 31)) < bar)
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text"))
-    rows = checkpoint(texts.join(marks, "i").select("text", "toxic", (F.pmod(F.xxhash64("i", F.lit("part")), F.lit(4)) > 0).alias("grows")))
+    # about fit_rows rows of two numbers at most, so they go to the texts and the texts stay where they are
+    rows = checkpoint(texts.join(F.broadcast(marks), "i").select("text", "toxic", (F.pmod(F.xxhash64("i", F.lit("part")), F.lit(4)) > 0).alias("grows")))
     counts = {(g, t): n for g, t, n in rows.groupBy("grows", "toxic").count().collect()}
     toxic, total = sum(n for (_, t), n in counts.items() if t), sum(counts.values())
     if any(counts.get((g, t), 0) < 2 for g in (True, False) for t in (0.0, 1.0)):
