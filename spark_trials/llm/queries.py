@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spark_trials.llm import ann, licenses, mixing, packing, simhash, substring_dedup, telephony, toxicity, url_filter
+from spark_trials.llm import ann, licenses, mixing, packing, quality, simhash, substring_dedup, telephony, toxicity, url_filter
 from spark_trials.llm.common import table
 
 URL_RULES = [
@@ -58,12 +58,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.telephony(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_mixing, op3_simhash, op4_toxicity, op5_packing, op6_substring_dedup, op7_ann, op8_license_scan, op10_telephony)
+    f.__name__: f for f in (op1_url_filter, op2_mixing, op3_simhash, op4_toxicity, op5_packing, op6_substring_dedup, op7_ann, op8_license_scan, op9_quality, op10_telephony)
 }
 
 #: Only op1 is plain enough for SQL; the others are tested against brute force.
