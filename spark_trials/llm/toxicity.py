@@ -37,6 +37,8 @@ CAPITAL = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 #: Second-person words of the four languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes tus".split())
 NEAR = 5
+#: A word needs this likelihood ratio to count as telling; by chance one in 50,000 words gets there.
+SURPRISE = 18.0
 #: Lengths of the beginnings of words that the lexicon may hold.
 STEMS = (5, 4)
 NAMES = ("hits_a_word", "log_hits", "weight_a_word", "strongest", "near_you", "you_a_word", "capitals", "capital_words", "bangs", "punctuation", "hidden", "log_words")
@@ -102,7 +104,10 @@ def learn_lexicon(rows: DataFrame, *, size: int = LEXICON_WORDS) -> dict[str, fl
     word = F.explode(F.array_distinct(F.concat(found, *starts)))
     counts = rows.select("toxic", word.alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("t") >= least)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (plain + 1.0))
-    told = counts.withColumn("odds", odds).where("odds > 2").orderBy(F.desc(F.col("odds") * F.sqrt("t")), "w").limit(size)
+    base, t, n = toxic / (toxic + plain), F.col("t"), F.col("n")
+    rest = F.when(n > t, (n - t) * F.log((n - t) / (n * (1 - base)))).otherwise(F.lit(0.0))
+    surprise = 2 * (t * F.log(t / (n * base)) + rest)  # likelihood ratio against a word that tells nothing
+    told = counts.withColumn("odds", odds).where((F.col("odds") > 2) & (surprise > SURPRISE)).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "w").limit(size)
     return {r["w"]: float(r["odds"]) for r in told.select("w", "odds").collect()}
 
 
