@@ -80,7 +80,7 @@ def instant_states(df: DataFrame, column: str) -> tuple[Column, Column]:
     if not isinstance(kind, T.StringType):
         return F.lit(None).cast("timestamp"), F.lit("invalid")
     instant = text_instant(c)
-    plain = F.concat(F.regexp_replace(F.trim(c), r"T(\d\d:\d\d)$", "T$1:00"), F.lit("Z")).try_cast("timestamp")
+    plain = F.regexp_replace(F.trim(c), r"T(\d\d:\d\d)$", "T$1:00").try_cast("timestamp_ntz")
     state = F.when(instant.isNotNull() & _in_range(instant), "ok").when(~has_offset(c) & plain.isNotNull(), "naive").otherwise("invalid")
     return F.when(state == "ok", instant), state
 
