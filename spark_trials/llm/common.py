@@ -14,8 +14,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 _shipped: set[str] = set()
 
 
+#: Rows of a batch that goes to Python, where the session has Spark's own 10,000: texts can be long.
+BATCH_ROWS = 1000
+_OWN_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application (as ``--py-files`` would)."""
+    """Give the executors this package, once for each application (as ``--py-files`` would), and bound what a batch holds."""
+    if spark.conf.get(_OWN_ROWS) == "10000":
+        spark.conf.set(_OWN_ROWS, BATCH_ROWS)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
