@@ -110,10 +110,11 @@ def all_spans(docs: DataFrame, *, words: int, least: int, id_col: str, text_col:
 def repeated(docs: DataFrame, *, words: int = WORDS, least: int = SENTENCES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, cuts): of each document with spans to remove, their places, packed as first * 65536 + number."""
     found = all_spans(docs, words=words, least=least, id_col=id_col, text_col=text_col)
-    often = found.groupBy("span").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("span")
-    # rows that repeat an id and a text hold their spans once
-    again = checkpoint(found.join(often, "span").distinct())
-    head = again.groupBy("span").agg(F.min(F.struct("id", "text_hash", "place")).alias("head"))
+    # Written down, the counted side has an exchange of its own, without which a join's hot span cannot be split.
+    often = checkpoint(found.groupBy("span").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("span"))
+    again = checkpoint(found.join(often, "span"))
+    # rows that repeat an id and a text have the same places, all of them first ones
+    head = checkpoint(again.groupBy("span").agg(F.min(F.struct("id", "text_hash", "place")).alias("head")))
     at = F.struct("id", "text_hash", "place")
     return again.join(head, "span").where(~at.eqNullSafe(F.col("head"))).groupBy("id", "text_hash").agg(F.collect_set("place").alias("cuts"))
 
