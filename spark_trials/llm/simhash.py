@@ -111,7 +111,8 @@ def links(fps: DataFrame, *, distance: int = DISTANCE, blocks: int = BLOCKS, cel
     cells = fps.select("fp", _unary(F.col("fp")).alias("grid")).select(
         "fp", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("grid").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)])).alias("cell")
     )
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written down, the counted side has an exchange of its own, without which a join's hot cell cannot be split.
+    shared = checkpoint(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = cells.join(shared, "cell")
     parts = F.ceil(F.col("n") / float(cell_rows)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")).cast("int")
