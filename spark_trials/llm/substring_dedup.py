@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences. From every sentence on, the fewest consecutive ones that hold ``words`` words (and are
-``sentences`` at least) are a span; its hash is taken over the lower-cased words. Equal hashes anywhere in the corpus are
+A text is cut into sentences. From every sentence on, the fewest consecutive ones that hold ``words`` words are a span (a
+sentence that holds them is one by itself, else passages of two long sentences, both cut at the edges of the passage but
+one, would pass); its hash is taken over the lower-cased words. Equal hashes anywhere in the corpus are
 repeats. The first span, by (doc_id, text, place), stays; all sentences that any other one covers go. A sentence that
 goes has an equal one in an earlier place, so of each repeated passage one copy stays.
 
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from spark_trials.llm.common import checkpoint, fresh, ship
 
-WORDS, SENTENCES = 20, 2
+WORDS, SENTENCES = 20, 1
 BREAK = re.compile(r"\n\s*|(?<=[.!?])[^\S\n]+|[^\S\n](?=[A-ZÀ-ÖØ-Þ])")
 _ODD = 0x9E3779B97F4A7C15
 _PLACES = 1 << 16

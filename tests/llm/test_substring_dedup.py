@@ -64,5 +64,6 @@ def test_spans_are_positions_free(no_docs):
     text = "One two three four five six. Seven eight nine ten eleven twelve thirteen. Fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone."
     a, b = sub.spans(text), sub.spans("Something else before it. " + text)
     assert len(a[0]) == 1 and a[0][0] in b[0]
+    assert len(sub.spans("one two. " + "three " * 25)[0]) == 2 and len(sub.spans("one two. " + "three " * 25, least=2)[0]) == 1
     assert sub.dedup(no_docs).count() == 0
     assert "".join(text[x:y] for x, y in sub.sentences(text)) == text
