@@ -17,7 +17,8 @@ meet pairwise in tasks of their own, so none grows with the cell.
 
 Defined results: a null text or one of blanks has no words and fingerprint zero, linked like any other; under ``width``
 words the whole sequence is the one shingle. Repeated rows share their fingerprint and class. A class is named by its
-least doc_id; null ids are passed over unless a class has no other. An empty table gives an empty result.
+least doc_id; null ids are passed over unless a class has no other. ``one_of_each`` goes by classes and not by their names,
+so classes without ids, or with an id in common, keep a row each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_trials.llm.common import checkpoint, fresh, ship
@@ -58,17 +59,24 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, hashes: bool = False) -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed long; with ``hashes`` also h1 and h2, 128 bits that tell texts apart."""
     ship(docs.sparkSession)
+    more = ["h1", "h2"] if hashes else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1)
             fps = np.fromiter((fingerprint(texts[i].as_py(), width) for i in range(len(texts))), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    at = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[h.alias(n) for h, n in zip(_text_hashes(text), more, strict=False)])
+    return at.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
+
+
+def _text_hashes(text) -> tuple:
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
 
 
 def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -168,6 +176,12 @@ def _edges(signed: np.ndarray, bounds: np.ndarray, distance: int) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
 
+def _roots(fps: DataFrame, distance: int, blocks: int, cell_rows: int) -> DataFrame:
+    """``fps`` (fp, least) with the root of each fingerprint's class."""
+    roots = components(links(fps.select("fp"), distance=distance, blocks=blocks, cell_rows=cell_rows))
+    return fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, *, distance: int = DISTANCE, width: int = WIDTH, blocks: int = BLOCKS, cell_rows: int = CELL_ROWS,
     id_col: str = "doc_id", text_col: str = "text",
@@ -175,19 +189,30 @@ def near_duplicates(
     """One row for each row of ``docs``: doc_id, fp, component_id."""
     marked = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
     fps = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(fps.select("fp"), distance=distance, blocks=blocks, cell_rows=cell_rows))
-    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = _roots(fps, distance, blocks, cell_rows)
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(names, "root").select(F.col("fp").alias("of"), "component_id")
     return marked.join(of, F.col("fp") == F.col("of"), "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one whose id names it; of rows that repeat that id, one."""
-    id_col = options.get("id_col", "doc_id")
+def one_of_each(
+    docs: DataFrame, *, distance: int = DISTANCE, width: int = WIDTH, blocks: int = BLOCKS, cell_rows: int = CELL_ROWS,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each class: the one with the least id (null ids last), of several texts under
+    that id the one with the least hash, of rows that repeat both the one with the least hash of all columns."""
     columns = docs.columns
-    keep, k = fresh(columns, "keep", "k")
-    stay = near_duplicates(docs, **options).select(F.col("component_id").alias(keep)).distinct()
-    met = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(keep)))
-    first = F.row_number().over(Window.partitionBy(keep).orderBy(keep))
-    return met.withColumn(k, first).where(F.col(k) == 1).select(*[F.col(f"`{c}`") for c in columns])
+    *keys, row = fresh(columns, "null", "known", "h1", "h2", "row")
+
+    def key(id_, hashes):
+        return [c.alias(n) for c, n in zip((id_.isNull(), F.coalesce(id_, F.lit(0)), *hashes), keys, strict=True)]
+
+    marked = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, hashes=True))
+    least = F.struct(*key(F.col("doc_id"), (F.col("h1"), F.col("h2"))))
+    fps = checkpoint(marked.groupBy("fp").agg(F.min(least).alias("least")))
+    stay = _roots(fps, distance, blocks, cell_rows).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    # Repeats of a row meet before the exchange, so that no task gets them all.
+    own = key(F.col(f"`{id_col}`").cast("long"), _text_hashes(F.col(f"`{text_col}`").cast("string")))
+    told = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    once = docs.groupBy(*own).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.xxhash64(*told)).alias(row))
+    return once.join(stay, keys).select(*[F.col(row).getField(c).alias(c) for c in columns])

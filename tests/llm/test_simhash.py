@@ -101,3 +101,16 @@ def test_one_of_each(docs, clashing, no_docs):
     assert out.columns == clashing.columns
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == want
     assert simhash.one_of_each(no_docs).count() == 0
+
+
+def test_one_of_each_with_missing_and_shared_ids(spark):
+    """Different texts without ids, or under one id, are classes of their own and all stay; their copies go."""
+    from llm_samples import prose
+
+    rng = random.Random(21)
+    texts = [prose(rng, 60) for _ in range(30)]
+    rows = [(None, t, "a") for t in texts[:20]] + [(7, t, "a") for t in texts[20:]]
+    rows += [(None, texts[0], "b")] * 5 + [(900, texts[1], "a"), (7, texts[25], "a"), (8, texts[26], "a"), (None, texts[27], "a")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(3)).collect()
+    want = [(900 if k == 1 else None if k < 20 else 7, t) for k, t in enumerate(texts)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
