@@ -1,11 +1,15 @@
 """License scans: winnowed fingerprints find candidates, banded alignment reports coverage and spans.
 
 Templates are cut into words; every run of ``GRAM`` words is hashed, and of every ``WINDOW`` neighbouring hashes the least
-is kept: the winnowed fingerprints, in an inverted index from hash to (template, place). A text is winnowed alike, so any
-``GRAM + WINDOW - 1`` words that it shares with a template meet in the index. Each meeting is a diagonal of text against
+is kept: the winnowed fingerprints, in an inverted index from hash to (template, place). All runs of a text are looked up, so
+any ``GRAM + WINDOW - 1`` words that it shares with a template, or all of a template of ``GRAM`` words, meet in the index. Each meeting is a diagonal of text against
 template; meetings of one template at nearby diagonals are one candidate, aligned within a band around them. Words that no
 template has are one symbol without a fingerprint, so a text costs a look-up for each word and little more.
 
+Notices must also hold the words that tell them from others (``TELLING``: version, NC, SA, Lesser, Affero). Of MIT,
+Apache-2.0-header, GPL-3.0-header, BSD-2-Clause and ISC the template is the opening of the text only, or cut: coverage is of
+that part, and a BSD-3-Clause text is reported as BSD-2-Clause.
+
 Defined results: one row for each match of a row of the input whose coverage, the share of the template's words that the
 alignment matches, is ``COVERAGE`` or more. Matches of one template that overlap in a text are one, the best (then the
 first); matches of different templates may overlap. Null and empty texts have none, repeated rows repeat theirs, a text of
@@ -33,6 +37,18 @@ TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "BSD-3-Clause-notice": "Released under the BSD 3-Clause License.",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC0-1.0-notice": "Licensed under CC0 1.0.",
+    "Unlicense-notice": "Released under the Unlicense.",
+    "All-rights-reserved-notice": "All rights reserved.",
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the "
         "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
@@ -58,6 +74,16 @@ TEMPLATES = {
     ),
 }
 
+#: Words that tell a notice from its neighbours; they must stand in the match, side by side.
+TELLING = {
+    "MIT-notice": "mit license", "Apache-2.0-notice": "apache license version 2 0", "GPL-2.0-notice": "gnu general public license version 2",
+    "GPL-3.0-notice": "gnu general public license version 3", "LGPL-2.1-notice": "lesser general public license version 2 1",
+    "LGPL-3.0-notice": "lesser general public license version 3", "AGPL-3.0-notice": "affero general public license version 3",
+    "MPL-2.0-notice": "mozilla public license version 2 0", "BSD-3-Clause-notice": "bsd 3 clause", "CC-BY-4.0-notice": "by 4 0", "CC-BY-SA-4.0-notice": "by sa 4 0",
+    "CC-BY-NC-4.0-notice": "by nc 4 0", "CC-BY-NC-SA-4.0-notice": "by nc sa 4 0", "CC0-1.0-notice": "cc0 1 0", "Unlicense-notice": "unlicense",
+    "All-rights-reserved-notice": "all rights reserved",
+}
+
 
 class Index:
     """The inverted index of the winnowed templates."""
@@ -73,6 +99,12 @@ class Index:
             for at in self.winnow(grams).tolist():
                 self.places.setdefault(int(grams[at]), []).append((k, at))
         self.known = np.array(sorted(self.places), np.uint64)
+        self.telling = [[self.number.get(w, -1) for w in TELLING[n].split()] if templates[n] == TEMPLATES.get(n) and n in TELLING else [] for n in self.names]
+
+    def told(self, k: int, words: np.ndarray) -> bool:
+        """Whether the telling words of template ``k`` stand in ``words`` side by side."""
+        own = self.telling[k]
+        return not own or any(words[i : i + len(own)].tolist() == own for i in range(len(words) - len(own) + 1))
 
     def grams(self, words: np.ndarray) -> np.ndarray:
         """Hashes of runs of words; the largest number where a word is in no template."""
@@ -99,8 +131,7 @@ class Index:
     def candidates(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, least and greatest diagonal) of meetings."""
         grams = self.grams(words)
-        at = self.winnow(grams)
-        at = at[np.isin(grams[at], self.known)]
+        at = np.flatnonzero(np.isin(grams, self.known))  # all of them: a notice of GRAM words has one that winnowing could pass over
         met = sorted((k, place - own) for place in at.tolist() for k, own in self.places[int(grams[place])])
         out: list[tuple[int, int, int]] = []
         for k, diagonal in met:
@@ -155,7 +186,7 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE) -> list[tup
     for k, low, high in index.candidates(words):
         matches, first, last = align(index.templates[k], words, low, high)
         share = matches / len(index.templates[k])
-        if share >= coverage:
+        if share >= coverage and index.told(k, words[first : last + 1]):
             out.setdefault(k, []).append((share, first, last, matches))
     rows = []
     for k, own in sorted(out.items()):

@@ -62,3 +62,18 @@ def test_index_loses_no_long_match():
     for name, text in licenses.TEMPLATES.items():
         found = licenses.scan(f"{prose(rng, 7)} {text} {prose(rng, 9)}", index)
         assert name in {f[0] for f in found}
+
+
+def test_notices_by_their_telling_words():
+    index = licenses.Index(licenses.TEMPLATES)
+    rng = random.Random(9)
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    said = {
+        "All rights reserved.": ["All-rights-reserved-notice"], "Licensed under CC BY 4.0.": ["CC-BY-4.0-notice"], "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0-notice"],
+        "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0-notice"], "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0-notice"], gnu.format("", 2): ["GPL-2.0-notice"],
+        gnu.format("", 3): ["GPL-3.0-notice"], gnu.format("Lesser ", 3): ["LGPL-3.0-notice"], gnu.format("Lesser ", 2.1): ["LGPL-2.1-notice"], gnu.format("Affero ", 3): ["AGPL-3.0-notice"],
+        "Licensed under CC BY-ND 4.0.": [], gnu.format("", 1): [],
+    }
+    for text, want in said.items():
+        for _ in range(5):
+            assert [f[0] for f in licenses.scan(f"{prose(rng, 7)} {text} {prose(rng, 9)}", index)] == want, text
