@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spark_trials.llm.common import checkpoint, fresh, ship
+from spark_trials.llm.common import checkpoint, ship
 
 FIT_ROWS, LEXICON_WORDS, CUT = 40_000, 2_000, 0.7
+KEPT_WORDS, FIT_TASKS = 300_000, 6
 WORD = re.compile(r"[^\W_]+")
-HIDDEN = re.compile(r"[^\W\d_]+(?:[0-9@$*#!|+]+[^\W\d_]+)+")
-CAPITAL = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
+#: Letters parted by digits or signs. Possessive, and tried only where a run of letters starts: linear in any text.
+HIDDEN = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$*#!|+]++[^\W\d_]++)++")
+CAPITAL = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}+\b")
 #: Second-person words of the four languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes tus".split())
 NEAR = 5
@@ -44,17 +46,31 @@ STEMS = (5, 4)
 NAMES = ("hits_a_word", "log_hits", "weight_a_word", "strongest", "near_you", "you_a_word", "capitals", "capital_words", "bangs", "punctuation", "hidden", "log_words")
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
+class Weights(dict):
+    """The weight of a word: its own, or that of its beginning, or 0. Words are kept as they come, up to ``KEPT_WORDS``."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> float:
+        of, (long, short) = self.lexicon.get, STEMS
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        found = self[word] = of(word) or of(word[:long] + "*") or of(word[:short] + "*") or 0.0
+        return found
+
+
+def features(text: str | None, weights: Weights) -> list[float]:
+    """The numbers ``NAMES`` of a text, in time that grows with its length alone."""
     text = text or ""
     if not text:
         return [0.0] * len(NAMES)
     found = WORD.findall(text.lower())
     n = max(1, len(found))
-    of = lexicon.get
-    long, short = STEMS
-    told = [of(w) or of(w[:long] + "*") or of(w[:short] + "*") for w in found]
-    hits = [i for i, x in enumerate(told) if x]
-    weights = [told[i] for i in hits]
+    told = list(map(weights.__getitem__, found))
+    hits = [i for i, x in enumerate(told) if x] if any(told) else []
+    values = [told[i] for i in hits]
     you = [i for i, w in enumerate(found) if w in SECOND_PERSON] if hits else []
     near = 0
     if you and hits:
@@ -68,7 +84,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
         hidden = sum(1 for _ in HIDDEN.finditer(text))
     capitals = len(text) - len(text.translate(_NO_CAPITALS))
     return [
-        len(hits) / n, math.log1p(len(hits)), sum(weights) / n, max(weights, default=0.0), near / n, len(you) / n, capitals / size,
+        len(hits) / n, math.log1p(len(hits)), sum(values) / n, max(values, default=0.0), near / n, len(you) / n, capitals / size,
         sum(1 for _ in CAPITAL.finditer(text)) / n if capitals > 2 else 0.0, text.count("!") / size, sum(map(text.count, ".,;:?\"'()-")) / size, hidden / n, math.log1p(len(found)),
     ]
 
@@ -76,23 +92,20 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
 _NO_CAPITALS = {c: None for c in range(65, 91)}
 
 
-def with_features(docs: DataFrame, columns: list[str], text: str, lexicon: dict[str, float]) -> DataFrame:
-    """``columns`` of ``docs`` and ``features``, an array of doubles. Of the text only the features go on."""
-    ship(docs.sparkSession)
-    words = docs.sparkSession.sparkContext.broadcast(lexicon)
+def with_features(docs: DataFrame, text: str, lexicon: dict[str, float]) -> DataFrame:
+    """``docs`` and one more column, ``features``, a vector. Only texts go to Python; the other columns wait beside it."""
+    spark = docs.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(lexicon)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = words.value
-        for b in batches:
-            texts = b.column(len(columns))
-            flat = [x for i in range(len(texts)) for x in features(texts[i].as_py(), own)]
-            offsets = np.arange(len(texts) + 1, dtype=np.int32) * len(NAMES)
-            rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], rows], names=[*columns, "features"])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights = Weights(sent.value)
+        for texts in batches:
+            flat = [x for i in range(len(texts)) for x in features(texts[i].as_py(), weights)]
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(NAMES)), pa.array(flat, pa.float64()))
 
-    picked = docs.select(*columns, F.col(text).cast("string").alias("text"))
-    schema = picked.select(*columns).schema.add("features", T.ArrayType(T.DoubleType()))
-    return picked.mapInArrow(run, schema)
+    measure = F.arrow_udf(run, T.ArrayType(T.DoubleType())).asNondeterministic()  # so that no plan measures twice
+    return docs.withColumn("features", array_to_vector(measure(F.col(text).cast("string"))))
 
 
 def learn_lexicon(rows: DataFrame, *, size: int = LEXICON_WORDS) -> dict[str, float]:
@@ -126,9 +139,12 @@ class Model:
         at = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         if self.trees is None:
             return at.select("doc_id", F.lit(float(self.constant)).alias("score"))
-        rows = with_features(at, ["doc_id"], "text", self.lexicon).select("doc_id", array_to_vector("features").alias("features"))
-        margin = _margin(self.trees.transform(rows))
-        return self.curve.transform(margin).select("doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))).alias("score"))
+        return self.scored(with_features(at, "text", self.lexicon).drop("text")).select("doc_id", "score")
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``features`` get ``score``."""
+        made = self.curve.transform(_margin(self.trees.transform(rows)))
+        return made.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))))
 
 
 def _margin(frame: DataFrame) -> DataFrame:
@@ -156,8 +172,8 @@ def fit(
     if any(counts.get((g, t), 0) < 2 for g in (True, False) for t in (0.0, 1.0)):
         return Model({}, None, None, toxic / total if total else 0.0)
     lexicon = learn_lexicon(rows.where("grows").select("text", "toxic"), size=lexicon_words)
-    made = with_features(rows, ["toxic", "grows"], "text", lexicon)
-    ready = checkpoint(made.select("toxic", "grows", array_to_vector("features").alias("features")).coalesce(6))
+    # at most fit_rows short vectors, a few MB: dealt evenly to few tasks, which the many small passes of the fit then read
+    ready = checkpoint(with_features(rows, "text", lexicon).select("toxic", "grows", "features").repartition(FIT_TASKS))
     trees = GBTClassifier(labelCol="toxic", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=32).fit(ready.where("grows"))
     margins = _margin(trees.transform(ready.where("not grows")))
     curve = IsotonicRegression(labelCol="toxic", featuresCol="margin", predictionCol="score").fit(margins.select("toxic", "margin"))
@@ -171,18 +187,16 @@ def judge(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, id_col: str =
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, learn_from: DataFrame | None = None, cut: float = CUT, **options) -> DataFrame:
-    """The rows of ``docs`` whose score is under ``cut``, all columns as they are."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    """The rows of ``docs`` whose score is under ``cut``, all columns as they are.
+
+    A filter: rows are scored where they are read, and nothing is joined or shuffled but the rows of the fit.
+    """
+    text_col = options.get("text_col", "text")
     model = fit(learn_from if learn_from is not None else docs, labels, **options)
     columns = docs.columns
-    (bad,) = fresh(columns, "bad")
     if model.trees is None:
         return docs if model.constant < cut else docs.limit(0)
-    # A row is known by its id and its text's hash: rows alike in both have the same score.
-    i, h = fresh(columns, "i", "h")
-    key = [F.col(id_col).cast("long").alias(i), F.xxhash64(F.col(text_col).cast("string")).alias(h)]
-    rows = with_features(docs.select(*key, F.col(text_col).alias("text")), [i, h], "text", model.lexicon)
-    margin = _margin(model.trees.transform(rows.select(i, h, array_to_vector("features").alias("features"))))
-    toxic = model.curve.transform(margin).where(F.col("score") >= cut).select(F.col(i).alias(bad), F.col(h).alias(f"{bad}h")).distinct()
-    met = F.col(id_col).cast("long").eqNullSafe(F.col(bad)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(f"{bad}h"))
-    return docs.join(toxic, met, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    # One struct holds the row, so that no column of it meets a name of the model.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    kept = model.scored(with_features(rows, "text", model.lexicon)).where(F.col("score") < cut)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in columns])

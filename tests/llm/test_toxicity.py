@@ -1,4 +1,6 @@
+import math
 import random
+import time
 import zlib
 
 import pytest
@@ -59,8 +61,66 @@ def test_without_both_labels(marked, no_docs):
     assert toxicity.without_toxic(docs, labels.limit(0)).count() == len(rows)
 
 
-def test_features():
-    lexicon = {"lump": 2.0, "grobi*": 3.0}
-    found = dict(zip(toxicity.NAMES, toxicity.features("You LUMP! gr0b1an grobianisch", lexicon), strict=True))
-    assert found["hits_a_word"] == 2 / 4 and found["strongest"] == 3.0 and found["near_you"] == 2 / 4 and found["hidden"] == 1 / 4
-    assert toxicity.features(None, lexicon) == toxicity.features("", lexicon) == [0.0] * len(toxicity.NAMES)
+def slow_features(text, lexicon):
+    """The twelve numbers letter by letter, without patterns."""
+    words, word = [], ""
+    for c in text.lower() + " ":
+        if c.isalnum():
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    weight = [next((lexicon[k] for k in (w, w[:5] + "*", w[:4] + "*") if lexicon.get(k)), 0.0) for w in words]
+    hits = [k for k, x in enumerate(weight) if x]
+    you = [k for k, w in enumerate(words) if w in toxicity.SECOND_PERSON] if hits else []
+    near = sum(any(abs(h - y) <= 5 for y in you) for h in hits)
+    letter, joint = (lambda c: c.isalnum() and not c.isdecimal()), set("0123456789@$*#!|+")
+    hidden = k = 0
+    while k < len(text):
+        if not letter(text[k]):
+            k += 1
+            continue
+        parts = 0
+        while k < len(text) and letter(text[k]):
+            k += 1
+        while True:
+            j = k
+            while j < len(text) and text[j] in joint:
+                j += 1
+            if j == k or j == len(text) or not letter(text[j]):
+                break
+            while j < len(text) and letter(text[j]):
+                j += 1
+            k, parts = j, parts + 1
+        hidden += parts > 0
+    big = {chr(c) for r in ((65, 91), (0xC0, 0xD7), (0xD8, 0xDF)) for c in range(*r)}
+    runs, k = 0, 0
+    while k < len(text):
+        j = k
+        while j < len(text) and text[j] in big:
+            j += 1
+        sign = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+        runs += j - k >= 3 and not sign(k - 1) and not sign(j)
+        k = max(j, k + 1)
+    plain = sum("A" <= c <= "Z" for c in text)
+    n, size = max(1, len(words)), len(text)
+    return [
+        len(hits) / n, math.log1p(len(hits)), sum(weight) / n, max(weight, default=0.0), near / n, len(you) / n, plain / size, runs / n if plain > 2 else 0.0,
+        text.count("!") / size, sum(c in ".,;:?\"'()-" for c in text) / size, hidden / n, math.log1p(len(words)),
+    ]
+
+
+def test_features_against_slow_ones():
+    lexicon, rng = {"lump": 2.0, "grobi*": 3.0, "shut*": 1.5, "b": 0.5}, random.Random(4)
+    bits = ["LUMP", "lump", "grobian", "grobianisch", "you", "Du", "vos", "shutting", "gr0b1an", "a1b2c3", "A$$", "x!!y", "ABC", "ÄÖÜ", "ab_CDE", "²x", "b", "1+1", "été", "don't", "(so)", "--", "!", "!!!", "\n", "字", "9"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) + rng.choice([" ", " ", "", ", ", "\n"]) for _ in range(rng.randint(1, 40)))
+        assert toxicity.features(text, toxicity.Weights(lexicon)) == pytest.approx(slow_features(text, lexicon), abs=1e-12), text
+    assert toxicity.features(None, toxicity.Weights(lexicon)) == toxicity.features("", toxicity.Weights(lexicon)) == [0.0] * len(toxicity.NAMES)
+
+
+@pytest.mark.parametrize("text", ["a" * 2_000_000 + " 1", "A" * 2_000_000 + "_1", "a1" * 1_000_000, "1" * 2_000_000 + " a", "字" * 1_000_000 + "1 !"])
+def test_long_runs_take_linear_time(text):
+    began = time.time()
+    toxicity.features(text, toxicity.Weights({"lump": 1.0}))
+    assert time.time() - began < 1.5
