@@ -14,7 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 _shipped: set[str] = set()
 
 
-#: Rows of a batch that goes to Python, where the session has Spark's own 10,000: texts can be long.
+#: Rows of a batch that goes to Python, where the session has Spark's own 10,000: texts can be long. Spark bounds the bytes
+#: of a batch by itself. The setting stays as it is made here; a session that has its own keeps it.
 BATCH_ROWS = 1000
 _OWN_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -39,10 +40,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a local one is made."""
+    """The folder in ``spark.checkpoint.dir``. A cluster must name one, since executors cannot share a folder of the driver's
+    machine; a session that is one machine alone (``local``), as in tests, gets one of its own where none is named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections import deque
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 
 from spark_trials.llm.common import checkpoint, ship
 
-CAPACITY, END, SALTS = 2048, 0, 512
-CACHED_WORDS = 300_000
+CAPACITY, END, SALT_ROWS = 2048, 0, 1 << 16
+CACHED_WORDS, LONG_RUN = 300_000, 100_000
+#: Runs of what the pre-tokenizer's pattern takes as blanks.
+BLANKS = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}+")
 _coders: dict[str, WordCoder] = {}
 
 
@@ -49,15 +52,17 @@ def _byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def read_byte_bpe(path: str) -> tiktoken.Encoding:
-    """A byte-level BPE file of the tokenizers library. Ids follow the order of the merges, so they are the ranks as well;
-    the strings of special tokens are ordinary text."""
+def read_byte_bpe(path: str) -> tuple[tiktoken.Encoding, dict[str, int]]:
+    """A byte-level BPE file of the tokenizers library: its merges and its added tokens. Ids follow the order of the merges,
+    so they are the ranks as well."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {t["content"] for t in model.get("added_tokens", [])}
+    added = {t["content"]: int(t["id"]) for t in model.get("added_tokens", [])}
+    if any(t.get(flag) for t in model.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take blanks or whole words with them are not supported")
     signs = _byte_signs()
-    ranks = {bytes(signs[c] for c in token): id_ for token, id_ in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(signs[c] for c in token): id_ for token, id_ in model["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding(os.path.basename(path), pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}), added
 
 
 class WordCoder:
@@ -66,16 +71,39 @@ class WordCoder:
     Its pre-tokenizer always starts a new piece at a blank that a non-blank follows, so a text can be coded word by word,
     and words repeat: each is coded once and kept. Texts with other blanks beside a space are coded whole. The kept words
     are emptied when there are ``CACHED_WORDS``, which bounds memory and changes no result.
+
+    The strings of added tokens are their ids, as the tokenizers library has it, and part the text. A run of ``LONG_RUN``
+    blanks is taken out before the pre-tokenizer's pattern, whose stack such runs would use up: all but its last blank are
+    one piece, or all of it where the text ends.
     """
 
     def __init__(self, path: str):
-        self.code = read_byte_bpe(path).encode_ordinary
+        coding, added = read_byte_bpe(path)
+        self.code, self.piece = coding.encode_ordinary, coding._encode_single_piece
         self.known: dict[str, bytes] = {}
+        self.added = {token: array("I", [id_]).tobytes() for token, id_ in added.items()}
+        longest_first = sorted(map(re.escape, added), key=len, reverse=True)
+        self.parts = re.compile(f"({'|'.join(longest_first)})") if added else None
+
+    def encode(self, text: str) -> bytes:
+        if self.parts is None or not self.parts.search(text):
+            return self._plain(text)
+        return b"".join(self.added.get(part) or self._plain(part) for part in self.parts.split(text) if part)
+
+    def _plain(self, text: str) -> bytes:
+        if len(text) < LONG_RUN:
+            return self._words(text)
+        out, at = [], 0
+        for run in BLANKS.finditer(text):
+            stop = run.end() if run.end() == len(text) else run.end() - 1
+            out += [self._words(text[at : run.start()]), array("I", self.piece(text[run.start() : stop])).tobytes()]
+            at = stop
+        return b"".join([*out, self._words(text[at:])])
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.code(text)).tobytes()
 
-    def encode(self, text: str) -> bytes:
+    def _words(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if any(map(_blank_first, rest)):
             return self._ids(text)
@@ -206,21 +234,30 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return entries
 
 
-def ranked(rows: DataFrame, *, salts: int = SALTS) -> DataFrame:
-    """``rows`` with ``rank``, from 0 within each length, without bringing the rows of a length together."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+def ranked(rows: DataFrame, counts: dict[int, int], *, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """``rows`` with ``rank``, from 0 within each length, without bringing the rows of a length together.
+
+    A length is dealt by a hash to parts of about ``salt_rows`` rows, and the counts of the parts before say where each starts.
+    """
+    salts = rows.sparkSession.createDataFrame([(n, max(1, -(-k // salt_rows))) for n, k in counts.items()], "l long, salts long")
+    salted = rows.join(F.broadcast(salts), F.col("length") == F.col("l")).drop("l")  # a row for each length: the capacity bounds them
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "salts").cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     starts = starts.select(F.col("length").alias("l"), F.col("salt").alias("s"), "first")
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     numbered = salted.withColumn("within", within)
-    return numbered.join(starts, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("rank", F.col("first") + F.col("within")).drop("l", "s", "first", "within", "salt")
+    return numbered.join(starts, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("rank", F.col("first") + F.col("within")).drop("l", "s", "first", "within", "salt", "salts")
 
 
-def pack(docs: DataFrame, tokenizer: Callable[[], str] | str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: Callable[[], str] | str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", salt_rows: int = SALT_ROWS) -> DataFrame:
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Pieces of the full length, most of a corpus of long texts, need no plan: each is a sequence, with a negative number.
+    """
     made = checkpoint(pieces(docs, tokenizer, capacity=capacity, id_col=id_col, text_col=text_col))
-    counts = {int(r["length"]): int(r["n"]) for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
+    shorter = made.where(F.col("length") < capacity)
+    counts = {int(r["length"]): int(r["n"]) for r in shorter.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     entries = plan(counts, capacity)
     sent = docs.sparkSession.sparkContext.broadcast(np.array(entries, np.int64).reshape(-1, 6))
 
@@ -246,5 +283,8 @@ def pack(docs: DataFrame, tokenizer: Callable[[], str] | str, *, capacity: int =
             offset = row[:, 5] + (step % row[:, 3]) * length
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(bin_), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    rows = ranked(made, salts=salts).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))
-    return rows.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    rows = ranked(shorter, counts, salt_rows=salt_rows).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))
+    placed = rows.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # a number by the partitions of the written table, which do not change
+    full = made.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)

@@ -47,16 +47,16 @@ def test_plan_is_best_fit_decreasing():
 
 def test_ids_are_the_tokenizers():
     real = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    real.encode_special_tokens = True
     texts = ["", " ", "  ", "a", " a", "a ", "Hello  world\n b", "it's 12é ok", "\u3000x \x1c y", "<|endoftext|> z", "tab\t t", "x\n\n y", "naïve über  straße", "a" * 5000, "漢字 かな", "\U0001f600 \U0001f600"]
+    texts += ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", " <|endoftext|>\n", "<|endoftext|", "  <|endoftext|>  a"]
+    texts += [" " * 2_000_000, "\n" * 1_200_000 + "x", "a b\t" * 3 + "\t" * 1_500_000 + " x", "a " + "\u3000" * 150_000 + "!" + " \n" * 60_000 + "<|endoftext|>" + "\x1c" * 120_000 + " z" + " " * 100_000]
     own = packing.WordCoder(tokenizer_path())
-    for text in texts * 2:
+    for text in [*texts, *texts[:21]]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == real.encode(text, add_special_tokens=False).ids
 
 
 def check(rows, texts):
     real = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    real.encode_special_tokens = True
     want = Counter()
     for doc_id, text in texts:
         ids = np.array([*real.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -76,8 +76,13 @@ def check(rows, texts):
     assert sorted(2048 - sum(n for _, n in own) for own in sequences.values()) == best_fit([r["length"] for r in rows], 2048)
 
 
+def test_texts_of_two_megabytes(spark):
+    texts = [(1, " " * 2_000_000), (2, "a" * 2_000_000), (3, "x <|endoftext|> " * 50_000)]
+    check(packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), tokenizer_path).collect(), texts)
+
+
 def test_pack(docs, docs_rows, clashing, no_docs):
     texts = [(r[0], r[1]) for r in docs_rows]
     check(packing.pack(docs, tokenizer_path).collect(), texts)
-    check(packing.pack(clashing, tokenizer_path, salts=3).collect(), texts)
+    check(packing.pack(clashing, tokenizer_path, salt_rows=3).collect(), texts)
     assert packing.pack(no_docs, tokenizer_path).count() == 0
