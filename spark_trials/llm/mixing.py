@@ -7,14 +7,19 @@ odds make every document's expected copies right, and the moved mass keeps the s
 
 The pairs form a reduction tree. Documents of a source and size class (a power of two) are dealt by a hash to buckets of
 at most ``fan_in`` on average, each bucket is folded by ``aggregate`` into decided documents and at most one open one, and
-the open ones meet in the next level, until one is left in each class. These few, of falling size, are rounded one after
-another, and each takes over the words that the larger ones were over or under. So the words of a source end well within
-one document of its target. No bucket grows with its source: a source with a third of all rows is only more buckets.
+the open ones meet in the next level, until one is left in each class. These few are paired across classes in the same way,
+and the last one alone is rounded by its fraction. No bucket grows with its source: a source with a third of all rows is
+only more buckets.
 
-All draws are hashes of the id, the level and the seed, so reruns agree.
+Long documents come first (``BANDS``). What the last one of them was rounded up or down is spread over the fractions of all
+shorter ones of the source, as far as these stay within 0 and 1 whichever way it falls; that change has mean zero, so it
+leaves every expectation right, and the words of a source end within a short document of the target where there are any.
+
+All draws are hashes of the id, the text, the level and the seed, so reruns agree.
 
 Defined results: a null text has size 0, and so has one of blanks; documents of size 0 are never taken. A null source is a
-source, last in order. Repeated rows are documents of their own. An empty table gives an empty result.
+source, last in order. Repeated rows are documents of their own. Ids are whole numbers or null. An empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +36,12 @@ MOST = 3
 FAN_IN = 128
 #: A table of so many sources, under 1 MB, is sent to all executors.
 BROADCAST_SOURCES = 10_000
-_ITEM = "struct<id:bigint,row:bigint,size:bigint,x:double,u:double>"
+#: Documents of so many words and more are rounded before all shorter ones.
+BANDS = (512, 16)
+BLOCK = 1 << 16
+_KEY = ("id", "hash", "row", "size")
+_ITEM = "struct<id:bigint,hash:bigint,row:bigint,size:bigint,x:double,u:double>"
+_DONE = "array<struct<id:bigint,hash:bigint,row:bigint,size:bigint,up:int>>"
 
 
 def words(text: Column) -> Column:
@@ -66,23 +76,20 @@ def targets(sized: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: flo
     )
 
 
-def _draw(*parts: Column) -> Column:
+def _draw(*parts: Column | str) -> Column:
     """Uniform in [0, 1) from a hash."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / float(1 << 53)
 
 
 def _fold(items: Column) -> Column:
     """Fold open items into struct(open, decided): ``open`` is null or one item; decided ones are (row, x of 0 or 1)."""
-    nothing = F.lit(None).cast(_ITEM)
-    decided = F.array().cast("array<struct<id:bigint,row:bigint,size:bigint,up:int>>")
+    nothing, decided = F.lit(None).cast(_ITEM), F.array().cast(_DONE)
 
     def whole(item: Column, up: Column) -> Column:
-        return F.struct(item["id"].alias("id"), item["row"].alias("row"), item["size"].alias("size"), up.cast("int").alias("up"))
+        return F.struct(*[item[k].alias(k) for k in _KEY], up.cast("int").alias("up"))
 
     def moved(item: Column, x: Column) -> Column:
-        return F.struct(
-            item["id"].alias("id"), item["row"].alias("row"), item["size"].alias("size"), x.cast("double").alias("x"), item["u"].alias("u")
-        )
+        return F.struct(*[item[k].alias(k) for k in _KEY], x.cast("double").alias("x"), item["u"].alias("u"))
 
     def step(state: Column, b: Column) -> Column:
         a = state["open"]
@@ -107,78 +114,114 @@ def _fold(items: Column) -> Column:
 
 
 def _settle(items: Column) -> Column:
-    """Round the last open items of a source, from large to small; each makes up for the words still owed."""
-    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<id:bigint,row:bigint,size:bigint,up:int>>").alias("decided"))
-
-    def step(state: Column, b: Column) -> Column:
-        up = (b["u"] < b["x"] + state["owed"] / b["size"]).cast("int")
-        done = F.struct(b["id"].alias("id"), b["row"].alias("row"), b["size"].alias("size"), up.alias("up"))
-        return F.struct((state["owed"] + (b["x"] - up) * b["size"]).alias("owed"), F.array_append(state["decided"], done).alias("decided"))
-
-    return F.aggregate(items, start, step)
+    """Pair the last open items of a source, then round the one that is left by its fraction: all of them decided."""
+    folded = _fold(items)
+    last = folded["open"]
+    up = (_draw(*[last[k] for k in _KEY], F.lit("round")) < last["x"]).cast("int")
+    return F.array_append(folded["decided"], F.struct(*[last[k].alias(k) for k in _KEY], up.alias("up")))
 
 
 def _items(salt: Column, largest_first: bool = False) -> Column:
     """All rows of a bucket as an array, in an order that the ids alone fix."""
-    order = -F.col("size").cast("double") if largest_first else _draw(F.col("id"), F.col("row"), salt, F.lit("order"))
-    item = F.struct(
-        F.col("id").cast("long").alias("id"), F.col("row").cast("long").alias("row"), F.col("size").cast("long").alias("size"),
-        F.col("x").alias("x"), _draw(F.col("id"), F.col("row"), salt, F.lit("move")).alias("u"),
-    )
+    order = -F.col("size").cast("double") if largest_first else _draw("id", "hash", "row", salt, F.lit("order"))
+    item = F.struct(*[F.col(k).cast("long").alias(k) for k in _KEY], F.col("x").alias("x"), _draw("id", "hash", "row", salt, F.lit("move")).alias("u"))
     return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), item.alias("item")))), lambda i: i["item"])
 
 
-def copies(sized: DataFrame, goals: DataFrame, *, most_rows: int, fan_in: int = FAN_IN, seed: int = 42) -> DataFrame:
-    """Rows (id, row, source, size) get ``copies``; ``row`` tells repeated rows of an id apart.
+def copies(rows: DataFrame, *, most_rows: int, fan_in: int = FAN_IN, seed: int | str = 42) -> DataFrame:
+    """(id, hash, row, source, size, copies) of rows (id, hash, row, source, size, base, x, of_rows): ``base`` copies each, and
+    one more for some.
 
-    goals: one row for each source, with source, source_size, target and n_open (its rows that have words). ``most_rows``:
-    the largest n_open, which fixes the number of levels.
+    ``hash`` and ``row`` tell rows of an id apart, ``of_rows`` is the number of the source's rows here, ``most_rows`` the
+    largest of these, which fixes the number of levels.
     """
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goals = goals.select(F.col("source").alias("of"), ratio.alias("ratio"), F.col("n_open").alias("of_rows"))
-    rows = sized.join(goals, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rows = rows.withColumn("base", F.when(F.col("size") > 0, F.floor("ratio")).otherwise(0).cast("int")).withColumn(
-        "x", F.when(F.col("size") > 0, F.col("ratio") - F.floor("ratio")).otherwise(0.0)
-    )
-    still = rows.where("x > 0").select("id", "row", "source", "size", "base", "x", "of_rows")
-    out = [rows.where("not x > 0").select("id", "row", "source", "size", F.col("base").alias("copies"))]
-    group = ["source", "base", "of_rows"]
+    still, group = rows.where("x > 0").select(*_KEY, "source", "base", "x", "of_rows"), ["source", "base", "of_rows"]
+    out = rows.where("not x > 0").select(*_KEY, "source", F.col("base").alias("copies"))
+
+    def decided(df: DataFrame, items: Column | str) -> DataFrame:
+        done = df.select("source", "base", F.explode(items).alias("d"))
+        return done.select(*[f"d.{k}" for k in _KEY], "source", (F.col("base") + F.col("d.up")).cast("int").alias("copies"))
+
     levels = max(1, math.ceil(math.log(max(2, most_rows), fan_in)))
     for level in range(levels):
         salt = F.lit(f"{seed}/{level}")
         buckets = F.greatest(F.lit(1), F.ceil(F.col("of_rows") / float(fan_in) ** (level + 1))).cast("long")
-        bucket = F.pmod(F.xxhash64("id", "row", salt, F.lit("deal")), buckets if level < levels - 1 else F.lit(1).cast("long"))
+        bucket = F.pmod(F.xxhash64("id", "hash", "row", salt, F.lit("deal")), buckets if level < levels - 1 else F.lit(1).cast("long"))
         dealt = still.withColumn("bucket", bucket).withColumn("class", F.floor(F.log2("size")).cast("int"))
         folded = dealt.groupBy(*group, "class", "bucket").agg(_items(salt).alias("items"))
         folded = checkpoint(folded.select(*group, _fold(F.col("items")).alias("f")))
-        done = folded.select(*group, F.explode("f.decided").alias("d"))
-        out.append(done.select("d.id", "d.row", "source", "d.size", (F.col("base") + F.col("d.up")).cast("int").alias("copies")))
-        still = folded.where("f.open is not null").select("f.open.id", "f.open.row", "source", "f.open.size", "base", "f.open.x", "of_rows")
+        out = out.unionByName(decided(folded, "f.decided"))
+        still = folded.where("f.open is not null").select(*[f"f.open.{k}" for k in _KEY], "source", "base", "f.open.x", "of_rows")
     last = still.groupBy(*group).agg(_items(F.lit(f"{seed}/last"), largest_first=True).alias("items"))
-    done = last.select(*group, F.explode(_settle(F.col("items"))["decided"]).alias("d"))
-    out.append(done.select("d.id", "d.row", "source", "d.size", (F.col("base") + F.col("d.up")).cast("int").alias("copies")))
-    union = out[0]
-    for part in out[1:]:
-        union = union.unionByName(part)
-    return union
+    return out.unionByName(decided(last, _settle(F.col("items"))))
 
 
-def mix(
+def _times(df: DataFrame, n: Column, name: str) -> DataFrame:
+    """Each row ``n`` times, numbered from 1 in ``name``: in two steps, so that no array holds more than ``BLOCK`` numbers."""
+    block = f"{name}_block"
+    cut = df.withColumn(name, n.cast("long")).where(F.col(name) > 0).withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(name) - 1) / BLOCK))))
+    first, last = F.col(block) * BLOCK + 1, F.least(F.col(name), (F.col(block) + 1) * BLOCK)
+    return cut.withColumn(name, F.explode(F.sequence(first, last))).drop(block)
+
+
+def _keys(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """What a row of the input is known by: id, source, size and the hash of the text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return [F.col(f"`{id_col}`").cast("long"), F.col(f"`{source_col}`").cast("string"), words(text), F.xxhash64(text)]
+
+
+def _band(size: Column) -> Column:
+    """0 for the longest documents, then 1, 2, ..."""
+    return sum(((size < b).cast("int") for b in BANDS), F.lit(0))
+
+
+def _mixed(
     docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, fan_in: int = FAN_IN, seed: int = 42,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, source, size, source_size, target, copies, taken."""
-    at = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"))
-    # Rows alike in all three are interchangeable, so a number within them is enough to tell rows apart.
-    same = at.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
-    sized = checkpoint(same.select("id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("row")).select("id", F.col("row").cast("long").alias("row"), "source", "size"))
-    goals = targets(sized, weights=weights, most=most)
-    counts = sized.groupBy(F.col("source").alias("s")).agg(F.count(F.when(F.col("size") > 0, 1)).alias("n_open"))
-    goals = checkpoint(goals.join(counts, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    n_sources, most_rows = goals.agg(F.count(F.lit(1)), F.coalesce(F.max("n_open"), F.lit(0))).first()
-    if n_sources <= BROADCAST_SOURCES:  # more than these are joined by a shuffle
-        goals = F.broadcast(goals)
-    made = copies(sized, goals, most_rows=most_rows, fan_in=fan_in, seed=seed)
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, hash, source, size, copies), one for each row of ``docs``, and the goals of the sources."""
+    keys = [c.alias(n) for c, n in zip(_keys(id_col, text_col, source_col), ("id", "source", "size", "hash"), strict=True)]
+    # Rows alike in all four are interchangeable, so a number within them is enough to tell rows apart.
+    same = docs.select(*keys).groupBy("id", "source", "size", "hash").agg(F.count(F.lit(1)).alias("n"))
+    sized = checkpoint(_times(same, F.col("n"), "row").select(*_KEY, "source"))
+    size, bands = F.col("size"), range(len(BANDS) + 1)
+    here = [(_band(size) == b) & (size > 0) for b in bands]
+    counts = [f(F.when(here[b], size)).alias(f"{n}{b}") for b in bands for n, f in (("n", F.count), ("w", F.sum), ("m", F.max))]
+    by = sized.groupBy(F.col("source").alias("s")).agg(*counts).fillna(0)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goals = targets(sized, weights=weights, most=most).join(by, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    goals = checkpoint(goals.withColumns({"base": F.floor(ratio).cast("int"), "x": ratio - F.floor(ratio)}))
+    n_sources, *most_rows = goals.agg(F.count(F.lit(1)), *[F.coalesce(F.max(f"n{b}"), F.lit(0)) for b in bands]).first()
+
+    def small(df: DataFrame) -> DataFrame:  # tables of more sources are joined by a shuffle
+        return F.broadcast(df) if n_sources <= BROADCAST_SOURCES else df
+
+    out = sized.where("size = 0").select("id", "hash", "source", "size", F.lit(0).alias("copies"))
+    now = goals.withColumnRenamed("source", "of")
+    for b in bands:
+        own = small(now.select("of", "base", "x", F.col(f"n{b}").alias("of_rows")))
+        rows = sized.where(here[b]).join(own, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        made = copies(rows, most_rows=most_rows[b], fan_in=fan_in, seed=f"{seed}/{b}")
+        if b < len(BANDS):
+            made = checkpoint(made)
+            taken = made.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("copies") * size).alias("taken"))
+            rest, x = sum((F.col(f"w{c}") for c in bands[b + 2 :]), F.col(f"w{b + 1}")), F.col("x")
+            over = F.coalesce("taken", F.lit(0)) - (F.col("base") + x) * F.col(f"w{b}")
+            # Known before the draw: so much of it that the fractions of the rest stay within 0 and 1 whichever way it fell.
+            share = F.least(F.lit(1.0), rest * F.least(x, 1 - x) / F.nullif(F.col(f"m{b}"), F.lit(0)))
+            moved = F.coalesce(share * over / F.nullif(rest, F.lit(0)), F.lit(0.0))
+            met = now.join(small(taken), F.col("of").eqNullSafe(F.col("s")), "left")
+            now = checkpoint(met.withColumn("x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), x - moved))).drop("s", "taken"))
+        out = out.unionByName(made.select("id", "hash", "source", "size", "copies"))
+    return out, small(goals)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+
+    Options: ``weights``, ``most`` (times its size that a source is taken at most), ``fan_in``, ``seed`` and the names of columns.
+    """
+    made, goals = _mixed(docs, **options)
     goals = goals.select(F.col("source").alias("of"), "source_size", "target")
     return made.join(goals, F.col("source").eqNullSafe(F.col("of"))).select(
         F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
@@ -188,18 +231,25 @@ def mix(
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; all columns stay as they are.
 
-    A row finds its copies by id, source and size; of rows alike in all three, the mix's numbers are added up and each
-    gets the total divided among them, the first ones by text hash the odd ones.
+    A row finds its copies by id, source, size and the hash of its text. Of rows alike in these the mix's numbers are added
+    up and divided among them, the first ones by a hash of all columns but maps get the odd ones. Rows that repeat in all of
+    these columns are counted before they meet, so that no task gets them all.
     """
-    id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
+    names = {k: options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
     columns = docs.columns
-    size, i, s, z, all_copies, n, k = fresh(columns, "size", "i", "s", "z", "copies", "n", "k")
-    made = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias(all_copies), F.count(F.lit(1)).alias(n))
-    made = made.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z), all_copies, n).where(F.col(all_copies) > 0)
-    rows = docs.withColumn(size, words(F.col(text_col).cast("string")))
-    hit = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & F.col(source_col).cast("string").eqNullSafe(F.col(s)) & (F.col(size) == F.col(z))
-    met = rows.join(made, hit)
-    place = F.row_number().over(Window.partitionBy(i, s, z).orderBy(i))
-    met = met.withColumn(k, place)
-    share = F.floor(F.col(all_copies) / F.col(n)).cast("int") + (F.col(k) <= F.col(all_copies) % F.col(n)).cast("int")
-    return met.withColumn(k, F.explode(F.array_repeat(F.lit(1), share))).select(*[F.col(f"`{c}`") for c in columns])
+    i, s, z, h, taken, n, k = fresh(columns, "i", "s", "z", "h", "copies", "n", "k")
+    own = fresh([*columns, i, s, z, h, taken, n, k], "oi", "os", "oz", "oh")
+    made = _mixed(docs, **options)[0].groupBy("id", "source", "size", "hash").agg(F.sum("copies").alias(taken), F.count(F.lit(1)).alias(n))
+    made = checkpoint(made.where(F.col(taken) > 0).select(F.col("id").alias(i), F.col("source").alias(s), F.col("size").alias(z), F.col("hash").alias(h), taken, n))
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], *[c.alias(o) for c, o in zip(_keys(**names), own, strict=True)])
+    hit = F.col(own[0]).eqNullSafe(F.col(i)) & F.col(own[1]).eqNullSafe(F.col(s)) & (F.col(own[2]) == F.col(z)) & (F.col(own[3]) == F.col(h))
+    plain = [F.col(f"`{c}`") for c in columns]
+    once = rows.join(made.where(F.col(n) == 1), hit).withColumn(k, F.explode(F.array_repeat(F.lit(1), F.col(taken).cast("int")))).select(*plain)
+    again = rows.join(made.where(F.col(n) > 1), hit)
+    key = [i, s, z, h, taken, n, k]
+    told = [c for c, (_, kind) in zip(plain, docs.dtypes, strict=True) if "map<" not in kind]
+    alike = again.withColumn(k, F.xxhash64(*told)).groupBy(*key).agg(F.first(F.struct(*plain)).alias(own[0]), F.count(F.lit(1)).alias(own[1]))
+    before = F.sum(own[1]).over(Window.partitionBy(i, s, z, h).orderBy(k)) - F.col(own[1])
+    odd = F.greatest(F.lit(0), F.least(F.col(own[1]), F.col(taken) % F.col(n) - before))
+    many = _times(alike.withColumn(own[2], F.col(own[1]) * F.floor(F.col(taken) / F.col(n)) + odd), F.col(own[2]), own[3])
+    return once.unionByName(many.select(*[F.col(own[0]).getField(c).alias(c) for c in columns]))
