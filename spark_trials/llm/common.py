@@ -57,6 +57,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A table of so many narrow rows, tens of MB, is sent to all executors.
+SENT_ROWS = 1_000_000
+
+
+def sent_if_small(written: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """A checkpointed table as a side of a join: sent to all executors if it has at most ``rows`` rows, else left to a shuffle.
+    The result is the same; what is saved is the shuffle of the texts on the other side."""
+    return F.broadcast(written) if written.count() <= rows else written
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """Names like the given ones that no column of the input has, whatever its extra columns are called."""
     taken = {c.lower() for c in columns}

@@ -9,8 +9,9 @@ from spark_trials.llm.common import checkpoint
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
-    """(u, m): of each u the least of itself and its v."""
-    return pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    """(u, m): of each u the least of itself and its v. Written down, so that a join with it has an exchange of its own on
+    both sides, without which adaptive execution cannot split a node of many edges."""
+    return checkpoint(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
 
 
 def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:

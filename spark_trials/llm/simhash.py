@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spark_trials.llm.common import checkpoint, fresh, ship
+from spark_trials.llm.common import checkpoint, fresh, sent_if_small, ship
 from spark_trials.llm.components import components
 
 WIDTH, SEED, DISTANCE, BLOCKS, CELL_ROWS = 4, 42, 4, 8, 4096
@@ -190,8 +190,9 @@ def near_duplicates(
     marked = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
     fps = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     named = _roots(fps, distance, blocks, cell_rows)
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(names, "root").select(F.col("fp").alias("of"), "component_id")
+    # Both written down, so that a class of very many fingerprints, and a fingerprint of very many copies, can be split.
+    names = checkpoint(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    of = checkpoint(named.join(sent_if_small(names), "root").select(F.col("fp").alias("of"), "component_id"))
     return marked.join(of, F.col("fp") == F.col("of"), "left").select("doc_id", "fp", "component_id")
 
 
@@ -208,11 +209,20 @@ def one_of_each(
         return [c.alias(n) for c, n in zip((id_.isNull(), F.coalesce(id_, F.lit(0)), *hashes), keys, strict=True)]
 
     marked = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, hashes=True))
-    least = F.struct(*key(F.col("doc_id"), (F.col("h1"), F.col("h2"))))
-    fps = checkpoint(marked.groupBy("fp").agg(F.min(least).alias("least")))
-    stay = _roots(fps, distance, blocks, cell_rows).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
-    # Repeats of a row meet before the exchange, so that no task gets them all.
+    marked = marked.select(*key(F.col("doc_id"), (F.col("h1"), F.col("h2"))), "fp")
+    counted = checkpoint(marked.groupBy("fp", *keys).agg(F.count(F.lit(1)).alias("times")))
+    fps = checkpoint(counted.groupBy("fp").agg(F.min(F.struct(*keys)).alias("least")))
+    stay = checkpoint(_roots(fps, distance, blocks, cell_rows).groupBy("root").agg(F.min("least").alias("least")).select("least.*"))
+    told = counted.join(stay.withColumn("stays", F.lit(True)), keys, "left")
+    gone = checkpoint(told.where("stays is null").select(*keys))
+    twice = checkpoint(told.where("stays and times > 1").select(*keys))
     own = key(F.col(f"`{id_col}`").cast("long"), _text_hashes(F.col(f"`{text_col}`").cast("string")))
-    told = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
-    once = docs.groupBy(*own).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.xxhash64(*told)).alias(row))
-    return once.join(stay, keys).select(*[F.col(row).getField(c).alias(c) for c in columns])
+    plain = [F.col(f"`{c}`") for c in columns]
+    rows = docs.select(*plain, *own)
+    left = rows.join(sent_if_small(gone), keys, "left_anti")
+    if twice.isEmpty():
+        return left.select(*plain)
+    # Repeats of a row meet before the exchange, so that no task gets them all.
+    told = [c for c, (_, kind) in zip(plain, docs.dtypes, strict=True) if "map<" not in kind]
+    again = left.join(sent_if_small(twice), keys, "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*plain), F.xxhash64(*told)).alias(row))
+    return left.join(sent_if_small(twice), keys, "left_anti").select(*plain).unionByName(again.select(*[F.col(row).getField(c).alias(c) for c in columns]))

@@ -1,21 +1,22 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences. From every sentence on, the fewest consecutive ones that hold ``words`` words are a span (a
-sentence that holds them is one by itself, else passages of two long sentences, both cut at the edges of the passage but
-one, would pass); its hash is taken over the lower-cased words. Equal hashes anywhere in the corpus are
-repeats. The first span, by (doc_id, text, place), stays; all sentences that any other one covers go. A sentence that
-goes has an equal one in an earlier place, so of each repeated passage one copy stays.
+A text is cut into sentences. From every sentence on, the fewest consecutive ones, ``SENTENCES`` at least, that hold ``words``
+words are a span; its hash is taken over the lower-cased words. Equal spans anywhere in the corpus are repeats. The first
+one, by (doc_id, text, place), stays; all sentences that any other one covers go. A sentence that goes has an equal one in
+an earlier place, so of each repeated passage one copy stays.
 
-A sentence ends after ``.``, ``!`` or ``?`` and a blank, at a line end, and before a capital that follows a blank, so that
-passages pasted into the middle of a sentence are found as well.
+A sentence ends after ``.``, ``!`` or ``?`` and a blank, and at a line end. One of more than ``LONG`` words, such as a
+passage that was pasted into the middle of another sentence, is cut before capitals that follow a blank as well. What a
+passage shares at its edges with the sentences around it stays: its first words up to the first border, and what follows
+the last border from which ``words`` words are left.
 
-Scale: spans leave a task as (hash, id, place). Hashes are counted first, with partial sums, and only spans whose hash
-came twice go on; a passage in a third of all documents is a count, a minimum, and a join that adaptive execution splits.
-Texts meet their own cuts by the id.
+Scale: a first pass counts bare hashes, with partial sums; a second one emits place and a second hash, 128 bits in all, of
+those spans only that came twice, so a passage in a third of all documents is a count, a minimum, and a join that adaptive
+execution splits. Texts meet their own cuts by the id.
 
 Defined results: a null text stays null, and an empty one empty. A text of fewer words than a span has no span and stays.
 Rows that repeat an id and a text are one document: all get the same cleaned text, in which what it holds first stays.
-Null ids come first in order. An empty table gives an empty result.
+Null ids come first in order; ids are whole numbers. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,23 +31,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spark_trials.llm.common import checkpoint, fresh, ship
+from spark_trials.llm.common import SENT_ROWS, checkpoint, fresh, sent_if_small, ship
 
-WORDS, SENTENCES = 20, 1
-BREAK = re.compile(r"\n\s*|(?<=[.!?])[^\S\n]+|[^\S\n](?=[A-ZÀ-ÖØ-Þ])")
-_ODD = 0x9E3779B97F4A7C15
+WORDS, SENTENCES, LONG = 20, 2, 40
+BREAK = re.compile(r"\n\s*|(?<=[.!?])[^\S\n]+")
+CAPITAL = re.compile(r"[^\S\n](?=[A-ZÀ-ÖØ-Þ])")
+_ODD, _SEEDS = 0x9E3779B97F4A7C15, (0, 7)
 _PLACES = 1 << 16
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each sentence that holds a word; an end takes the break with it."""
-    out, at = [], 0
-    for m in BREAK.finditer(text):
+def _cut(text: str, border: re.Pattern, at: int, stop: int) -> list[tuple[int, int]]:
+    out = []
+    for m in border.finditer(text, at, stop):
         if m.end() > at:
             out.append((at, m.end()))
             at = m.end()
-    if at < len(text):
-        out.append((at, len(text)))
+    return [*out, (at, stop)] if at < stop else out
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each sentence that holds a word; an end takes the break with it."""
+    out = []
+    for a, b in _cut(text, BREAK, 0, len(text)):
+        # so many words have so many letters and blanks at least
+        long = b - a > 2 * LONG and len(text[a:b].split()) > LONG
+        out += _cut(text, CAPITAL, a, b) if long else [(a, b)]
     return [(a, b) for a, b in out if not text[a:b].isspace()]
 
 
@@ -63,61 +72,78 @@ def _power(n: int) -> np.ndarray:
     return _powers[:, :n]
 
 
-def spans(text: str, words: int = WORDS, least: int = SENTENCES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first sentence, number of sentences) of every span."""
+def spans(text: str, words: int = WORDS, least: int = SENTENCES, seeds: tuple[int, ...] = (0,)) -> tuple[np.ndarray, ...]:
+    """(first sentence, number of sentences, a hash for each seed) of every span."""
     none = np.zeros(0, np.int64)
     cut = sentences(text)
     if len(cut) < least:
-        return none, none, none
+        return none, none, *[none for _ in seeds]
     hash_ = xxhash.xxh64_intdigest
     own = [text[a:b].lower().split() for a, b in cut]
-    hashes = np.array([hash_(" ".join(w).encode("utf-8", "surrogatepass")) for w in own], np.uint64)
+    joined = [" ".join(w).encode("utf-8", "surrogatepass") for w in own]
     total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))])
     first = np.arange(len(cut))
     stop = np.maximum(np.searchsorted(total, total[:-1] + words, side="left"), first + least)
     first = first[stop <= len(cut)]
     stop = stop[: len(first)] if len(first) else none
     up, down = _power(len(cut) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
-    return ((sums[stop] - sums[first]) * down[first]).view(np.int64), first, stop - first
+    out = []
+    for seed in seeds:
+        hashes = np.array([hash_(j, seed) for j in joined], np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
+        out.append(((sums[stop] - sums[first]) * down[first]).view(np.int64))
+    return first, stop - first, *out
 
 
 def _id(docs: DataFrame, id_col: str, text_col: str):
-    return F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    return F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
 
 
-def all_spans(docs: DataFrame, *, words: int, least: int, id_col: str, text_col: str) -> DataFrame:
-    """(span, id, text_hash, first, n) of every span of every text."""
-    ship(docs.sparkSession)
+_STEP = 512
+
+
+def _hashes(docs: DataFrame, words: int, least: int, text_col: str) -> DataFrame:
+    """(span) of every span of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, _STEP):
+                found = [spans(t or "", words, least)[2] for t in b.column(0).slice(lo, _STEP).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["span"])
+
+    return docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "span long")
+
+
+def _places(docs: DataFrame, words: int, least: int, id_col: str, text_col: str) -> DataFrame:
+    """(span, second, id, text_hash, place) of every span of every text; ``place`` is first * 65536 + number of sentences."""
     id_, hash_ = _id(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            step = 512
-            for lo in range(0, b.num_rows, step):
-                found = [spans(t or "", words, least) for t in b.column(2).slice(lo, step).to_pylist()]
+            for lo in range(0, b.num_rows, _STEP):
+                found = [spans(t or "", words, least, _SEEDS) for t in b.column(2).slice(lo, _STEP).to_pylist()]
                 sizes = np.fromiter((len(f[0]) for f in found), np.int64, len(found))
                 which = pa.array(np.repeat(np.arange(len(found)), sizes) + lo)
-                parts = [np.concatenate([f[k] for f in found]) for k in range(3)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(parts[0]), b.column(0).take(which), b.column(1).take(which), pa.array(parts[1] * _PLACES + np.minimum(parts[2], _PLACES - 1))],
-                    names=["span", "id", "text_hash", "place"],
-                )
+                first, n, hashes, second = (np.concatenate([f[k] for f in found]) for k in range(4))
+                columns = [pa.array(hashes), pa.array(second), b.column(0).take(which), b.column(1).take(which), pa.array(first * _PLACES + n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["span", "second", "id", "text_hash", "place"])
 
-    at = docs.select(id_.alias("id"), hash_.alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    return at.mapInArrow(run, "span long, id long, text_hash long, place long")
+    at = docs.select(id_.alias("id"), hash_.alias("text_hash"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return at.mapInArrow(run, "span long, second long, id long, text_hash long, place long")
 
 
 def repeated(docs: DataFrame, *, words: int = WORDS, least: int = SENTENCES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, cuts): of each document with spans to remove, their places, packed as first * 65536 + number."""
-    found = all_spans(docs, words=words, least=least, id_col=id_col, text_col=text_col)
+    if max(words, least) >= _PLACES:
+        raise ValueError(f"a span holds fewer than {_PLACES} words and sentences")
+    ship(docs.sparkSession)
     # Written down, the counted side has an exchange of its own, without which a join's hot span cannot be split.
-    often = checkpoint(found.groupBy("span").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("span"))
-    again = checkpoint(found.join(often, "span"))
+    often = checkpoint(_hashes(docs, words, least, text_col).groupBy("span").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("span"))
+    again = checkpoint(_places(docs, words, least, id_col, text_col).join(sent_if_small(often, 4 * SENT_ROWS), "span"))
     # rows that repeat an id and a text have the same places, all of them first ones
-    head = checkpoint(again.groupBy("span").agg(F.min(F.struct("id", "text_hash", "place")).alias("head")))
     at = F.struct("id", "text_hash", "place")
-    return again.join(head, "span").where(~at.eqNullSafe(F.col("head"))).groupBy("id", "text_hash").agg(F.collect_set("place").alias("cuts"))
+    head = checkpoint(again.groupBy("span", "second").agg(F.min(at).alias("head")))
+    return again.join(head, ["span", "second"]).where(~at.eqNullSafe(F.col("head"))).groupBy("id", "text_hash").agg(F.collect_set("place").alias("cuts"))
 
 
 def clean(text: str, cuts: np.ndarray) -> tuple[str, int, int]:
@@ -139,14 +165,18 @@ def clean(text: str, cuts: np.ndarray) -> tuple[str, int, int]:
 def dedup(docs: DataFrame, *, words: int = WORDS, least: int = SENTENCES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with cleaned texts, and two more columns: n_sentences and n_removed (0 where nothing went).
 
-    If the input has columns of these names, they are replaced.
+    If the input has columns of these names, they are replaced; ``cleaned`` keeps them.
     """
     ship(docs.sparkSession)
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     columns = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     i, h, cuts = fresh(columns, "i", "h", "cuts")
-    removals = repeated(docs, words=words, least=least, id_col=id_col, text_col=text_col)
+    removals = checkpoint(repeated(docs, words=words, least=least, id_col=id_col, text_col=text_col))
+    # a row for each document that has cuts, and eight bytes for each cut
+    total = removals.agg(F.count(F.lit(1)) * 8 + F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()[0]
     removals = removals.select(F.col("id").alias(i), F.col("text_hash").alias(h), F.col("cuts").alias(cuts))
+    if total <= 8 * SENT_ROWS:
+        removals = F.broadcast(removals)
     id_, hash_ = _id(docs, id_col, text_col)
     met = docs.join(removals, id_.eqNullSafe(F.col(i)) & (hash_ == F.col(h)), "left").select(*[F.col(f"`{c}`") for c in columns], cuts)
     place = columns.index(text_col)
@@ -169,3 +199,10 @@ def dedup(docs: DataFrame, *, words: int = WORDS, least: int = SENTENCES, id_col
 
     schema = met.select(*[F.col(f"`{c}`") for c in columns]).schema.add("n_sentences", T.IntegerType()).add("n_removed", T.IntegerType())
     return met.mapInArrow(run, schema)
+
+
+def cleaned(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows and columns of ``docs`` with cleaned texts and nothing more."""
+    clash = {c: f"{fresh(docs.columns, c)[0]}_kept" for c in docs.columns if c in ("n_sentences", "n_removed")}
+    back = {kept: c for c, kept in clash.items()}
+    return dedup(docs.withColumnsRenamed(clash), text_col=text_col, **options).drop("n_sentences", "n_removed").withColumnsRenamed(back)

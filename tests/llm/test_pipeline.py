@@ -34,7 +34,7 @@ def test_stages_one_by_one(spark, folder):
     toxic = {1000 + k for k in range(0, 240, 4)}
     assert len(ids["toxicity"] & toxic) <= 0.05 * len(toxic) and {1000 + k for k in range(240)} - toxic <= ids["toxicity"]
     assert not {60 + k for k in range(8)} & ids["simhash_near_dedup"] and {k for k in range(20)} <= ids["simhash_near_dedup"]
-    middle = " ".join(passage.split()[9:-9])
+    middle = " ".join(passage.split()[25:-25])
     assert seen["simhash_near_dedup"].where(F.col("text").contains(middle)).count() == 5
     assert seen["substring_dedup"].where(F.col("text").contains(middle)).count() == 1
     assert seen["substring_dedup"].where(F.length("text") != F.col("n_chars")).count() == 0
@@ -43,6 +43,32 @@ def test_stages_one_by_one(spark, folder):
     assert pieces.where("piece = 0").count() == seen["mixing"].count() and ids["best_fit_packing"] == ids["mixing"]
 
 
+def test_rows_without_ids_or_with_one_id(spark, folder):
+    """50 texts without an id, 50 under one id, copies of both, and columns whose names the stages use themselves."""
+    rng = random.Random(31)
+    lone, shared = [prose(rng, 60) for _ in range(50)], [prose(rng, 60) for _ in range(50)]
+    rows = [(None, t, "en", "a", 1) for t in lone + lone[:9]] + [(7, t, "en", None, 1) for t in shared + shared[:9]]
+    rows += [(None, None, None, None, None), (8, "", "en", "b", 0), (8, " ", "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ("row", "features", "score", "fp", "n_removed", "__cuts", "hash", "size", "copies", "times", "stays", "h1")
+    docs = docs.withColumns({c: F.lit("x") for c in clash}).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["toxicity"](spark, docs, folder[0])
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+    kept = stages["simhash_near_dedup"](spark, docs, folder[0])
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == docs.columns
+    assert sorted(t for i, t in found if t and i is None) == sorted(lone) and sorted(t for i, t in found if i == 7) == sorted(shared)
+    assert sum(not (t or "").strip() for _, t in found) == 1
+    cut = stages["substring_dedup"](spark, docs, folder[0])
+    assert cut.columns == docs.columns and cut.count() == len(rows) and {r["n_removed"] for r in cut.collect()} == {"x"}
+    taken = stages["mixing"](spark, docs, folder[0])
+    assert taken.columns == docs.columns and taken.count() > 0
+    assert stages["best_fit_packing"](spark, docs, folder[0]).where("piece = 0").count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder[0]).count() == 0, name
+
+
 def test_run_and_registration(spark, folder):
     import __spark_entry__
 
