@@ -13,27 +13,33 @@ from spark_trials.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is 0.7 or more go. The model learns from the labelled documents of the corpus."""
+    """Documents whose toxicity score is 0.7 or more go. The model learns from the labelled documents of the corpus.
+
+    A null text is an empty one and stays; rows that repeat stay as often as they come, other columns stay as they are."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, the one with the least id."""
+    """One document of each class of near copies stays, the one with the least id, null ids last.
+
+    Classes go by their texts, not by ids: rows of different texts under one id, or without ids, are classes of their own.
+    Null, empty and blank texts have no words and are copies of each other."""
     return simhash.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages leave all texts but the first one; n_chars follows."""
-    return substring_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Repeated passages leave all texts but the first one; n_chars follows where there is one. Every row stays."""
+    made = substring_dedup.cleaned(docs)
+    return made.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else made
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them; those it does not take go."""
+    """Rows as often as the mix takes them; those it does not take go, as do those without words."""
     return mixing.mix_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their place in the sequences."""
+    """Pieces with their place in the sequences; other columns than doc_id and text end here."""
     return packing.pack(docs, tokenizer_path)
 
 
