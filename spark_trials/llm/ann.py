@@ -3,14 +3,15 @@
 Codes: rotations are learned on a bounded sample (``sample``, drawn by a hash) so that the signs of the rotated vectors
 lose as little as they can (iterative quantization); ``rotations`` of them are joined, so codes may be longer than vectors.
 
-Index: a code is cut into 8-bit substrings and every substring has its own table from value to rows. A code within Hamming
+Index: a code is cut into 16-bit substrings and every substring has its own table from value to rows. A code within Hamming
 distance r of a query's lies within t_j of it in some substring j whenever the sum of (t_j + 1) is r + 1, so probing all
 values within t_j finds every code within r. Those are kept by their full Hamming distance and ranked by the exact
 Euclidean distance of the original vectors. The radius is the one that holds ``aim`` of the true neighbours in the sample,
 whose neighbours are further away than those in the whole table. A query that finds under ``k`` rows doubles its radius.
 
-Scale: rows are dealt by a hash to shards of about ``shard_rows``, queries to blocks of ``block_rows``; a shard meets a
-block in one task, which returns k rows for each query. What a task holds is bounded by the two numbers.
+Scale: rows are dealt by a hash to shards of about ``shard_rows``. A task gets the rows of a shard first, indexes them once,
+and then answers the queries, which follow in the order of the sort, batch by batch: it holds a shard and a batch, however
+many queries there are. Each returns k rows of each shard. Queries, one row in ``every``, are copied once for each shard.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or a number that is not finite
 take no part. Rows that repeat an id and a vector count once; a query meets every row but its own, other vectors of the
@@ -20,6 +21,7 @@ same id included. Ties go to the smaller id. Fewer candidates than ``k`` are all
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +30,20 @@ from pyspark.sql import functions as F
 
 from spark_trials.llm.common import ship
 
-K, ROTATIONS, SAMPLE, AIM = 10, 2, 4096, 0.985
-SHARD_ROWS, BLOCK_ROWS = 16_384, 1024
-_POP8 = np.bitwise_count(np.arange(256, dtype=np.uint8))
+K, ROTATIONS, SAMPLE, AIM = 10, 2, 4096, 0.94
+SHARD_ROWS, PART = 131_072, 16
+#: All values of a substring by the number of their bits, and how many have at most 0, 1, ... bits.
+_MASKS = np.argsort(np.bitwise_count(np.arange(1 << PART, dtype=np.uint16)), kind="stable")
+_UP_TO = np.cumsum(np.bincount(np.bitwise_count(np.arange(1 << PART, dtype=np.uint16)), minlength=PART + 1))
 
 
 def learn(x: np.ndarray, rotations: int = ROTATIONS, rounds: int = 20, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, columns): a code's bits are the signs of (vector - mean) @ columns; their number is a multiple of 8."""
+    """(mean, columns): a code's bits are the signs of (vector - mean) @ columns; their number is a multiple of 16."""
     mean = x.mean(axis=0)
     centred = x - mean
     rng = np.random.default_rng(seed)
     d = x.shape[1]
-    bits = -(-d // 8) * 8
+    bits = -(-d // PART) * PART
     made = []
     for _ in range(rotations):
         r, _ = np.linalg.qr(rng.standard_normal((d, d)))
@@ -70,70 +74,82 @@ def radius_for(x: np.ndarray, codes: np.ndarray, k: int, aim: float) -> int:
 
 
 class MultiIndex:
-    """A table from value to rows for every 8-bit substring."""
+    """A table from value to rows for every 16-bit substring."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.order = np.argsort(codes, axis=0, kind="stable").T.copy()
-        edges = np.arange(257)
-        self.starts = [np.searchsorted(codes[o, j], edges) for j, o in enumerate(self.order)]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose code differs in ``radius`` bits at most."""
-        m = len(code)
+        self.parts = codes.view(">u2").astype(np.int64)
+        self.order = np.argsort(self.parts, axis=0, kind="stable").T.astype(np.int32)
+        edges = np.arange((1 << PART) + 1)
+        self.starts = [np.searchsorted(self.parts[o, j], edges) for j, o in enumerate(self.order)]
+
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """All rows that some substring's probes meet: every row within ``radius`` is one of them."""
+        own = code.view(">u2").astype(np.int64)
         hit = np.zeros(len(self.codes), bool)
-        for j in range(m):
-            most = (radius + 1) // m + (j < (radius + 1) % m) - 1  # the sum of (most + 1) is radius + 1
+        for j, value in enumerate(own.tolist()):
+            most = (radius + 1) // len(own) + (j < (radius + 1) % len(own)) - 1  # the sum of (most + 1) is radius + 1
             if most < 0:
                 continue
-            near = np.flatnonzero(_POP8[np.arange(256, dtype=np.uint8) ^ code[j]] <= most)
-            for value in near.tolist():
-                a, b = self.starts[j][value], self.starts[j][value + 1]
-                if b > a:
-                    hit[self.order[j, a:b]] = True
-        rows = np.flatnonzero(hit)
+            near = _MASKS[: _UP_TO[min(most, PART)]] ^ value
+            first = self.starts[j][near]
+            n = self.starts[j][near + 1] - first
+            first, n = first[n > 0], n[n > 0]
+            hit[self.order[j, np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]] = True
+        return np.flatnonzero(hit)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """All rows whose code differs in ``radius`` bits at most."""
+        rows = self.probed(code, radius)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1, dtype=np.int64) <= radius]
 
 
-def search(x: np.ndarray, ids: np.ndarray, keys: np.ndarray, q: np.ndarray, q_ids: np.ndarray, q_keys: np.ndarray, model, radius: int, k: int):
-    """(place in q, id, score) of the k nearest found of every query."""
-    index, bits = MultiIndex(encode(x, model)), None
-    bits = index.codes.shape[1] * 8
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i, code in enumerate(encode(q, model)):
-        r = min(radius, bits)
-        while True:
-            rows = index.within(code, r) if r < bits else np.arange(len(x))
-            rows = rows[(ids[rows] != q_ids[i]) | (keys[rows] != q_keys[i])]
-            if len(rows) >= k or r >= bits:
-                break
-            r = min(bits, max(1, 2 * r))
-        score = np.sqrt(((x[rows] - q[i]) ** 2).sum(axis=1))
-        if len(rows) > 4 * k:
-            close = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1])
-            rows, score = rows[close], score[close]
-        best = np.lexsort((ids[rows], score))[:k]
-        out.append((np.full(len(best), i), ids[rows[best]], score[best]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate([o[c] for o in out]) for c in range(3))
-
-
-def _matrix(rows: pa.Table, name: str) -> np.ndarray:
-    column = rows.column(name).combine_chunks()
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
-
-
-def _once(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, keys and vectors; rows that repeat an id and a vector once."""
-    ids, keys = rows.column("id").to_numpy(), rows.column("key").to_numpy()
-    _, first = np.unique(np.stack([ids, keys]), axis=1, return_index=True)
-    return ids[first], keys[first], _matrix(rows, "v")[first]
+class Shard:
+    """The rows of a shard with their index, made once."""
+
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, model):
+        self.ids, self.keys, self.x, self.model, self.index = ids, keys, x, model, MultiIndex(encode(x, model))
+        self.bits = self.index.codes.shape[1] * 8
+
+    def search(self, ids: np.ndarray, keys: np.ndarray, q: np.ndarray, radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in q, id, score) of the k nearest found of every query."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i, code in enumerate(encode(q, self.model)):
+            r = min(radius, self.bits)
+            while True:
+                rows = self.index.within(code, r) if r < self.bits else np.arange(len(self.x))
+                rows = rows[(self.ids[rows] != ids[i]) | (self.keys[rows] != keys[i])]
+                if len(rows) >= k or r >= self.bits:
+                    break
+                r = min(self.bits, max(1, 2 * r))
+            score = np.sqrt(((self.x[rows] - q[i]) ** 2).sum(axis=1))
+            if len(rows) > 4 * k:
+                close = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1])
+                rows, score = rows[close], score[close]
+            best = np.lexsort((self.ids[rows], score))[:k]
+            out.append((np.full(len(best), i), self.ids[rows[best]], score[best]))
+        return tuple(np.concatenate([o[c] for o in out]) for c in range(3))
+
+
+def _matrix(values: pa.Array) -> np.ndarray:
+    return np.asarray(values.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(values), -1)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, whether queries, ids, keys, vectors) of neighbouring rows alike in the first two."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        shard, asks = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+        ids, keys, x = b.column(2).to_numpy(), b.column(3).to_numpy(), _matrix(b.column(4))
+        cuts = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield int(shard[lo]), bool(asks[lo]), ids[lo:hi], keys[lo:hi], x[lo:hi]
 
 
 def nearest(
     vectors: DataFrame, *, every: int = 100, k: int = K, rotations: int = ROTATIONS, sample: int = SAMPLE, aim: float = AIM,
-    shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, id_col: str = "vec_id", vector_col: str = "embedding",
+    shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -152,20 +168,31 @@ def nearest(
     x = np.array([r["v"] for r in drawn], np.float64)
     model = learn(x, rotations)
     radius = radius_for(x, encode(x, model), k, aim)
-    shards, blocks = max(1, math.ceil(top["n"] / shard_rows)), max(1, math.ceil(top["q"] / block_rows))
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64("id", "key", F.lit("shard")), F.lit(shards)).cast("int"))
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = rows.where(F.col("id") % every == 0).withColumn("block", F.pmod(F.xxhash64("id", "key", F.lit("block")), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def meet(own: pa.Table, queries: pa.Table) -> pa.Table:
-        if not own.num_rows or not queries.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, keys, v = _once(own)
-        q_ids, q_keys, q = _once(queries)
-        at, found, score = search(v, ids, keys, q, q_ids, q_keys, model, radius, k)
-        return pa.table({"query_id": q_ids[at], "key": q_keys[at], "vec_id": found, "score": score})
-
-    met = placed.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(meet, "query_id long, key long, vec_id long, score double")
+    shards = max(1, math.ceil(top["n"] / shard_rows))
+    placed = rows.withColumn("shard", F.pmod(F.xxhash64("id", "key", F.lit("shard")), F.lit(shards)).cast("int")).withColumn("asks", F.lit(False))
+    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "key"])
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(True))
+    both = placed.unionByName(asked).select("shard", "asks", "id", "key", "v").repartition("shard").sortWithinPartitions("shard", "asks", "id", "key")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at, kept = None, None, []
+        for shard, asks, ids, keys, x in _runs(batches):
+            if shard != at:
+                own, at, kept = None, shard, []
+            if not asks:
+                fresh = np.ones(len(ids), bool)  # rows that repeat are neighbours
+                fresh[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+                if kept:
+                    fresh[0] = (ids[0], keys[0]) != (kept[-1][0][-1], kept[-1][1][-1])
+                if fresh.any():
+                    kept.append((ids[fresh], keys[fresh], x[fresh]))
+                continue
+            if own is None and kept:
+                own, kept = Shard(*[np.concatenate([part[c] for part in kept]) for c in range(3)], model), []
+            if own is not None:
+                place, found, score = own.search(ids, keys, x, radius, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[place]), pa.array(keys[place]), pa.array(found), pa.array(score)], names=["query_id", "key", "vec_id", "score"])
+
+    met = both.mapInArrow(meet, "query_id long, key long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy("score", "vec_id"))
     return met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -5,6 +6,7 @@ import pytest
 
 from spark_trials.llm import ann
 
+GIVEN = "/root/testdata/sf0.1/embeddings.parquet"
 SCHEMA = "vec_id long, embedding array<float>, shard int, key string"
 
 
@@ -31,7 +33,7 @@ def vectors():
 
 def test_recall_and_scores(spark, vectors):
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors], SCHEMA).repartition(6)
-    got = ann.nearest(df, shard_rows=400, block_rows=4).collect()
+    got = ann.nearest(df, shard_rows=400).collect()
     want = exact(vectors)
     assert {r["query_id"] for r in got} == set(want)
     hits = 0
@@ -60,3 +62,21 @@ def test_probing_finds_every_code_in_the_radius():
         q = codes[random.Random(radius).randrange(500)] ^ np.uint8(5)
         want = np.flatnonzero(np.bitwise_count(codes ^ q).sum(axis=1) <= radius)
         assert index.within(q, radius).tolist() == want.tolist()
+
+
+@pytest.mark.skipif(not os.path.exists(GIVEN), reason="the given table is not here")
+def test_recall_on_the_given_table(spark):
+    df = spark.read.parquet(GIVEN)
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], np.float64)
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(ids[ids % 100 == 0].tolist())
+    hits = 0
+    for q in got:
+        score = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        score[ids == q] = np.inf
+        hits += len(got[q] & set(ids[np.lexsort((ids, score))[:10]].tolist()))
+    assert hits >= 0.9 * 10 * len(got)
