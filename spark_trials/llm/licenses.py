@@ -6,13 +6,13 @@ any ``GRAM + WINDOW - 1`` words that it shares with a template, or all of a temp
 template; meetings of one template at nearby diagonals are one candidate, aligned within a band around them. Words that no
 template has are one symbol without a fingerprint, so a text costs a look-up for each word and little more.
 
-Notices must also hold the words that tell them from others (``TELLING``: version, NC, SA, Lesser, Affero). Of MIT,
-Apache-2.0-header, GPL-3.0-header, BSD-2-Clause and ISC the template is the opening of the text only, or cut: coverage is of
-that part, and a BSD-3-Clause text is reported as BSD-2-Clause.
+Templates that differ in a word or two must also hold the words that tell them from others (``TELLING``: version, NC, SA,
+Lesser, Affero). Short licenses are whole texts without the line of the copyright holder; of the GNU
+licenses, Apache and Mozilla the template is the header that files carry, and coverage is of that header.
 
 Defined results: one row for each match of a row of the input whose coverage, the share of the template's words that the
-alignment matches, is ``COVERAGE`` or more. Matches of one template that overlap in a text are one, the best (then the
-first); matches of different templates may overlap. Null and empty texts have none, repeated rows repeat theirs, a text of
+alignment matches, is ``COVERAGE`` or more. Of matches that overlap by half of the shorter one, the one that fits best
+stands for all: most words matched, then the greater coverage, then the first by place and name. Null and empty texts have none, repeated rows repeat theirs, a text of
 any length is read whole, other columns are not read, and an empty table gives an empty result.
 """
 
@@ -27,62 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_trials.llm.common import ship
+from spark_trials.llm.license_texts import NOTICES, TELLING, TEXTS
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.8
 WORDS = re.compile(r"[^\W_]+")
 
-#: Public license notices.
-TEMPLATES = {
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
-    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
-    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
-    "BSD-3-Clause-notice": "Released under the BSD 3-Clause License.",
-    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
-    "CC0-1.0-notice": "Licensed under CC0 1.0.",
-    "Unlicense-notice": "Released under the Unlicense.",
-    "All-rights-reserved-notice": "All rights reserved.",
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the "
-        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
-        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
-        "notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    ),
-    "Apache-2.0-header": (
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy "
-        "of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under "
-        "the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
-    ),
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
-        "Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
-        "copyright notice and this permission notice appear in all copies."
-    ),
-}
-
-#: Words that tell a notice from its neighbours; they must stand in the match, side by side.
-TELLING = {
-    "MIT-notice": "mit license", "Apache-2.0-notice": "apache license version 2 0", "GPL-2.0-notice": "gnu general public license version 2",
-    "GPL-3.0-notice": "gnu general public license version 3", "LGPL-2.1-notice": "lesser general public license version 2 1",
-    "LGPL-3.0-notice": "lesser general public license version 3", "AGPL-3.0-notice": "affero general public license version 3",
-    "MPL-2.0-notice": "mozilla public license version 2 0", "BSD-3-Clause-notice": "bsd 3 clause", "CC-BY-4.0-notice": "by 4 0", "CC-BY-SA-4.0-notice": "by sa 4 0",
-    "CC-BY-NC-4.0-notice": "by nc 4 0", "CC-BY-NC-SA-4.0-notice": "by nc sa 4 0", "CC0-1.0-notice": "cc0 1 0", "Unlicense-notice": "unlicense",
-    "All-rights-reserved-notice": "all rights reserved",
-}
+TEMPLATES = NOTICES | TEXTS
 
 
 class Index:
@@ -99,12 +49,12 @@ class Index:
             for at in self.winnow(grams).tolist():
                 self.places.setdefault(int(grams[at]), []).append((k, at))
         self.known = np.array(sorted(self.places), np.uint64)
-        self.telling = [[self.number.get(w, -1) for w in TELLING[n].split()] if templates[n] == TEMPLATES.get(n) and n in TELLING else [] for n in self.names]
+        told = [TELLING[n].split("|") if n in TELLING and templates[n] == TEMPLATES.get(n) else [] for n in self.names]
+        self.telling = [[[self.number.get(w, -1) for w in run.split()] for run in runs] for runs in told]
 
     def told(self, k: int, words: np.ndarray) -> bool:
-        """Whether the telling words of template ``k`` stand in ``words`` side by side."""
-        own = self.telling[k]
-        return not own or any(words[i : i + len(own)].tolist() == own for i in range(len(words) - len(own) + 1))
+        """Whether all runs of telling words of template ``k`` stand in ``words``, each side by side."""
+        return all(any(words[i : i + len(run)].tolist() == run for i in range(len(words) - len(run) + 1)) for run in self.telling[k])
 
     def grams(self, words: np.ndarray) -> np.ndarray:
         """Hashes of runs of words; the largest number where a word is in no template."""
@@ -182,20 +132,18 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE) -> list[tup
         return []
     found = [m.span() for m in WORDS.finditer(text)]
     words = np.fromiter((of(text[a:b].lower(), 0) for a, b in found), np.int64, len(found))
-    out: dict[int, list[tuple[float, int, int, int]]] = {}
+    met = []
     for k, low, high in index.candidates(words):
         matches, first, last = align(index.templates[k], words, low, high)
         share = matches / len(index.templates[k])
         if share >= coverage and index.told(k, words[first : last + 1]):
-            out.setdefault(k, []).append((share, first, last, matches))
-    rows = []
-    for k, own in sorted(out.items()):
-        taken: list[tuple[int, int]] = []
-        for share, first, last, matches in sorted(own, key=lambda x: (-x[0], x[1], x[2])):
-            if all(last < a or first > b for a, b in taken):
-                taken.append((first, last))
-                rows.append((index.names[k], share, found[first][0], found[last][1], matches))
-    return sorted(rows, key=lambda r: (r[2], r[3], r[0]))
+            met.append((matches, share, first, last, index.names[k]))
+    taken: list[tuple[int, float, int, int, str]] = []
+    for own in sorted(met, key=lambda m: (-m[0], -m[1], m[2], m[4])):
+        _, _, first, last, _ = own
+        if not any(2 * (min(last, t[3]) - max(first, t[2]) + 1) > min(last - first, t[3] - t[2]) + 1 for t in taken):
+            taken.append(own)
+    return sorted(((name, share, found[first][0], found[last][1], matches) for matches, share, first, last, name in taken), key=lambda r: (r[2], r[3], r[0]))
 
 
 def scan_licenses(
