@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,67 +136,73 @@ def _level(pcm: np.ndarray) -> str:
 STEP_BYTES = 4 << 20
 
 
-def digests(texts: list[str | None]) -> Iterator[tuple]:
-    """For each text (n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm_sha256)."""
+def _steps(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows of about ``STEP_BYTES`` together, one row at least."""
     lo = 0
-    while lo < len(texts):
-        hi, size, kept = lo, 0, []
-        while hi < len(texts) and (not kept or size < STEP_BYTES):
-            n, payload = padded(texts[hi])
-            media = store(payload)
-            kept.append((n, media, load(media)[3]))
-            size += len(payload)
+    while lo < len(sizes):
+        hi, total = lo, 0
+        while hi < len(sizes) and (hi == lo or total + sizes[hi] <= STEP_BYTES):
+            total += sizes[hi]
             hi += 1
-        blocks = np.frombuffer(b"".join(p for _, _, p in kept), np.uint8).reshape(-1, UNIT)
-        chained, at = adpcm(blocks), 0
-        for n, media, payload in kept:
-            raw = np.frombuffer(payload, np.uint8)
-            own = chained[at : at + len(payload) // UNIT].ravel()
-            at += len(payload) // UNIT
-            pcm = doubled(MULAW[raw])
-            feature = f"mulaw={_level(MULAW[raw])};alaw={_level(ALAW[raw])};adpcm={_level(own)}"
-            yield (
-                n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media),
-                hashlib.sha256(media).hexdigest(), feature, hashlib.sha256(pcm.tobytes()).hexdigest(),
-            )
+        yield lo, hi
         lo = hi
 
 
-def telephony(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, the figures of ``digests``.
+def _sizes(column: pa.Array) -> list[int]:
+    return [x or 0 for x in pc.binary_length(column).to_pylist()]
+
+
+def media_columns(docs: DataFrame, *, kind: str = "mulaw", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_bytes (of the text), media (the stored file), rate and pcm, what the file
+    decodes to, little-endian int16, resampled to twice the stored rate.
 
-    A null text is an empty one, whose payload is one unit of blanks. Rows do not depend on each other, so repeated rows
-    give repeated results; other columns are not read. An empty table gives an empty result.
+    A null text is an empty one, whose payload is one unit of blanks. Rows do not depend on each other, so repeated rows give
+    repeated results; ids are whole numbers or null, other columns are not read, and an empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_sha256"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                columns = list(zip(*digests(part.column(1).to_pylist()), strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["doc_id", *names])
+            for lo, hi in _steps(_sizes(b.column(1))):
+                texts = [padded(t) for t in b.column(1).slice(lo, hi - lo).to_pylist()]
+                media = [store(payload, kind) for _, payload in texts]
+                found = [decode(m) for m in media]
+                pcm = [doubled(p).astype("<i2").tobytes() for _, p in found]
+                columns = [pa.array([n for n, _ in texts], pa.int64()), pa.array(media, pa.binary()), pa.array([2 * r for r, _ in found], pa.int32()), pa.array(pcm, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *columns], names=["doc_id", "n_bytes", "media", "rate", "pcm"])
 
-    at = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in zip(names, kinds, strict=True))
-    return at.mapInArrow(run, f"doc_id long, {schema}")
+    at = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return at.mapInArrow(run, "doc_id long, n_bytes long, media binary, rate int, pcm binary")
 
 
-def media_columns(docs: DataFrame, *, kind: str = "mulaw", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, media, rate, pcm): the stored file and its PCM, little-endian int16, at twice the stored rate."""
-    ship(docs.sparkSession)
+def digests(stored: DataFrame) -> DataFrame:
+    """Figures of stored media (``media_columns``), from the bytes that are read back: doc_id, n_bytes, payload_bytes,
+    payload_sha256, tail_crc32, media_bytes, media_sha256, feature (levels of the payload as mu-law, A-law and ADPCM) and
+    pcm_sha256. Blocks of ADPCM of many rows are decoded together."""
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_sha256"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
-                media = [store(padded(t)[1], kind) for t in part.column(1).to_pylist()]
-                found = [decode(m) for m in media]
-                pcm = [doubled(p).astype("<i2").tobytes() for _, p in found]
-                rates = [2 * r for r, _ in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary()), pa.array(rates, pa.int32()), pa.array(pcm, pa.binary())], names=["doc_id", "media", "rate", "pcm"])
+            for lo, hi in _steps(_sizes(b.column(2))):
+                part = b.slice(lo, hi - lo)
+                media, pcm = part.column(2).to_pylist(), part.column(3).to_pylist()
+                payloads = [load(m)[3] for m in media]
+                chained, at, rows = adpcm(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, UNIT)), 0, []
+                for n, m, payload, samples in zip(part.column(1).to_pylist(), media, payloads, pcm, strict=True):
+                    raw = np.frombuffer(payload, np.uint8)
+                    own = chained[at : at + len(payload) // UNIT].ravel()
+                    at += len(payload) // UNIT
+                    feature = f"mulaw={_level(MULAW[raw])};alaw={_level(ALAW[raw])};adpcm={_level(own)}"
+                    sha = [hashlib.sha256(x).hexdigest() for x in (payload, m, samples)]
+                    rows.append((n, len(payload), sha[0], zlib.crc32(payload[-16:]), len(m), sha[1], feature, sha[2]))
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["doc_id", *names])
+
+    schema = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in zip(names, kinds, strict=True))
+    return stored.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, f"doc_id long, {schema}")
 
-    at = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return at.mapInArrow(run, "doc_id long, media binary, rate int, pcm binary")
+
+def telephony(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: the figures of its stored media."""
+    return digests(media_columns(docs, id_col=id_col, text_col=text_col))

@@ -71,6 +71,33 @@ def test_resampling():
     assert len(tel.doubled(np.zeros(0, np.int16))) == 0
 
 
+def level(samples):
+    turns = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:], strict=False))
+    return f"{len(samples)},{sum(x * x for x in samples)},{turns},{max(map(abs, samples))}"
+
+
+def test_features_sample_by_sample(docs, docs_rows, spark):
+    """Every feature and the PCM again, one sample after another; one text of many batches' bytes among them."""
+    long = "ab é\n" * 300_000
+    rows = [(i, t) for i, t, *_ in docs_rows if len(t or "") < 800][:40]
+    got = tel.telephony(spark.createDataFrame([*rows, (99, long)], "doc_id long, text string")).collect()
+    assert len(got) == len(rows) + 1
+    want = {}
+    for _, text in rows:
+        raw = (text or "").encode()
+        payload = raw + b" " * (max(192, (len(raw) + 191) // 192 * 192) - len(raw))
+        mu = [mulaw(b) for b in payload]
+        chained = [x for k in range(0, len(payload), 192) for x in adpcm(payload[k : k + 192])]
+        wide = [mu[0], *mu, mu[-1], mu[-1]]
+        doubled = [v for k in range(len(mu)) for v in (mu[k], max(-32768, min(32767, (9 * (wide[k + 1] + wide[k + 2]) - wide[k] - wide[k + 3] + 8) >> 4)))]
+        pcm = hashlib.sha256(b"".join(x.to_bytes(2, "little", signed=True) for x in doubled)).hexdigest()
+        want[hashlib.sha256(payload).hexdigest()] = (f"mulaw={level(mu)};alaw={level([alaw(b) for b in payload])};adpcm={level(chained)}", pcm)
+    for r in got:
+        if r["doc_id"] != 99:
+            assert (r["feature"], r["pcm_sha256"]) == want[r["payload_sha256"]]
+    assert next(r for r in got if r["doc_id"] == 99)["n_bytes"] == len(long.encode())
+
+
 def test_query_columns(docs, docs_rows, clashing, no_docs, spark):
     def plain(text):
         raw = (text or "").encode()
