@@ -52,6 +52,8 @@ class ShiftAnd:
                     at_star = False
             bits[-1] = (bits[-1][0], True)  # what follows the prefix is free
             self.last.append(len(bits) - 1)
+        # Behind so many bytes of the path no rule can move; a star within a path has no such place.
+        self.reach = None if any("*" in path for _, path, _ in ranked) else max((len(path.encode()) for _, path, _ in ranked), default=0)
         self.words = (len(bits) + 63) // 64
         self.enter = np.zeros((256, self.words), np.uint64)
         self.stay = np.zeros(self.words, np.uint64)
@@ -70,7 +72,8 @@ class ShiftAnd:
         out = np.full(len(urls), -1, np.int64)
         if not self.names or not urls:
             return out
-        lengths = np.fromiter(map(len, urls), np.int64, len(urls))
+        ends = map(len, urls) if self.reach is None else (min(len(u), u.index(BORDER) + 1 + self.reach) for u in urls)
+        lengths = np.fromiter(ends, np.int64, len(urls))
         order = np.argsort(-lengths, kind="stable")
         lo = 0
         while lo < len(order):  # long URLs in small blocks: the cells of a block are bounded
@@ -84,7 +87,7 @@ class ShiftAnd:
         width = int(lengths[0])
         grid = np.zeros((len(urls), width), np.uint8)
         for i, u in enumerate(urls):
-            grid[i, : len(u)] = np.frombuffer(u, np.uint8)
+            grid[i, : lengths[i]] = np.frombuffer(u, np.uint8, lengths[i])
         state = np.broadcast_to(self.start, (len(urls), self.words)).copy()
         one, top = np.uint64(1), np.uint64(63)
         for k in range(width):

@@ -49,3 +49,15 @@ def test_many_wildcards_over_several_words():
     for (host, path), at in zip(urls, got.tolist(), strict=True):
         fits = [k for k, (h, p, _) in enumerate(ranked) if fnmatch.fnmatchcase("." + host, "*." + h) and fnmatch.fnmatchcase(path, p + "*")]
         assert at == (fits[0] if fits else -1)
+
+
+def test_long_urls_stop_where_no_rule_can_move():
+    rng = random.Random(5)
+    rules = [("".join(rng.choice("ab*.") for _ in range(rng.randint(1, 4))), "/" + "".join(rng.choice("abé") for _ in range(rng.randint(0, 5))), "block") for _ in range(40)]
+    machine = ShiftAnd(rules)
+    urls = [("".join(rng.choice("ab.") for _ in range(rng.randint(0, 5))), "/" + "".join(rng.choice("abé") for _ in range(rng.randint(0, 9)))) for _ in range(200)]
+    urls += [(h, p + "a" * 2_000_000) for h, p in urls[:3]]
+    ranked = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
+    for (host, path), at in zip(urls, machine.best([canonical(*u) for u in urls]).tolist(), strict=True):
+        fits = [k for k, (h, p, _) in enumerate(ranked) if fnmatch.fnmatchcase("." + host, "*." + h) and path.startswith(p)]
+        assert at == (fits[0] if fits else -1)
