@@ -148,19 +148,29 @@ def row_digest() -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(f) if isinstance(f, str) else f, F.lit("")) for f in fields]), 256)
 
 
-def ledger_digest(ledger: DataFrame, *, prefix: int = 2) -> DataFrame:
+def ledger_digest(ledger: DataFrame, *, prefix: int = 4) -> DataFrame:
     """One row: the digest and the number of rows. Buckets are prefixes of the hashed id, so any partitioning gives the
-    same digest: rows in id order within a bucket, then buckets in order. No task gets more than a bucket."""
+    same digest: a tree of rows in id order within a bucket, buckets within their first two digits, and these in order. No
+    task gets more than a bucket, one row in 65,536, or as many digests as there are hexadecimal numbers of half its digits."""
     rows = ledger.select(F.substring(F.sha2("participant_id", 256), 1, prefix).alias("bucket"), "participant_id", row_digest().alias("digest"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("participant_id", "digest"))), lambda r: r["digest"])
-    buckets = rows.groupBy("bucket").agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda r: r["digest"])
-    return buckets.agg(F.sha2(F.array_join(whole, "\n"), 256).alias("ledger_sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    buckets = rows.groupBy("bucket").agg(_digest_of("participant_id").alias("digest"), F.count(F.lit(1)).alias("n"))
+    tops = buckets.groupBy(F.substring("bucket", 1, prefix // 2).alias("top")).agg(_digest_of("bucket").alias("digest"), F.sum("n").alias("n"))
+    return tops.agg(_digest_of("top").alias("ledger_sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
-def reused_blocks(df: DataFrame, group: str, *, position: str = "position", arm: str = "arm") -> DataFrame:
-    """Groups whose ordered arm sequence another group has too: group, sequence hash, groups with it."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(position, arm))), lambda r: r[arm])
-    hashes = df.groupBy(group).agg(F.sha2(F.array_join(ordered, ","), 256).alias("sequence_sha256"))
+def _digest_of(order: str) -> Column:
+    """The digest of a group's digests, in the order of a column."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "digest"))), lambda r: r["digest"]), "\n"), 256)
+
+
+def reused_blocks(df: DataFrame, group: str, *, position: str = "position", arm: str = "arm", part: int = 4096) -> DataFrame:
+    """Groups whose whole ordered arm sequence another group has too: group, sequence hash, groups with it.
+
+    A group is digested in parts of ``part`` positions, and the parts' digests in order, so no task holds the arms of a group.
+    """
+    keyed = df.select(group, F.floor(F.col(position) / part).alias("_part"), F.col(position).alias("_at"), F.col(arm).alias("_arm"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_arm"))), lambda r: r["_arm"])
+    parts = keyed.groupBy(group, "_part").agg(F.sha2(F.array_join(ordered, ","), 256).alias("digest"))
+    hashes = parts.groupBy(group).agg(_digest_of("_part").alias("sequence_sha256"))
     sharing = hashes.groupBy("sequence_sha256").agg(F.count(F.lit(1)).alias("groups"))
     return hashes.join(sharing, "sequence_sha256").select(group, "sequence_sha256", "groups", (F.col("groups") > 1).alias("reused"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spark_trials.functions import stats
 from spark_trials.operators.assignment import BLOCKS, HOLDOUT
-from spark_trials.operators.contracts import ContractError, binary_rules, count_rules, require_none
+from spark_trials.operators.contracts import ContractError, binary_rules, count_rules, require_columns, require_none
 from spark_trials.operators.effects import block_effects, paired_with_control, with_binary_effect
 
 # The decision rule's gates, guardrails and method names.
@@ -50,13 +50,59 @@ def factorial_violations(df: DataFrame, outcomes: Sequence[str], *, id_col: str
     return out.unionByName(shape.select(F.inline(pairs)))
 
 
-def arm_cube(df: DataFrame, outcomes: Sequence[str], blocks: Sequence[str] = BLOCKS) -> DataFrame:
-    """(blocks, arm, n, one sum for each outcome): the one pass over rows that all families start from."""
+def validate_factorial_frame(df: DataFrame, outcomes: Sequence[str], *, id_col: str = "participant_id", holdout: str = HOLDOUT) -> DataFrame:
+    """``df`` as it is, or an error with the counts of the rules it breaks; a frame without rows breaks them too."""
+    require_columns(df, [id_col, "arm", "content", "cadence", *outcomes])
+    require_none(factorial_violations(df, outcomes, id_col=id_col, holdout=holdout), "factorial frame")
+    return df
+
+
+def arm_cube(df: DataFrame, outcomes: Sequence[str], blocks: Sequence[str] = BLOCKS, *, holdout: str = HOLDOUT, check: bool = True) -> DataFrame:
+    """(blocks, arm, n, one sum for each outcome): the one pass over rows that all families start from.
+
+    The frame is validated first (``check``): what a repeated unit or an outcome of 2 did cannot be seen in the sums.
+    """
+    if check:
+        labels = {f"{b}_missing": F.col(b).isNull() | (F.trim(F.col(b).cast("string")) == "") for b in blocks}
+        if labels:
+            require_none(count_rules(df, labels), "block labels")
+        validate_factorial_frame(df, outcomes, holdout=holdout)
     return df.groupBy(*blocks, "arm").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(o).cast("long")).alias(o) for o in outcomes])
 
 
-def primary_family(cube: DataFrame, *, outcome: str = "funded_14d", holdout: str = HOLDOUT, alpha: float = 0.05, blocks: Sequence[str] | None = BLOCKS) -> DataFrame:
-    """Six active arms against the holdout: block-standardized, or pooled where ``blocks`` is None; Holm over the six."""
+def cube_violations(cube: DataFrame, outcomes: Sequence[str], *, holdout: str = HOLDOUT, blocks: Sequence[str] | None = BLOCKS) -> DataFrame:
+    """(rule, violations) of a count cube: six active arms and the holdout, whole counts, and in every block the same number
+    of units, two at least, in all seven arms (where ``blocks`` are named)."""
+    n, active = F.col("n"), F.when(F.col("arm") != holdout, F.col("arm"))
+    rules = {"arm_missing": F.col("arm").isNull(), "count_not_positive": n.isNull() | (n < 1)}
+    rules |= {f"{o}_not_a_count": F.coalesce((F.col(o) < 0) | (F.col(o) > n), F.lit(True)) for o in outcomes}
+    out = count_rules(cube, rules)
+    shape = cube.agg(F.abs(F.countDistinct(active) - CELLS).alias("active_arms_not_six"), F.when(F.count_if(F.col("arm") == holdout) > 0, 0).otherwise(1).alias("holdout_absent"))
+    if blocks:
+        by = cube.groupBy(*blocks).agg(F.countDistinct("arm").alias("a"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
+        bad = (F.col("a") != CELLS + 1) | (F.col("rows") != CELLS + 1) | (F.col("low") != F.col("high")) | (F.col("low") < 2)
+        shape = shape.join(by.agg(F.count_if(bad).alias("blocks_not_balanced")), F.lit(True))
+    pairs = F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).cast("long").alias("violations")) for c in shape.columns])
+    return out.unionByName(shape.select(F.inline(pairs)))
+
+
+def _alpha(alpha: float) -> float:
+    if isinstance(alpha, bool) or not isinstance(alpha, (int, float)) or not 0.0 < alpha < 1.0:
+        raise ContractError("alpha must be between 0 and 1")
+    return float(alpha)
+
+
+def primary_family(
+    cube: DataFrame, *, outcome: str = "funded_14d", holdout: str = HOLDOUT, alpha: float = 0.05, blocks: Sequence[str] | None = BLOCKS, check: bool = True
+) -> DataFrame:
+    """Six active arms against the holdout: block-standardized, or pooled where ``blocks`` is None; Holm over the six.
+
+    A cube that lacks the holdout or an arm, in a block or in all of them, or whose blocks are unequal fails (``check``).
+    """
+    alpha = _alpha(alpha)
+    if check:
+        require_columns(cube, [*(blocks or []), "arm", "n", outcome])
+        require_none(cube_violations(cube, [outcome], holdout=holdout, blocks=blocks), "count cube")
     by_arm = cube.groupBy("arm").agg(F.sum("n").alias("n"), F.sum(outcome).alias("successes"))
     pooled = paired_with_control(by_arm, holdout, [])
     pooled = pooled.select(
@@ -86,11 +132,17 @@ def primary_family(cube: DataFrame, *, outcome: str = "funded_14d", holdout: str
     return out.withColumn("superiority_pass", F.col("holm_significant") & (F.col("risk_difference") > 0.0))
 
 
-def guardrail_family(cube: DataFrame, margins: Mapping[str, float], *, holdout: str = HOLDOUT, alpha: float = 0.05) -> DataFrame:
-    """Each guardrail and active arm, over all randomized units: an upper bound at alpha / 12, strictly under the margin."""
-    outcomes = list(margins)
+def guardrail_family(cube: DataFrame, margins: Mapping[str, float], *, holdout: str = HOLDOUT, alpha: float = 0.05, check: bool = True) -> DataFrame:
+    """Each guardrail and active arm, over all randomized units: an upper bound at alpha / 12, strictly under the margin.
+
+    A cube that lacks the holdout or an arm, or whose sums are no counts, fails (``check``).
+    """
+    outcomes, alpha = list(margins), _alpha(alpha)
     if len(outcomes) != 2 or any(isinstance(m, bool) or not 0.0 <= float(m) < 1.0 for m in margins.values()):
         raise ContractError("two guardrails with margins in [0, 1) are needed")
+    if check:
+        require_columns(cube, ["arm", "n", *outcomes])
+        require_none(cube_violations(cube, outcomes, holdout=holdout, blocks=None), "count cube")
     size = CELLS * len(outcomes)
     by_arm = cube.groupBy("arm").agg(F.sum("n").alias("n"), *[F.sum(o).alias(o) for o in outcomes])
     long = by_arm.select("arm", "n", F.inline(F.array(*[F.struct(F.lit(o).alias("outcome"), F.lit(float(m)).alias("noninferiority_margin"), F.col(o).alias("successes")) for o, m in margins.items()])))
@@ -117,6 +169,15 @@ def guardrail_family(cube: DataFrame, margins: Mapping[str, float], *, holdout:
     )
 
 
+def settled(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """A family or the gates, a dozen rows by contract, computed once and held as a local table, so that the checks, the
+    decision and a report do not run what they come from again. A larger table is no such thing and fails."""
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ContractError(f"a decision table has at most {rows} rows")
+    return df.sparkSession.createDataFrame(found, df.schema)
+
+
 def negative_control(family: DataFrame, significant: str = "holm_significant") -> DataFrame:
     """One row: passed if no comparison of the family is rejected."""
     return family.agg(F.count(F.lit(1)).alias("comparisons"), F.count_if(significant).alias("rejections"), (~F.bool_or(significant)).alias("passed"))

@@ -70,36 +70,37 @@ def with_mde(counts: DataFrame, *, alpha: float = 0.05, power: float = 0.8) -> D
 
 
 def paired_with_control(counts: DataFrame, control: str, keys: Sequence[str], *, arm: str = "arm", values: Sequence[str] = ("n", "successes")) -> DataFrame:
-    """Rows of the active arms of a count table with the control's values of the same key as ``control_<value>``.
+    """Rows of the active arms of a count table with the control's values of the same key as ``control_<value>``; null where
+    a key lacks the control, so that no row goes.
 
     The table is aggregated: a handful of rows for each key, joined to itself on the key.
     """
     own = counts.where(F.col(arm) == control).select(*keys, *[F.col(v).alias(f"control_{v}") for v in values])
     active = counts.where(F.col(arm) != control)
-    return active.join(own, list(keys)) if keys else active.join(own, F.lit(True))
+    return active.join(own, list(keys), "left") if keys else active.join(own, F.lit(True), "left")
 
 
 def sample_variance(successes: Column, n: Column) -> Column:
-    """Variance (n - 1) of n binary values, from counts."""
-    rate = successes / n
-    return rate * (1.0 - rate) * n / (n - 1)
+    """Variance (n - 1) of n binary values, from counts; null of fewer than two."""
+    rate = successes / F.nullif(n, F.lit(0))
+    return rate * (1.0 - rate) * n / F.nullif(n - 1, F.lit(0))
 
 
 def block_effects(counts: DataFrame, control: str, *, blocks: Sequence[str], family: Sequence[str] = (), arm: str = "arm", confidence: float = 0.95) -> DataFrame:
     """Block-standardized risk differences of all arms against ``control``, from counts (family, blocks, arm, n, successes).
 
-    A block weighs its share of the two arms' rows; the variance is the stratified Neyman one. Blocks with unequal or
-    fewer than two rows in an arm are counted in ``bad_blocks``, a variance that is not positive sets ``valid`` false, and
-    then p is 1: rows are never dropped.
+    A block weighs its share of the two arms' rows; the variance is the stratified Neyman one. Blocks that lack one of the two
+    arms, or have unequal or fewer than two rows in them, are counted in ``bad_blocks``; a variance that is not positive, or
+    a bad block, sets ``valid`` false, and then p is 1: rows are never dropped.
     """
     z = stats.z_two_sided(confidence)
     pairs = paired_with_control(counts, control, [*family, *blocks], arm=arm)
     n, m = F.col("n"), F.col("control_n")
     pairs = pairs.withColumns(
         {
-            "_w": n + m, "_t": F.col("successes") / n, "_c": F.col("control_successes") / m,
-            "_v": sample_variance(F.col("successes"), n) / n + sample_variance(F.col("control_successes"), m) / m,
-            "_bad": (n != m) | (n < 2),
+            "_w": n + F.coalesce(m, F.lit(0)), "_t": F.col("successes") / F.nullif(n, F.lit(0)), "_c": F.col("control_successes") / F.nullif(m, F.lit(0)),
+            "_v": sample_variance(F.col("successes"), n) / F.nullif(n, F.lit(0)) + sample_variance(F.col("control_successes"), m) / F.nullif(m, F.lit(0)),
+            "_bad": F.coalesce((n != m) | (n < 2), F.lit(True)),
         }
     )
     total = F.sum("_w")
@@ -109,7 +110,11 @@ def block_effects(counts: DataFrame, control: str, *, blocks: Sequence[str], fam
         (F.sum(F.col("_w") * F.col("_c")) / total).alias("control_rate"), (F.sum(F.col("_w") * F.col("_w") * F.col("_v")) / total / total).alias("_var"),
         F.count(F.lit(1)).alias("block_count"), F.count_if("_bad").alias("bad_blocks"),
     )
-    valid = F.coalesce((F.col("_var") > 0.0) & (F.col("_var") < float("inf")) & ~F.isnan("_var"), F.lit(False))
+    # Blocks of any arm that this one is not in are bad as well.
+    all_ = counts.groupBy(*family).agg(F.countDistinct(F.struct(*blocks)).alias("_all"))
+    out = out.join(all_, list(family)) if family else out.join(all_, F.lit(True))
+    out = out.withColumn("bad_blocks", F.col("bad_blocks") + F.col("_all") - F.col("block_count")).drop("_all")
+    valid = F.coalesce((F.col("bad_blocks") == 0) & (F.col("_var") > 0.0) & (F.col("_var") < float("inf")) & ~F.isnan("_var"), F.lit(False))
     out = out.withColumn("valid", valid).withColumn("absolute_effect", F.col("treatment_rate") - F.col("control_rate"))
     out = out.withColumn("standard_error", F.when(F.col("valid"), F.sqrt("_var"))).drop("_var")
     gap = F.lit(z) * F.col("standard_error")

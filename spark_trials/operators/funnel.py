@@ -8,20 +8,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_trials.functions.stats import wilson, z_two_sided
-from spark_trials.operators.contracts import ContractError, count_rules, exposure_rules, require_columns, require_none
+from spark_trials.operators.contracts import ContractError, count_rules, exposure_rules, known_or_error, require_columns, require_instants, require_none
 
 
 def funnel_membership(
     events: DataFrame, stages: Sequence[str], *, cohort: DataFrame | None = None, id_col: str = "participant_id", event_col: str = "event_type",
-    time_col: str = "event_at", entry_time_col: str = "assigned_at", day_gap: int | None = None,
+    time_col: str = "event_at", entry_time_col: str = "assigned_at", day_gap: int | None = None, fail_on_orphan_events: bool = True,
 ) -> DataFrame:
     """Each member with ``<stage>_at`` and ``<stage>_reached``: the first time of a stage strictly after the one before.
 
     All windows share one partitioning by id and have no order, so any number of stages costs one exchange and no sort
     of an id's events by time; a per-id minimum never holds a list. With ``day_gap`` a stage must fall that many calendar
-    days after the one before. Members without events are kept; without a cohort, members are the ids of stage events.
+    days after the one before. Members without events are kept; without a cohort, members are the ids of stage events. With one, a
+    stage event of an unknown id ends the job when it is met, or is passed over without ``fail_on_orphan_events``.
     """
     require_columns(events, [id_col, event_col, time_col])
+    require_instants(events, [time_col])
     if not stages or len({*stages}) != len(stages):
         raise ContractError("stages must be distinct and not empty")
     work = events.where(F.col(event_col).isin(*stages)).select(id_col, F.col(event_col).alias("_e"), F.col(time_col).alias("_t"))
@@ -29,7 +31,11 @@ def funnel_membership(
         base = work.select(id_col).distinct()
     else:
         base = cohort
-        work = work.join(cohort.select(id_col, F.col(entry_time_col).alias("_entry")), id_col).where(F.col("_t") >= F.col("_entry"))
+        require_instants(cohort, [entry_time_col])
+        work = work.join(cohort.select(id_col, F.col(entry_time_col).alias("_entry")), id_col, "left" if fail_on_orphan_events else "inner")
+        if fail_on_orphan_events:
+            work = known_or_error(work, "_entry")
+        work = work.where(F.col("_t") >= F.col("_entry"))
     own = Window.partitionBy(id_col)
     previous = None
     for k, stage in enumerate(stages):
@@ -77,13 +83,15 @@ def exposure_risk(
 ) -> DataFrame:
     """By group, among actual recipients only: recipients, people with the event, events, deliveries and both rates.
 
-    An event of a participant with no delivery fails (``check``). The name of the event is a parameter, so the same job
+    An event of a participant with no delivery, or of an unknown one, fails (``check``). The name of the event is a parameter, so the same job
     reports bounces and delivery failures.
     """
     require_columns(cohort, [id_col, by, exposure_col])
     counts = events.where(F.col(event_col) == event).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-    work = cohort.select(id_col, by, exposure_col).join(counts, id_col, "left").fillna(0, ["_n"])
+    own = cohort.select(id_col, by, exposure_col, F.lit(True).alias("_known"))
+    work = own.join(counts, id_col, "full_outer" if check else "left").fillna(0, ["_n"])
     if check:
+        require_none(count_rules(work, {"event_of_unknown_participant": F.col("_known").isNull()}), "events")
         rules = exposure_rules(cohort, exposure_col) | {"group_missing": F.col(by).isNull(), "event_without_exposure": (F.col(exposure_col) == 0) & (F.col("_n") > 0)}
         require_none(count_rules(work, rules), "cohort")
     people, ones, total, sent = F.count(F.lit(1)), F.count_if(F.col("_n") > 0), F.sum("_n"), F.sum(F.col(exposure_col).cast("double"))

@@ -7,8 +7,9 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spark_trials.operators.assignment import BLOCKS, CADENCES, CONTENTS, HOLDOUT
-from spark_trials.operators.contracts import ContractError, count_rules, require_exact_columns
+from spark_trials.functions import stats
+from spark_trials.operators.assignment import ARMS, BLOCKS, CADENCES, CONTENTS, HOLDOUT, validate_ledger
+from spark_trials.operators.contracts import ContractError, count_rules, require_exact_columns, require_none
 
 # Event types, the outcomes they make, and the design's clocks.
 EVENT_TYPES = ("delivered", "funded", "unsubscribed", "complained", "pre_period_engaged")
@@ -32,7 +33,7 @@ def event_violations(ledger: DataFrame, events: DataFrame) -> DataFrame:
         "unknown_cadence": d.isNotNull() & ~d.isin(*CADENCES),
     }
     out = count_rules(events, rules)
-    payload = [k for k in EVENT_COLUMNS if k != "event_id"]
+    payload = [k for k in EVENT_COLUMNS if k not in ("event_id", "available_at")]
     for name, key in (("duplicate_event_id", ["event_id"]), ("duplicate_payload", payload)):
         n = F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).cast("long").alias("violations")
         out = out.unionByName(events.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).agg(n).select(F.lit(name).alias("rule"), "violations"))
@@ -40,6 +41,13 @@ def event_violations(ledger: DataFrame, events: DataFrame) -> DataFrame:
     return out.unionByName(lost.select(F.lit("orphan_participant").alias("rule"), "violations"))
 
 
+def validate_events(ledger: DataFrame, events: DataFrame) -> DataFrame:
+    """``events`` as they are, or an error with the counts of the rules that they, or the ledger, break."""
+    validate_ledger(ledger)
+    require_none(event_violations(ledger, events), "event table")
+    return events
+
+
 def joined(ledger: DataFrame, events: DataFrame) -> DataFrame:
     """Events with their unit's arm, factors and time: one shuffle that the audits and the frame below can share."""
     own = ledger.select("participant_id", "arm", F.col("content").alias("own_content"), F.col("cadence").alias("own_cadence"), "assigned_at")
@@ -104,11 +112,13 @@ def followup_audit(ledger: DataFrame, events: DataFrame, *, data_freeze: Column,
     return out.withColumn("passed", clean)
 
 
-def itt_frame(ledger: DataFrame, events: DataFrame, *, data_freeze: Column, followup: timedelta = FOLLOWUP) -> DataFrame:
+def itt_frame(ledger: DataFrame, events: DataFrame, *, data_freeze: Column, followup: timedelta = FOLLOWUP, check: bool = True) -> DataFrame:
     """One row for each randomized unit: three windowed outcomes and the pre-period flag, from events that had arrived.
 
-    All four come from one conditional aggregate over one join; units without events are kept as zeros.
+    Ledger and events are validated first (``check``). All four come from one conditional aggregate over one join; units without events are kept as zeros.
     """
+    if check:
+        validate_events(ledger, events)
     wanted = events.where(F.col("available_at") <= data_freeze).where(F.col("event_type").isin(*OUTCOMES.values(), "pre_period_engaged"))
     e = wanted.select("participant_id", "event_type", "event_at", "available_at").join(ledger.select("participant_id", "assigned_at"), "participant_id")
     inside = (F.col("event_at") >= F.col("assigned_at")) & (F.col("event_at") < F.col("assigned_at") + F.lit(followup)) & (F.col("event_at") <= data_freeze)
@@ -134,3 +144,25 @@ def source_completeness(endpoints: DataFrame, watermarks: DataFrame, required: C
     """Each declared endpoint with its watermark; complete only if there is one, and not before ``required``."""
     met = endpoints.join(watermarks, "endpoint", "left")
     return met.withColumn("complete", F.coalesce(F.col("complete_through") >= required, F.lit(False)))
+
+
+def report_figures(ledger: DataFrame, frame: DataFrame, events: DataFrame, *, baseline: float = 0.04, alpha: float = 0.05, power: float = 0.8) -> DataFrame:
+    """(section, name, value) of the report: population, event counts and the plan, whose detectable difference comes from a
+    declared baseline, the smallest arm and alpha over the six comparisons, and never from an observed rate."""
+    n, arms = F.count(F.lit(1)), ledger.groupBy("arm").agg(F.count(F.lit(1)).alias("n"))
+
+    def rows(df: DataFrame, section: str, values: dict[str, Column]) -> DataFrame:
+        one = df.agg(*[c.cast("double").alias(name) for name, c in values.items()])
+        pairs = F.array(*[F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), F.col(name).alias("value")) for name in values])
+        return one.select(F.inline(pairs))
+
+    people = rows(ledger, "population", {"eligible": n, "randomized": n, "assignment_blocks": F.countDistinct(F.struct(*BLOCKS))})
+    people = people.unionByName(rows(frame, "population", {"itt_analyzed": n}))
+    counts = rows(events, "event_counts", {"total": n, **{t: F.count_if(F.col("event_type") == t) for t in EVENT_TYPES}})
+    size = F.min("n")
+    each = alpha / (len(ARMS) - 1)
+    plan = {"baseline_funding_rate": F.lit(baseline), "planned_units_per_arm": size, "planning_alpha_per_comparison": F.lit(each), "power": F.lit(power)}
+    effect = stats.mde(F.lit(baseline), F.col("planned_units_per_arm"), F.col("planned_units_per_arm"), alpha=each, power=power)
+    smallest = arms.agg(size.alias("planned_units_per_arm")).withColumn("e", effect)
+    planned = rows(arms, "prospective_power_plan", plan).unionByName(rows(smallest, "prospective_power_plan", {"approximate_mde_absolute": F.max("e")}))
+    return people.unionByName(counts).unionByName(planned)

@@ -216,8 +216,8 @@ O["q_tz_contract"] = (
     "epoch_us(min(CASE WHEN o_orderkey % 4 < 2 THEN o_orderdate END)) AS first_at, epoch_us(max(CASE WHEN o_orderkey % 4 < 2 THEN o_orderdate END)) AS last_at FROM orders GROUP BY 1"
 )
 O["q_one_to_one"] = (
-    "WITH l AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 5 > 0), r AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) "
-    "SELECT coalesce(l.c_custkey, r.o_custkey) AS c_custkey, l.c_nationkey AS c_nationkey_left, r.n AS c_nationkey_right, l.c_custkey IS NOT NULL AS in_left, r.o_custkey IS NOT NULL AS in_right FROM l FULL OUTER JOIN r ON l.c_custkey = r.o_custkey"
+    "WITH l AS (SELECT CASE WHEN c_custkey % 5 > 0 THEN c_custkey ELSE -c_custkey END AS c_custkey, c_nationkey FROM customer), r AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) "
+    "SELECT coalesce(l.c_custkey, r.o_custkey) AS c_custkey, l.c_nationkey AS c_nationkey_left, r.n AS c_nationkey_right FROM l FULL OUTER JOIN r ON l.c_custkey = r.o_custkey"
 )
 O["q_join_amplification"] = with_(B_COHORT, B_EVENTS, "j AS (SELECT c.participant_id FROM b_cohort c LEFT JOIN b_events e USING (participant_id))") + (
     "SELECT b.n AS rows_before, b.s AS subjects_before, a.n AS rows_after, a.s AS subjects_after, " + r9("a.n / CAST(b.n AS DOUBLE)") + " AS amplification "
@@ -245,7 +245,8 @@ C_EVENTS = """c_events AS (SELECT event_id, participant_id, event_type, event_at
 C_CLEAN = """c_clean AS (SELECT e.* FROM c_events e JOIN c_ledger l USING (participant_id) WHERE NOT (
     (event_type IN ('funded', 'unsubscribed', 'complained') AND event_at < assigned_at)
     OR (event_at >= assigned_at AND event_at < assigned_at + INTERVAL 365 DAY AND available_at > TIMESTAMP '1999-01-15')
-    OR (event_type = 'pre_period_engaged' AND (event_at >= assigned_at OR available_at > assigned_at))))"""
+    OR (event_type = 'pre_period_engaged' AND (event_at >= assigned_at OR available_at > assigned_at)))
+  QUALIFY row_number() OVER (PARTITION BY e.participant_id, event_type, event_at, delivered_content, delivered_cadence ORDER BY event_id) = 1)"""
 
 
 def within(kind: str) -> str:
@@ -283,9 +284,15 @@ STAMP = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'"
 O["q_ledger_digest"] = with_(
     *C_BASE,
     f"""rows_ AS (SELECT participant_id, sha256(concat_ws(chr(31), participant_id, {BLOCKS}, {STAMP.format('eligible_at')}, {STAMP.format('assigned_at')}, arm, coalesce(content, ''), coalesce(cadence, ''), printf('%.17g', expected_probability), randomization_version)) AS digest FROM c_ledger)""",
-    "buckets AS (SELECT substr(sha256(participant_id), 1, 2) AS bucket, sha256(string_agg(digest, chr(10) ORDER BY participant_id)) AS digest, count(*) AS n FROM rows_ GROUP BY 1)",
-) + "SELECT sha256(string_agg(digest, chr(10) ORDER BY bucket)) AS ledger_sha256, CAST(sum(n) AS BIGINT) AS rows FROM buckets"
-O["q_block_reuse"] = with_(*C_BASE[:3], f"h AS (SELECT lifecycle_segment || '|' || tenure_band || '|' || assignment_wave AS block, sha256(string_agg({ARM_CASE}, ',' ORDER BY rk)) AS sequence_sha256 FROM c_ranked WHERE rk < 14 GROUP BY 1)") + "SELECT block, sequence_sha256, count(*) OVER (PARTITION BY sequence_sha256) AS groups, count(*) OVER (PARTITION BY sequence_sha256) > 1 AS reused FROM h"
+    "buckets AS (SELECT substr(sha256(participant_id), 1, 4) AS bucket, sha256(string_agg(digest, chr(10) ORDER BY participant_id)) AS digest, count(*) AS n FROM rows_ GROUP BY 1)",
+    "tops AS (SELECT substr(bucket, 1, 2) AS top, sha256(string_agg(digest, chr(10) ORDER BY bucket)) AS digest, sum(n) AS n FROM buckets GROUP BY 1)",
+) + "SELECT sha256(string_agg(digest, chr(10) ORDER BY top)) AS ledger_sha256, CAST(sum(n) AS BIGINT) AS rows FROM tops"
+O["q_block_reuse"] = with_(
+    *C_BASE[:3], C_UNBALANCED,
+    f"u AS (SELECT 'dealt|' || lifecycle_segment || '|' || tenure_band || '|' || assignment_wave AS block, rk AS position, {ARM_CASE} AS arm FROM c_ranked UNION ALL SELECT 'ranked|' || lifecycle_segment || '|' || tenure_band || '|' || assignment_wave, row_number() OVER (PARTITION BY {BLOCKS} ORDER BY sha256('{SEED}|' || lifecycle_segment || '|' || tenure_band || '|' || assignment_wave || '|' || participant_id)) - 1, arm FROM c_unbalanced)",
+    "p AS (SELECT block, position // 4096 AS part, sha256(string_agg(arm, ',' ORDER BY position)) AS digest FROM u GROUP BY 1, 2)",
+    "h AS (SELECT block, sha256(string_agg(digest, chr(10) ORDER BY part)) AS sequence_sha256 FROM p GROUP BY 1)",
+) + "SELECT block, sequence_sha256, count(*) OVER (PARTITION BY sequence_sha256) AS groups, count(*) OVER (PARTITION BY sequence_sha256) > 1 AS reused FROM h"
 
 
 def rules(src: str, pairs: dict[str, str]) -> str:
@@ -406,8 +413,9 @@ O["q_aggregate_control"] = with_(
     effect_ctes("n", "experiment, cell"), adjusted("effect", "adj", "p_value_two_sided", "", "experiment, cell"),
 ) + f"SELECT experiment, cell, {effect_columns()}, {r9('p_value_holm')} AS p_value_holm, {r9('p_value_bh')} AS p_value_bh FROM adj"
 
-R_COUNTS = """r AS (SELECT o_orderpriority AS scenario, o_orderkey AS replication, b AS block, a AS arm, y AS outcome, 100.0::DOUBLE AS n, CAST(((o_orderkey * 7919 + b * 104729 + a * 1299709 + y * 15485863) % 97) % 13 AS DOUBLE) AS s
-  FROM orders, (SELECT unnest(range(4)) AS b), (SELECT unnest(range(7)) AS a), (SELECT unnest(range(4)) AS y))"""
+R_COUNTS = "r0 AS (SELECT o_orderpriority AS scenario, CAST(year(l_shipdate) * 2 + CASE WHEN month(l_shipdate) > 6 THEN 1 ELSE 0 END AS BIGINT) AS replication, CAST(l_linenumber % 2 AS BIGINT) AS block, l_suppkey % 7 AS arm, l_discount >= 0.05 AS f0, l_tax >= 0.05 AS f1, l_quantity > 45 AS f2, l_returnflag = 'R' AS f3 FROM lineitem JOIN orders ON l_orderkey = o_orderkey), r AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT scenario, replication, block, arm, CAST({k} AS BIGINT) AS outcome, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE f{k}) AS DOUBLE) AS s FROM r0 GROUP BY 1, 2, 3, 4" for k in range(4)
+) + ")"
 
 
 def rep_family(out: str, outcome_no: int) -> str:
@@ -502,7 +510,7 @@ O["q_event_contract"] = (
         },
     )
     + " UNION ALL SELECT 'duplicate_event_id', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM c_events GROUP BY event_id HAVING count(*) > 1)"
-    + " UNION ALL SELECT 'duplicate_payload', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM c_events GROUP BY participant_id, event_type, event_at, available_at, delivered_content, delivered_cadence HAVING count(*) > 1)"
+    + " UNION ALL SELECT 'duplicate_payload', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM c_events GROUP BY participant_id, event_type, event_at, delivered_content, delivered_cadence HAVING count(*) > 1)"
 )
 O["q_factorial_contract"] = (
     with_(*C_ALL, "bad AS (SELECT participant_id, arm, content, CASE WHEN k <> 1 THEN cadence END AS cadence, CASE WHEN k = 2 THEN 7 ELSE funded_14d END AS funded_14d, unsubscribe_14d, complaint_14d FROM (SELECT *, CAST(substr(participant_id, 2) AS BIGINT) % 50 AS k FROM c_frame))", "cells AS (SELECT DISTINCT arm, content, cadence FROM bad)")
@@ -522,4 +530,21 @@ UNION ALL SELECT 'holdout_absent', CASE WHEN count(*) > 0 THEN CAST(0 AS BIGINT)
 UNION ALL SELECT 'contents_not_three', abs(count(DISTINCT content) - 3) FROM cells WHERE arm <> 'holdout'"""
 )
 
+O["q_report_figures"] = (
+    with_(*C_ALL, "arms AS (SELECT arm, count(*) AS n FROM c_ledger GROUP BY 1)", f"plan AS (SELECT CAST(min(n) AS DOUBLE) AS m, {num(Q(1 - 0.05 / 6 / 2) + Q(0.8))} AS z FROM arms)")
+    + " UNION ALL ".join(
+        f"SELECT '{section}' AS section, '{name}' AS name, {r9(f'CAST(({value}) AS DOUBLE)')} AS value"
+        for section, name, value in [
+            *[("population", x, f"SELECT count(*) FROM {src}") for x, src in (("eligible", "c_ledger"), ("randomized", "c_ledger"), ("itt_analyzed", "c_frame"), ("assignment_blocks", f"(SELECT DISTINCT {BLOCKS} FROM c_ledger)"))],
+            ("event_counts", "total", "SELECT count(*) FROM c_clean"),
+            *[("event_counts", t, f"SELECT count(*) FROM c_clean WHERE event_type = '{t}'") for t in ("delivered", "funded", "unsubscribed", "complained", "pre_period_engaged")],
+            ("prospective_power_plan", "baseline_funding_rate", "0.04"), ("prospective_power_plan", "planned_units_per_arm", "SELECT m FROM plan"),
+            ("prospective_power_plan", "planning_alpha_per_comparison", num(0.05 / 6)), ("prospective_power_plan", "power", "0.8"),
+            ("prospective_power_plan", "approximate_mde_absolute", "SELECT z * sqrt(0.04::DOUBLE * 0.96 * (1.0 / m + 1.0 / m)) FROM plan"),
+        ]
+    )
+)
+O["q_column_contracts"] = """SELECT n.rows, r.rule, r.broken FROM (SELECT count(*) AS rows FROM customer) n, (VALUES ('unique', 0), ('unique_of_repeated', 1), ('required', 0), ('required_of_missing', 1), ('exact', 0), ('exact_of_more', 1), ('instant', 0), ('instant_without_zone', 1)) r(rule, broken)"""
+O["q_reader"] = "SELECT o_orderstatus, count(*) AS orders, CAST(round(sum(CAST(o_totalprice AS DECIMAL(38,4))), 2) AS DOUBLE) AS total FROM orders GROUP BY 1"
+
 ORACLE_SQL = O

@@ -1,7 +1,7 @@
 """The library's tables, made by fixed rules from general ones: customers, orders and an event stream.
 
 Ids are strings, timestamps instants (the session zone is UTC). A: customers and stream events. B: customers and orders,
-day precision. C: a seven-arm ledger over B's customers with order events of two clocks. R: replicated counts.
+day precision. C: a seven-arm ledger over B's customers with order events of two clocks. R: counts of order lines, replicated by priority and half-year.
 """
 
 from __future__ import annotations
@@ -136,23 +136,31 @@ def c_events(spark: SparkSession, sf_dir: str, ledger: DataFrame) -> DataFrame:
 
 
 def c_clean_events(spark: SparkSession, sf_dir: str, ledger: DataFrame) -> DataFrame:
-    """C's events without early outcomes, late rows and mistimed pre-period rows."""
+    """C's events without early outcomes, late rows, mistimed pre-period rows and repeats."""
     events = c_events(spark, sf_dir, ledger)
     e = events.join(ledger.select("participant_id", "assigned_at"), "participant_id")
     before = F.col("event_at") < F.col("assigned_at")
     pre = F.col("event_type") == "pre_period_engaged"
     late = ~before & (F.col("event_at") < F.col("assigned_at") + F.lit(C_FOLLOWUP)) & (F.col("available_at") > instant(C_FREEZE))
     bad = (F.col("event_type").isin(*OUTCOMES.values()) & before) | late | (pre & (~before | (F.col("available_at") > F.col("assigned_at"))))
-    return e.where(~bad).select(*events.columns)
+    kept = e.where(~bad).select(*events.columns)
+    payload = [c for c in events.columns if c not in ("event_id", "available_at")]
+    once = kept.groupBy(*payload).agg(F.min(F.struct("event_id", "available_at")).alias("_first"))
+    return once.select(*payload, "_first.*").select(*events.columns)
 
 
 def r_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replicated counts: 4 blocks x 7 arms x 4 outcomes for each order."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("scenario"), F.col("o_orderkey").alias("replication"))
-    for name, n in (("block", 4), ("arm", len(ARMS)), ("outcome", 4)):
-        o = o.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    mixed = F.col("replication") * 7919 + F.col("block") * 104729 + F.col("arm") * 1299709 + F.col("outcome") * 15485863
-    return o.select("scenario", "replication", "outcome", "block", "arm", F.lit(100).cast("long").alias("n"), (mixed % 97 % 13).alias("successes"))
+    """Replicated counts of order lines: each priority is a scenario, each half-year of shipping a replication, odd and even
+    lines are blocks, suppliers are dealt to arms, and four flags of a line are the outcomes."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("scenario"))
+    lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    half = F.year("l_shipdate") * 2 + (F.month("l_shipdate") > 6).cast("int")
+    flags = (F.col("l_discount") >= 0.05, F.col("l_tax") >= 0.05, F.col("l_quantity") > 45, F.col("l_returnflag") == "R")
+    cells = lines.groupBy("scenario", half.cast("long").alias("replication"), (F.col("l_linenumber") % 2).cast("long").alias("block"), (F.col("l_suppkey") % len(ARMS)).alias("arm")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(f).alias(f"s{k}") for k, f in enumerate(flags)]
+    )
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("outcome"), F.col(f"s{k}").alias("successes")) for k in range(len(flags))])
+    return cells.select("scenario", "replication", "block", "arm", "n", F.inline(rows))
 
 
 def r_truth(counts: DataFrame) -> DataFrame:

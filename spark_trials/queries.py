@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from spark_trials.operators import prospective as pro
 from spark_trials.operators import replication as rep
 from spark_trials.oracles import ORACLE_SQL  # noqa: F401
 from spark_trials.plans import adapters as ad
-from spark_trials.sources import report
+from spark_trials.sources import report, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STAGES = ("opened", "linked", "converted")
@@ -29,11 +30,34 @@ CANDIDATE, R_CANDIDATE = "challenger_a__twice_weekly", 4
 NULL, STRONG, BOUNDARY = "5-LOW", "1-URGENT", "3-MEDIUM"
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for part in _kept.values():  # what the query before kept is released; a frame of it that is still read is made again
+            part.unpersist()
+        _kept.clear()
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
     return f
 
 
+def part(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A table that a query reads in several places: made once, and kept in the executors' memory and disks until the next query."""
+
+    @wraps(f)
+    def once(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (f.__name__, sf_dir, spark.sparkContext.applicationId)
+        if key not in _kept:
+            _kept[key] = f(spark, sf_dir).persist()
+        return _kept[key]
+
+    return once
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Doubles rounded, instants as microseconds."""
     changed = {}
@@ -57,26 +81,35 @@ def a_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return out.windowed_outcome(ad.a_cohort(spark, d), ad.a_events(spark, d), window=ad.A_WINDOW, observation_end=ad.instant(ad.A_END))
 
 
-# Parts that several queries, and one query in several places, start from: made once for each session.
+@part
 def c_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return ad.c_ledger(spark, d).persist()
+    return ad.c_ledger(spark, d)
 
 
+@part
 def c_events(spark: SparkSession, d: str) -> DataFrame:
-    return ad.c_events(spark, d, c_ledger(spark, d)).persist()
+    return ad.c_events(spark, d, c_ledger(spark, d))
 
 
+@part
 def c_clean_events(spark: SparkSession, d: str) -> DataFrame:
-    return ad.c_clean_events(spark, d, c_ledger(spark, d)).persist()
+    return ad.c_clean_events(spark, d, c_ledger(spark, d))
 
 
+@part
 def c_frame(spark: SparkSession, d: str) -> DataFrame:
-    return pro.itt_frame(c_ledger(spark, d), c_clean_events(spark, d), data_freeze=ad.instant(ad.C_FREEZE), followup=ad.C_FOLLOWUP).persist()
+    """Unchecked, for queries that check what they make of it; ``q_itt_frame`` checks it."""
+    return pro.itt_frame(c_ledger(spark, d), c_clean_events(spark, d), data_freeze=ad.instant(ad.C_FREEZE), followup=ad.C_FOLLOWUP, check=False)
+
+
+@part
+def r_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ad.r_counts(spark, d)
 
 
 @query
 def q_experiment_effects(spark, d):
-    return plain(eff.compare_groups(b_outcomes(spark, d).where("outcome is not null"), check=False))
+    return plain(eff.compare_groups(b_outcomes(spark, d).where("outcome is not null")))
 
 
 @query
@@ -93,7 +126,7 @@ def q_mde(spark, d):
 @query
 def q_holm_bh(spark, d):
     rows = b_outcomes(spark, d).where("outcome is not null").withColumn("family", F.when(F.col("c_acctbal") < 4500, "low").otherwise("high"))
-    made = eff.compare_groups(rows, family=["family"], check=False)
+    made = eff.compare_groups(rows, family=["family"])
     return plain(made.select("family", "experiment", "p_value_two_sided", "p_value_holm", "p_value_bh"))
 
 
@@ -105,7 +138,8 @@ def q_windowed_outcome(spark, d):
 @query
 def q_orphans(spark, d):
     half = ad.table(spark, d, "customer").agg((F.max("c_custkey") / 2).alias("half"))
-    known = ad.b_cohort(spark, d).join(half, F.col("c_custkey") < F.col("half"))
+    lost = F.when(F.col("c_custkey") < F.col("half"), F.col("participant_id")).otherwise(F.concat(F.lit("gone-"), "participant_id"))
+    known = ad.b_cohort(spark, d).join(half, F.lit(True)).withColumn("participant_id", lost)
     return con.orphans(ad.b_events(spark, d), known, "participant_id").groupBy("event_type").agg(F.count(F.lit(1)).alias("orphan_rows"))
 
 
@@ -150,7 +184,7 @@ def q_funnel_summary(spark, d):
 @query
 def q_new_link_funnel(spark, d):
     cohort = ad.b_flagged(spark, d).select("participant_id", "assigned_at", "linked_before_entry", "converted_before_entry")
-    return plain(fun.funnel_membership(ad.b_events(spark, d), STAGES, cohort=cohort).where(~F.col("linked_before_entry") & ~F.col("converted_before_entry")))
+    return plain(fun.new_link_funnel(ad.b_events(spark, d), cohort, STAGES))
 
 
 @query
@@ -166,13 +200,13 @@ def q_gap_outcomes(spark, d):
 
 @query
 def q_unsub(spark, d):
-    return plain(fun.exposure_risk(ad.a_exposed(spark, d), ad.a_events(spark, d), check=False))
+    return plain(fun.exposure_risk(ad.a_exposed(spark, d), ad.a_events(spark, d)))
 
 
 @query
 def q_failure_risk(spark, d):
     """The same risk job for another event, by experiment."""
-    return plain(fun.exposure_risk(ad.a_exposed(spark, d), ad.a_events(spark, d), event="linked", by="experiment", check=False))
+    return plain(fun.exposure_risk(ad.a_exposed(spark, d), ad.a_events(spark, d), event="linked", by="experiment"))
 
 
 def _messages(spark, d):
@@ -210,8 +244,10 @@ def q_tz_contract(spark, d):
 @query
 def q_one_to_one(spark, d):
     spent = ad.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("c_nationkey"))
-    met = con.one_to_one_audit(ad.table(spark, d, "customer").where("c_custkey % 5 > 0"), spent, ["c_custkey"])
-    return met.select("c_custkey", "c_nationkey_left", "c_nationkey_right", "in_left", "in_right")
+    lost = F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey")).otherwise(-F.col("c_custkey"))
+    people = ad.table(spark, d, "customer").withColumn("c_custkey", lost)
+    met, _ = con.one_to_one_join(people, spent, ["c_custkey"], how="outer", require_match="none")
+    return met.select("c_custkey", "c_nationkey_left", "c_nationkey_right")
 
 
 @query
@@ -257,9 +293,12 @@ def q_ledger_digest(spark, d):
 
 
 def _positions(spark, d):
-    ranked = asg.ranks(ad.c_eligible(spark, d), asg.BLOCKS, asg.block_key(ad.SEED)).where("_rank < 14")
-    segment = F.concat_ws("|", *asg.BLOCKS)
-    return ranked.select(segment.alias("block"), F.col("_rank").alias("position"), asg.arm_of(F.col("_rank")).alias("arm"))
+    """Whole blocks as they are dealt, which blocks of one size share, and as a rank over everybody arms them, which they don't."""
+    key, segment = asg.block_key(ad.SEED), F.concat_ws("|", *asg.BLOCKS)
+    dealt = asg.ranks(ad.c_eligible(spark, d), asg.BLOCKS, key).withColumn("arm", asg.arm_of(F.col("_rank"))).withColumn("kind", F.lit("dealt"))
+    ranked = asg.ranks(ad.c_unbalanced(spark, d).drop("_rank"), asg.BLOCKS, key).withColumn("kind", F.lit("ranked"))
+    columns = [F.concat_ws("|", "kind", segment).alias("block"), F.col("_rank").alias("position"), "arm"]
+    return dealt.select(*columns).unionByName(ranked.select(*columns))
 
 
 @query
@@ -277,7 +316,8 @@ def q_position_balance(spark, d):
 @query
 def q_event_contract(spark, d):
     ledger = c_ledger(spark, d)
-    return pro.event_violations(ledger.where(_number() % 10 > 0), c_events(spark, d))
+    lost = F.when(_number() % 10 > 0, F.col("participant_id")).otherwise(F.concat(F.lit("gone-"), "participant_id"))
+    return pro.event_violations(ledger.withColumn("participant_id", lost), c_events(spark, d))
 
 
 @query
@@ -296,6 +336,7 @@ def q_followup(spark, d):
 
 @query
 def q_itt_frame(spark, d):
+    pro.validate_events(c_ledger(spark, d), c_clean_events(spark, d))
     return c_frame(spark, d)
 
 
@@ -325,13 +366,25 @@ def _gates(spark, d, negative: DataFrame) -> DataFrame:
     )
 
 
+@part
 def _cube(spark, d) -> DataFrame:
-    return dec.arm_cube(c_frame(spark, d), ["funded_14d", "unsubscribe_14d", "complaint_14d", "pre_period_engaged"]).persist()
+    return dec.arm_cube(c_frame(spark, d), ["funded_14d", "unsubscribe_14d", "complaint_14d", "pre_period_engaged"])
+
+
+def _negative(spark, d) -> DataFrame:
+    return dec.settled(dec.negative_control(dec.primary_family(_cube(spark, d), outcome="pre_period_engaged")))
+
+
+def _judged(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Primary family, guardrails and gates: six, twelve and ten rows, which the decision reads many times."""
+    cube = _cube(spark, d)
+    negative = dec.settled(dec.negative_control(dec.primary_family(cube, outcome="pre_period_engaged")))
+    return dec.settled(dec.primary_family(cube)), dec.settled(dec.guardrail_family(cube, MARGINS)), dec.settled(_gates(spark, d, negative))
 
 
 @query
 def q_gates(spark, d):
-    return _gates(spark, d, dec.negative_control(dec.primary_family(_cube(spark, d), outcome="pre_period_engaged")))
+    return _gates(spark, d, _negative(spark, d))
 
 
 @query
@@ -353,8 +406,8 @@ def q_factorial_contract(spark, d):
 
 @query
 def q_block_effect(spark, d):
-    made = eff.compare_blocks(c_frame(spark, d), treatment=CANDIDATE, control=asg.HOLDOUT, outcome="funded_14d", blocks=asg.BLOCKS, check=False)
-    return plain(made)
+    both = c_frame(spark, d).where(F.col("arm").isin(CANDIDATE, asg.HOLDOUT))
+    return plain(eff.compare_blocks(both, treatment=CANDIDATE, control=asg.HOLDOUT, outcome="funded_14d", blocks=asg.BLOCKS))
 
 
 @query
@@ -374,29 +427,83 @@ def q_guardrail_family(spark, d):
 
 @query
 def q_negative_control(spark, d):
-    return dec.negative_control(dec.primary_family(_cube(spark, d), outcome="pre_period_engaged"))
+    return _negative(spark, d)
 
 
 @query
 def q_negative_control_two_arm(spark, d):
     rows = ad.b_flagged(spark, d)
-    made = eff.compare_groups(rows, outcome="linked_before_entry", check=False).withColumn("rejected", F.col("p_value_holm") < 0.05)
+    made = eff.compare_groups(rows, outcome="linked_before_entry").withColumn("rejected", F.col("p_value_holm") < 0.05)
     return dec.negative_control(made, "rejected")
 
 
 @query
 def q_decision(spark, d):
-    cube = _cube(spark, d)
-    negative = dec.negative_control(dec.primary_family(cube, outcome="pre_period_engaged"))
-    made = dec.launch_decision(dec.primary_family(cube), dec.guardrail_family(cube, MARGINS), _gates(spark, d, negative), candidate=CANDIDATE, check=False)
+    made = dec.launch_decision(*_judged(spark, d), candidate=CANDIDATE)
     return made.withColumns({c: F.array_join(c, ",") for c in ("reasons", "failed_gates")})
 
 
 @query
 def q_decision_violations(spark, d):
-    cube = _cube(spark, d)
-    negative = dec.negative_control(dec.primary_family(cube, outcome="pre_period_engaged"))
-    return dec.decision_violations(dec.primary_family(cube), dec.guardrail_family(cube, MARGINS), _gates(spark, d, negative))
+    return dec.decision_violations(*_judged(spark, d))
+
+
+def _report_figures(spark, d) -> DataFrame:
+    ledger, frame, events = c_ledger(spark, d), c_frame(spark, d), c_clean_events(spark, d)
+    return pro.report_figures(ledger, frame, events)
+
+
+@query
+def q_report_figures(spark, d):
+    """The whole numbers of the prospective report and its planned detectable effect."""
+    return plain(_report_figures(spark, d))
+
+
+@query
+def q_prospective_report(spark, d):
+    """The report of the seven-arm trial as one JSON document: population, plan, audits, families, gates and decision."""
+    ledger, events = c_ledger(spark, d), c_clean_events(spark, d)
+    primary, guards, gates = _judged(spark, d)
+    sections = {
+        "figures": _report_figures(spark, d), "randomization": asg.ledger_digest(ledger), "sample_ratio": asg.sample_ratio(ledger),
+        "contamination_audit": pro.contamination(ledger, events, followup=ad.C_FOLLOWUP),
+        "followup_audit": pro.followup_audit(ledger, events, data_freeze=ad.instant(ad.C_FREEZE), followup=ad.C_FOLLOWUP, declared=ad.C_FOLLOWUP),
+        "primary_funding_family": primary, "guardrail_noninferiority_family": guards, "pre_period_negative_control": _negative(spark, d), "quality_gates": gates,
+        "decision": dec.launch_decision(primary, guards, gates, candidate=CANDIDATE, check=False),
+    }
+    return report.document(sections)
+
+
+def _count_of(contract: Callable[[], object]) -> int:
+    try:
+        contract()
+    except con.ContractError:
+        return 1
+    return 0
+
+
+@query
+def q_column_contracts(spark, d):
+    """Customers against the column contracts: (rule, broken), with tables that lack, repeat or add a column, and the number of
+    rows that each rule was asked of."""
+    people = ad.table(spark, d, "customer")
+    twice = people.select("*", F.col("c_name"))
+    rules = {
+        "unique": lambda: con.require_unique_columns(people), "unique_of_repeated": lambda: con.require_unique_columns(twice),
+        "required": lambda: con.require_columns(people, ["c_custkey", "c_name"]), "required_of_missing": lambda: con.require_columns(people, ["c_custkey", "no_such"]),
+        "exact": lambda: con.require_exact_columns(people, people.columns), "exact_of_more": lambda: con.require_exact_columns(people, people.columns[1:]),
+        "instant": lambda: con.instant_literal("2024-01-01T00:00:00+02:00"), "instant_without_zone": lambda: con.instant_literal("2024-01-01T00:00:00"),
+    }
+    found = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(_count_of(f)).alias("broken")) for n, f in rules.items()])
+    return people.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.inline(found))
+
+
+@query
+def q_reader(spark, d):
+    """Orders by the readers: a declared schema and the exact columns, then rows and totals by status."""
+    schema = ad.table(spark, d, "orders").schema
+    rows = tables.read(spark, f"{d}/orders.parquet", schema)
+    return plain(rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum(F.col("o_totalprice").cast("decimal(38,4)")), 2).cast("double").alias("total")))
 
 
 @query
@@ -421,35 +528,33 @@ def q_aggregate_control(spark, d):
     return plain(eff.aggregate_control(treated, controls, key="experiment", cell="cell"))
 
 
-def _replicated(spark, d):
-    counts = rep.by_replication(ad.r_counts(spark, d))
-    return rep.replicated_family(counts, outcome=0), rep.replicated_family(counts, outcome=1), rep.replicated_guardrails(counts, R_GUARDS), ad.r_truth(ad.r_counts(spark, d))
+@part
+def _contrasts(spark, d):
+    return rep.contrasts(r_counts(spark, d))
 
 
-def _policy(spark, d):
-    primary, negative, guards, truth = _replicated(spark, d)
-    return rep.replicated_policy(primary, negative, guards, candidate=R_CANDIDATE, truth=truth)
+def _policy(table, truth):
+    return rep.replicated_policy(table, R_GUARDS, candidate=R_CANDIDATE, truth=truth)
 
 
 @query
 def q_rep_family(spark, d):
-    return plain(rep.replicated_family(rep.by_replication(ad.r_counts(spark, d)), outcome=0))
+    return plain(rep.replicated_family(_contrasts(spark, d), outcome=0))
 
 
 @query
 def q_rep_guardrail(spark, d):
-    return plain(rep.replicated_guardrails(rep.by_replication(ad.r_counts(spark, d)), R_GUARDS))
+    return plain(rep.replicated_guardrails(_contrasts(spark, d), R_GUARDS))
 
 
 @query
 def q_rep_policy(spark, d):
-    return plain(_policy(spark, d))
+    return plain(_policy(_contrasts(spark, d), ad.r_truth(r_counts(spark, d))))
 
 
 def _rates(spark, d):
-    primary, negative, guards, truth = _replicated(spark, d)
-    policy = rep.replicated_policy(primary, negative, guards, candidate=R_CANDIDATE, truth=truth)
-    return rep.replicated_rates(policy, primary, guards, candidate=R_CANDIDATE, truth=truth)
+    table, truth = _contrasts(spark, d), ad.r_truth(r_counts(spark, d))
+    return rep.replicated_rates(_policy(table, truth), table, R_GUARDS, candidate=R_CANDIDATE, truth=truth)
 
 
 @query
@@ -459,7 +564,8 @@ def q_rep_rates(spark, d):
 
 @query
 def q_rep_diagnostics(spark, d):
-    return plain(rep.replicated_diagnostics(_policy(spark, d), ad.r_truth(ad.r_counts(spark, d)), candidate=R_CANDIDATE))
+    truth = ad.r_truth(r_counts(spark, d))
+    return plain(rep.replicated_diagnostics(_policy(_contrasts(spark, d), truth), truth, candidate=R_CANDIDATE))
 
 
 @query

@@ -158,14 +158,14 @@ def test_replications_agree_with_the_family(spark):
     cube = spark.createDataFrame([(f"s{b}", "t", "w", arm, 100, hits[arm][b]) for arm in asg.ARMS for b in (0, 1)], "lifecycle_segment string, tenure_band string, assignment_wave string, arm string, n long, funded_14d long")
     family = {r["active_arm"]: r for r in dec.primary_family(cube).collect()}
     counts = spark.createDataFrame([("x", 1, "0", b, arm, 100, hits[arm][b]) for arm in asg.ARMS for b in (0, 1)] + [("x", 2, "0", b, arm, 2, 1 if arm == "holdout" and b else 0) for arm in asg.ARMS for b in (0, 1)], "scenario string, replication long, outcome string, block long, arm string, n long, successes long")
-    made = rep.replicated_family(counts, outcome="0", holdout="holdout").collect()
+    made = rep.replicated_family(rep.contrasts(counts, holdout="holdout"), outcome="0").collect()
     for r in made:
         if r["replication"] == 1:
             want = family[r["arm"]]
             assert r["risk_difference"] == pytest.approx(want["risk_difference"], abs=1e-12) and r["standard_error"] == pytest.approx(want["risk_difference_standard_error"], abs=1e-12)
             assert r["p_value_holm"] == pytest.approx(want["p_value_holm"], abs=1e-12) and r["superiority_pass"] == want["superiority_pass"]
     flat = counts.withColumn("successes", F.lit(0).cast("long"))
-    none = rep.replicated_family(flat, outcome="0", holdout="holdout").collect()
+    none = rep.replicated_family(rep.contrasts(flat, holdout="holdout"), outcome="0").collect()
     assert len(none) == 12 and all(not r["valid"] and r["p_value"] == 1.0 and not r["holm_reject"] for r in none)
 
 
@@ -206,3 +206,58 @@ def test_other_effects(spark):
     assert eff.compare_groups(groups).where("p_value_holm = 1 and p_value_bh = 1").count() == 2
     with pytest.raises(ContractError):
         eff.compare_groups(groups.where("not (experiment = 'x' and arm = 'control')"))
+
+
+def test_families_fail_closed(spark):
+    schema = "lifecycle_segment string, tenure_band string, assignment_wave string, arm string, n long, funded_14d long, unsubscribe_14d long, complaint_14d long"
+    rows = [(f"s{b}", "t", "w", arm, 10, 3 + k % 2, 1, 2) for k, arm in enumerate(asg.ARMS) for b in (0, 1)]
+    cube = spark.createDataFrame(rows, schema)
+    margins = {"unsubscribe_14d": 0.05, "complaint_14d": 0.05}
+    assert dec.primary_family(cube).where("active_total = 20 and block_count = 2").count() == 6
+    assert dec.guardrail_family(cube, margins).count() == 12
+    here = (F.col("lifecycle_segment") == "s1") & (F.col("arm") == "holdout")
+    broken = {
+        "holdout gone from a block": cube.where(~here), "no holdout": cube.where("arm <> 'holdout'"), "five arms": cube.where("arm <> 'current__daily'"),
+        "eight arms": cube.unionByName(cube.where("arm = 'holdout'").withColumn("arm", F.lit("other"))), "unequal": cube.withColumn("n", F.when(here, 11).otherwise(F.col("n"))),
+        "more hits than units": cube.withColumn("funded_14d", F.lit(11).cast("long")), "no rows": cube.limit(0), "an arm twice": cube.unionByName(cube.where(here)),
+    }
+    for what, bad in broken.items():
+        with pytest.raises(ContractError):
+            dec.primary_family(bad)
+            pytest.fail(what)
+    for what in ("no holdout", "five arms", "no rows"):
+        with pytest.raises(ContractError):
+            dec.guardrail_family(broken[what], margins)
+    for alpha in (0, 1.0, True, float("nan"), "x"):
+        with pytest.raises(ContractError):
+            dec.primary_family(cube, alpha=alpha)
+    # unchecked, the block stays and says so
+    lax = dec.primary_family(broken["holdout gone from a block"], check=False).collect()
+    assert {(r["active_total"], r["block_count"], r["p_value_two_sided"]) for r in lax} == {(20, 2, 1.0)}
+    assert {(r["bad_blocks"], r["valid"]) for r in eff.block_effects(broken["holdout gone from a block"].withColumnRenamed("funded_14d", "successes"), "holdout", blocks=asg.BLOCKS).collect()} == {(1, False)}
+
+
+def test_frames_and_events_fail_closed(spark):
+    rows = [(f"p{k}", "s", "t", "w", arm, *(arm.split("__") if "__" in arm else (None, None)), k % 2) for k, arm in enumerate(asg.ARMS * 4)]
+    df = spark.createDataFrame(rows, "participant_id string, lifecycle_segment string, tenure_band string, assignment_wave string, arm string, content string, cadence string, y int")
+    assert dec.validate_factorial_frame(df, ["y"]).count() == 28 and dec.arm_cube(df, ["y"]).count() == 7
+    for bad in (df.unionByName(df.limit(1)), df.limit(0), df.withColumn("y", F.lit(2)), df.where("arm <> 'holdout'"), df.withColumn("tenure_band", F.lit(" "))):
+        with pytest.raises(ContractError):
+            dec.arm_cube(bad, ["y"])
+
+
+def test_replications_without_a_cell(spark):
+    """A replication that lacks the holdout of a block, or a whole family, is invalid and stays."""
+    rows = [("x", r, o, b, a, 50, 5 + a + b) for r in (1, 2, 3) for o in range(4) for b in (0, 1) for a in range(7)]
+    counts = spark.createDataFrame(rows, "scenario string, replication long, outcome long, block long, arm long, n long, successes long")
+    counts = counts.where("not (replication = 2 and outcome = 0 and block = 1 and arm = 0) and not (replication = 3 and outcome = 1)")
+    policy = {r["replication"]: r for r in rep.replicated_policy(rep.contrasts(counts), {2: 0.5, 3: 0.5}, candidate=4).collect()}
+    assert {k: r["invalid"] for k, r in policy.items()} == {1: False, 2: True, 3: True}
+    assert policy[1]["candidate_guardrails_pass"] and not policy[2]["candidate_guardrails_pass"] and policy[2]["policy_continue_testing"]
+
+
+def test_reused_blocks_reads_whole_sequences(spark):
+    rows = [(g, k, "b" if g == "odd" and k == 9_999 else "ab"[k % 2]) for g in ("one", "two", "odd", "short") for k in range(10_000 if g != "short" else 9_999)]
+    rows = [(g, k, a if (g, k) != ("odd", 9_998) else "b") for g, k, a in rows]
+    found = {r["block"]: (r["groups"], r["reused"]) for r in asg.reused_blocks(spark.createDataFrame(rows, "block string, position long, arm string").repartition(5), "block").collect()}
+    assert found == {"one": (2, True), "two": (2, True), "odd": (1, False), "short": (1, False)}

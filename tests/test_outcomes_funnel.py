@@ -67,7 +67,7 @@ def test_strict_funnel(spark):
 
 
 def test_new_link_funnel(spark):
-    e = table(spark, EVENTS, "participant_id string, event_type string, event_at timestamp")
+    e = table(spark, EVENTS, "participant_id string, event_type string, event_at timestamp").where("participant_id in ('01', '02', '03')")
     cohort = table(spark, [("01", "2026-01-01", False, False), ("02", "2026-01-01", True, False), ("03", "2026-01-01", False, True)], "participant_id string, assigned_at timestamp, linked_before_entry boolean, converted_before_entry boolean")
     assert [r["participant_id"] for r in funnel.new_link_funnel(e, cohort, STAGES).collect()] == ["01"]
     with pytest.raises(ContractError):
@@ -91,3 +91,26 @@ def test_gap_outcomes(spark):
     e = table(spark, [("a", "converted", "2026-01-02"), ("a", "delivered", "2026-01-03"), ("b", "converted", "2026-01-02"), ("b", "delivered", "2026-01-02")], "participant_id string, event_type string, event_at timestamp")
     row = outcomes.gap_outcomes(a, e).first()
     assert (row["participants"], row["participants_with_gap_outcome"], row["gap_outcome_events"]) == (2, 1, 1)
+
+
+def test_unknown_ids_and_naive_times_fail(spark):
+    from pyspark.errors import PySparkException
+
+    people = spark.sql("select 'a' as participant_id, 't' as arm, 1 as messages_delivered, timestamp '2024-01-01 00:00:00' as assigned_at")
+    events = spark.sql("select * from values ('a', 'converted', timestamp '2024-01-02 00:00:00'), ('z', 'converted', timestamp '2024-01-02 00:00:00') as t(participant_id, event_type, event_at)")
+    known = events.where("participant_id = 'a'")
+    end = F.lit("2024-02-01 00:00:00 UTC").cast("timestamp")
+    window = {"window": timedelta(days=7), "observation_end": end}
+    assert outcomes.windowed_outcome(people, known, **window).first()["outcome"]
+    assert outcomes.windowed_outcome(people, events, fail_on_orphan_events=False, **window).count() == 1
+    assert funnel.funnel_membership(events, ["converted"], cohort=people, fail_on_orphan_events=False).count() == 1
+    assert funnel.exposure_risk(people, known, event="converted").first()["unique_people"] == 1
+    for lazy in (outcomes.windowed_outcome(people, events, **window), funnel.funnel_membership(events, ["converted"], cohort=people)):
+        with pytest.raises(PySparkException, match="unknown participants"):
+            lazy.collect()
+    with pytest.raises(ContractError, match="unknown_participant"):
+        funnel.exposure_risk(people, events, event="converted")
+    naive = known.withColumn("event_at", F.col("event_at").cast("timestamp_ntz"))
+    for made in (lambda: outcomes.windowed_outcome(people, naive, **window), lambda: funnel.funnel_membership(naive, ["converted"], cohort=people)):
+        with pytest.raises(ContractError, match="timezone"):
+            made()
