@@ -168,15 +168,6 @@ def require_instants(df: DataFrame, columns: Sequence[str]) -> None:
         raise ContractError(f"{len(naive)} time columns hold no instants with a timezone")
 
 
-def known_or_error(met: DataFrame, marker: str, what: str = "participants") -> DataFrame:
-    """Rows of an outer join whose ``marker`` must not be null: a row of an unknown id ends the job when it is met.
-
-    The check is a part of the plan, so it costs no pass of its own.
-    """
-    gone = F.raise_error(F.lit(f"events of unknown {what}"))
-    return met.withColumn(marker, F.when(F.col(marker).isNull(), gone.cast(met.schema[marker].dataType)).otherwise(F.col(marker)))
-
-
 def one_to_one_audit(left: DataFrame, right: DataFrame, on: Sequence[str], *, suffixes: tuple[str, str] = ("_left", "_right")) -> DataFrame:
     """Full outer join on unique keys with ``in_left`` and ``in_right``; names that clash get the suffixes."""
     clash = ({*left.columns} & {*right.columns}) - {*on}

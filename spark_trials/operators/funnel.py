@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_trials.functions.stats import wilson, z_two_sided
-from spark_trials.operators.contracts import ContractError, count_rules, exposure_rules, known_or_error, require_columns, require_instants, require_none
+from spark_trials.operators.contracts import ContractError, count_rules, exposure_rules, require_columns, require_instants, require_none, without_orphans
 
 
 def funnel_membership(
@@ -19,8 +19,8 @@ def funnel_membership(
 
     All windows share one partitioning by id and have no order, so any number of stages costs one exchange and no sort
     of an id's events by time; a per-id minimum never holds a list. With ``day_gap`` a stage must fall that many calendar
-    days after the one before. Members without events are kept; without a cohort, members are the ids of stage events. With one, a
-    stage event of an unknown id ends the job when it is met, or is passed over without ``fail_on_orphan_events``.
+    days after the one before. Members without events are kept; without a cohort, members are the ids of stage events. With one,
+    stage events of unknown ids fail, or are passed over without ``fail_on_orphan_events``.
     """
     require_columns(events, [id_col, event_col, time_col])
     require_instants(events, [time_col])
@@ -32,10 +32,9 @@ def funnel_membership(
     else:
         base = cohort
         require_instants(cohort, [entry_time_col])
-        work = work.join(cohort.select(id_col, F.col(entry_time_col).alias("_entry")), id_col, "left" if fail_on_orphan_events else "inner")
         if fail_on_orphan_events:
-            work = known_or_error(work, "_entry")
-        work = work.where(F.col("_t") >= F.col("_entry"))
+            without_orphans(work, cohort, id_col)
+        work = work.join(cohort.select(id_col, F.col(entry_time_col).alias("_entry")), id_col).where(F.col("_t") >= F.col("_entry"))
     own = Window.partitionBy(id_col)
     previous = None
     for k, stage in enumerate(stages):

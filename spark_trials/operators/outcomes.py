@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spark_trials.operators.contracts import ContractError, known_or_error, require_columns, require_instants
+from spark_trials.operators.contracts import ContractError, require_columns, require_instants, without_orphans
 
 
 def interval(duration: timedelta) -> Column:
@@ -27,8 +27,8 @@ def windowed_outcome(
     The window is half-open, [assigned, assigned + window), and events after ``observation_end`` never count. An outcome
     is null, not false, where the follow-up is not complete. Events are cut to the outcome type and three columns before
     they meet the assignments, and per-id minima have partial sums, so an id with very many events is no hot task. Keys
-    must be unique (``contracts``), times must be instants. An outcome event of an unknown id ends the job when it is met;
-    without ``fail_on_orphan_events`` it is passed over.
+    must be unique (``contracts``), times must be instants. Outcome events of unknown ids fail; without
+    ``fail_on_orphan_events`` they are passed over.
     """
     require_columns(assignments, [id_col, time_col])
     require_columns(events, [id_col, event_time_col, event_type_col])
@@ -36,9 +36,9 @@ def windowed_outcome(
     require_instants(events, [event_time_col])
     ends = assignments.withColumn("window_end", F.col(time_col) + interval(window))
     own = events.where(F.col(event_type_col) == outcome_event).select(id_col, F.col(event_time_col).alias("_t"))
-    met = own.join(ends.select(id_col, F.col(time_col).alias("_from"), F.col("window_end").alias("_to")), id_col, "left" if fail_on_orphan_events else "inner")
     if fail_on_orphan_events:
-        met = known_or_error(met, "_from")
+        without_orphans(own, assignments, id_col)
+    met = own.join(ends.select(id_col, F.col(time_col).alias("_from"), F.col("window_end").alias("_to")), id_col)
     inside = (F.col("_t") >= F.col("_from")) & (F.col("_t") < F.col("_to")) & (F.col("_t") <= observation_end)
     seen = met.groupBy(id_col).agg(F.min(F.when(inside, F.col("_t"))).alias("first_outcome_at"), F.bool_or(F.col("_t") < F.col("_from")).alias("_before"))
     out = ends.join(seen, id_col, "left").withColumn("followup_complete", F.col("window_end") <= observation_end)
