@@ -9,9 +9,8 @@ from spark_trials.llm.common import checkpoint
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
-    """(u, m): of each u the least of itself and its v. Written down, so that a join with it has an exchange of its own on
-    both sides, without which adaptive execution cannot split a node of many edges."""
-    return checkpoint(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+    """(u, m): of each u the least of itself and its v."""
+    return pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
 
 
 def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
@@ -19,8 +18,9 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
 
     A large star ties every larger neighbour of a node to its least neighbour, a small star every smaller one. Both keep
     the components, and the edges end as one star around each least node, after a number of rounds that grows with the
-    logarithm of the longest chain. A node of many edges is one key of a sum with partial sums and of a join that
-    adaptive execution splits. Edges that repeat or tie a node to itself do no harm; no edges give no rows.
+    logarithm of the longest chain. A node of many edges is one key of a minimum with partial sums and of a
+    join of two numbers a row, which one task reads: the edges come from spanning forests, so a node has at most one for
+    each other fingerprint it is near to, whatever the number of copies. Edges that repeat or tie a node to itself do no harm; no edges give no rows.
     """
     now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None

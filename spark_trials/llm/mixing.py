@@ -37,7 +37,7 @@ FAN_IN = 128
 #: A table of so many sources, under 1 MB, is sent to all executors.
 BROADCAST_SOURCES = 10_000
 #: Documents of so many words and more are rounded before all shorter ones.
-BANDS = (512, 16)
+BANDS = (256,)
 BLOCK = 1 << 16
 _KEY = ("id", "hash", "row", "size")
 _ITEM = "struct<id:bigint,hash:bigint,row:bigint,size:bigint,x:double,u:double>"

@@ -212,10 +212,9 @@ def one_of_each(
     marked = marked.select(*key(F.col("doc_id"), (F.col("h1"), F.col("h2"))), "fp")
     counted = checkpoint(marked.groupBy("fp", *keys).agg(F.count(F.lit(1)).alias("times")))
     fps = checkpoint(counted.groupBy("fp").agg(F.min(F.struct(*keys)).alias("least")))
-    stay = checkpoint(_roots(fps, distance, blocks, cell_rows).groupBy("root").agg(F.min("least").alias("least")).select("least.*"))
-    told = counted.join(stay.withColumn("stays", F.lit(True)), keys, "left")
-    gone = checkpoint(told.where("stays is null").select(*keys))
-    twice = checkpoint(told.where("stays and times > 1").select(*keys))
+    stay = _roots(fps, distance, blocks, cell_rows).groupBy("root").agg(F.min("least").alias("least")).select("least.*", F.lit(True).alias("stays"))
+    told = checkpoint(counted.join(stay, keys, "left").where("stays is null or times > 1").select(*keys, "stays"))
+    gone, twice = told.where("stays is null").drop("stays"), told.where("stays").drop("stays")
     own = key(F.col(f"`{id_col}`").cast("long"), _text_hashes(F.col(f"`{text_col}`").cast("string")))
     plain = [F.col(f"`{c}`") for c in columns]
     rows = docs.select(*plain, *own)
