@@ -4,14 +4,15 @@
     P(w)     = max(n(w) - d(n(w)), 0) / N         +  h / V
 
 c counts pairs in trusted text, n(w) the different words before w, N all different pairs; D and d are three discounts each,
-from the counts of counts; g(v) and h give what they took back. Words are hashed to 2^bits numbers, a table whose size is
-known beforehand, so P(w) goes to every task. Pairs are far too many for that: they are dealt to shards by their first
-word. A shard counts its pairs and the pairs after each of its words, which is all that P(w | v) needs of v, and adds the
-logarithms of every document's pairs; a document's sums over the shards meet in a last group.
+from the counts of counts; g(v) and h give what they took back. Words are hashed to V = 2^26 numbers whatever the size of the
+corpus, so P(w) is a table of 64 MB at most (one byte for n(w), larger ones beside it) that goes to every task; words that
+share a number count as one, a share of about (different trusted words) / V.
 
-A shard's share of a pair fits 32 bits (bits = 16 + log2(shards) / 2), so a document costs the network four bytes for each
-word. Counts come from all trusted documents and scores from all documents; ``shards`` follows the size of the corpus, so
-that a shard holds ``SHARD_WORDS`` words or fewer on average.
+Pairs are counted in groups by a hash of the whole pair, so a word that begins or ends a third of all pairs is no single
+group. For scoring, pairs are dealt to shards by their first word, where the shard's counts meet them: P(w | v) needs c(v)
+and g(v) of v. The counts of a shard are read first and its documents stream past them, so memory is bounded by the counts; a
+shard with more pairs than ``SHARD_WORDS`` is dealt to several tasks (salts), each with its counts. ``shards`` and salts
+decide where a pair is looked up and never what it scores. Pairs travel sorted, as differences, by planes of bytes.
 
 Trusted rows are those with label 1; one in five of them, by a hash of the id, is held out of the counts. In each language
 a document is kept if its perplexity is at most the ``KEEP`` quantile of the held-out trusted ones, which the model has not
@@ -25,71 +26,87 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_trials.llm.common import checkpoint, ship
 
-SHARDS, SHARD_WORDS, KEEP, HELD = 64, 16_000_000, 0.995, 5
+SHARDS, MOST_SHARDS, SHARD_WORDS, KEEP, HELD = 64, 1 << 16, 16_000_000, 0.995, 5
 BATCH_ROWS, BATCH_WORDS, CACHED_WORDS = 1024, 1_000_000, 400_000
+BITS = 26
+WORDS = 1 << BITS
 BEGIN, END = 0, 1
 BROADCAST_LABELS = 2_000_000
-CHUNKS = 8
-_ids: dict[int, dict[str, int]] = {}
+CHUNKS = 64
+OFTEN, SIZES = -1, -2
+_ids: dict[str, int] = {}
 
 
-def word_bits(shards: int) -> int:
-    """Bits of a word's number; ``shards`` is a power of 4."""
-    return 16 + (shards.bit_length() - 1) // 2
-
-
-def word_ids(text: str, bits: int) -> list[int]:
+def word_ids(text: str) -> list[int]:
     """Numbers of a text's words between BEGIN and END. Words are kept with their numbers, up to a bound."""
-    known = _ids.setdefault(bits, {})
-    if len(known) > CACHED_WORDS:
-        known.clear()
+    if len(_ids) > CACHED_WORDS:
+        _ids.clear()
     out = [BEGIN]
     for w in text.split():
-        k = known.get(w)
+        k = _ids.get(w)
         if k is None:
-            k = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % ((1 << bits) - 2) + 2
+            k = _ids[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % (WORDS - 2) + 2
         out.append(k)
     out.append(END)
     return out
 
 
 def planes(x: np.ndarray) -> bytes:
-    """The bytes of whole numbers, all first bytes first: small or sorted numbers then compress well."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Whole numbers, compressed with all their first bytes first: small ones then take little."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def rising(x: np.ndarray) -> bytes:
+    """Sorted numbers as their differences."""
+    return planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unrising(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(raw), dtype=np.uint64)
 
 
 class Pairs:
-    """The word pairs of a few documents by shard."""
+    """The word pairs of a few documents, sorted: their keys, first word before second, and their documents."""
 
-    def __init__(self, texts: list[str | None], shards: int):
-        bits = word_bits(shards)
-        ids = [word_ids(t or "", bits) for t in texts]
+    def __init__(self, texts: list[str | None]):
+        ids = [word_ids(t or "") for t in texts]
         self.lengths = np.fromiter((len(i) - 1 for i in ids), np.int64, len(ids))
-        flat = np.fromiter((k for i in ids for k in i), np.int64, int(self.lengths.sum()) + len(ids))
+        flat = np.fromiter((k for i in ids for k in i), np.uint64, int(self.lengths.sum()) + len(ids))
         first = np.ones(len(flat), bool)
         first[np.cumsum(self.lengths + 1) - 1] = False  # the last word begins no pair
         at = np.flatnonzero(first)
-        a, b = flat[at], flat[at + 1]
-        below = bits - (shards.bit_length() - 1)
-        self.shard = (a >> below).astype(np.uint16 if shards > 256 else np.uint8)
-        self.low = (((a & ((1 << below) - 1)) << bits) | b).astype(np.uint32)
-        self.doc = np.repeat(np.arange(len(ids)), self.lengths)
+        keys = (flat[at] << np.uint64(BITS)) | flat[at + 1]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.doc = keys[order], np.repeat(np.arange(len(ids)), self.lengths)[order]
+
+
+def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard begins in sorted keys, and the end; ``shards`` is a power of 2 and BEGIN a shard's least word."""
+    width = 2 * BITS - (shards.bit_length() - 1)
+    return np.searchsorted(keys, np.arange(shards + 1, dtype=np.uint64) << np.uint64(width))
+
+
+def mixed(keys: np.ndarray) -> np.ndarray:
+    """A hash of the whole key."""
+    with np.errstate(over="ignore"):
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
 
 
 def batches_of(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
@@ -117,91 +134,138 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, min(max(d1, 0.0), 1.0), min(max(d2, 0.0), 2.0), min(max(d3, 0.0), 3.0)])
 
 
-def count_pairs(lows: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Different numbers, sorted, and how often each comes."""
-    if not lows:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    all_ = np.concatenate(lows)
-    if counts is None:
-        return np.unique(all_, return_counts=True)
-    found, back = np.unique(all_, return_inverse=True)
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, and the sum of the counts of each."""
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found, back = np.unique(np.concatenate(keys), return_inverse=True)
     return found, np.bincount(back, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
 
 
-def word_model(before: np.ndarray) -> np.ndarray:
-    """P(w) from the numbers of different words before each."""
-    total = before.sum()
-    if not total:
-        return np.full(len(before), 1.0 / len(before), np.float64)
-    d = discounts(np.array([(before == k).sum() for k in (1, 2, 3, 4)]))
-    taken = d[np.minimum(before, 3)]
-    return (before - taken) / total + taken.sum() / total / len(before)
+class WordModel:
+    """P(w). ``small`` holds n(w) up to 254; words with 255 stand in ``big`` with their n(w)."""
+
+    def __init__(self, small: np.ndarray, big: np.ndarray, big_n: np.ndarray):
+        self.small, self.big, self.big_n = small, big, big_n
+        often = np.bincount(small, minlength=256)
+        self.total = float((often[:255] * np.arange(255)).sum() + big_n.sum())
+        self.d = discounts(often[1:5])
+        taken = (self.d[np.minimum(np.arange(256), 3)] * often).sum()
+        self.floor = taken / self.total / len(small) if self.total else 1.0 / len(small)
+
+    def __call__(self, w: np.ndarray) -> np.ndarray:
+        n = self.small[w].astype(np.int64)
+        high = np.flatnonzero(n == 255)
+        if len(high):
+            n[high] = self.big_n[np.searchsorted(self.big, w[high])]
+        return (n - self.d[np.minimum(n, 3)]) / max(self.total, 1.0) + self.floor
 
 
 class Shard:
-    """P(w | v) for the words v of a shard."""
-
-    def __init__(self, low: np.ndarray, count: np.ndarray, d: np.ndarray, p_word: np.ndarray, shards: int):
-        self.bits = word_bits(shards)
-        self.low, self.p_word = low, p_word
-        contexts = 1 << (self.bits - (shards.bit_length() - 1))
-        v = (low >> np.uint32(self.bits)).astype(np.int64)
-        total = np.bincount(v, weights=count, minlength=contexts)
-        taken = d[np.minimum(count, 3)]
-        self.share = (count - taken) / total[v] if len(v) else np.zeros(0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.rest = np.where(total > 0, np.bincount(v, weights=taken, minlength=contexts) / total, 1.0)
-
-    def log_p(self, low: np.ndarray) -> np.ndarray:
-        b = (low & np.uint32((1 << self.bits) - 1)).astype(np.int64)
-        p = self.rest[(low >> np.uint32(self.bits)).astype(np.int64)] * self.p_word[b]
-        if len(self.low):
-            at = np.minimum(np.searchsorted(self.low, low), len(self.low) - 1)
-            seen = self.low[at] == low
+    """P(w | v) from sorted keys, their counts and P(w)."""
+
+    def __init__(self, keys: np.ndarray, count: np.ndarray, d: np.ndarray, p_word: Callable[[np.ndarray], np.ndarray]):
+        self.keys, self.p_word = keys, p_word
+        self.v, at = np.unique(keys >> np.uint64(BITS), return_inverse=True)
+        total, taken = np.bincount(at, weights=count), d[np.minimum(count, 3)]
+        self.share = (count - taken) / total[at] if len(keys) else np.zeros(0)
+        self.rest = np.bincount(at, weights=taken) / total if len(keys) else np.zeros(0)
+
+    def log_p(self, keys: np.ndarray) -> np.ndarray:
+        p = self.p_word((keys & np.uint64(WORDS - 1)).astype(np.int64))
+        if len(self.keys):
+            v = keys >> np.uint64(BITS)
+            at = np.minimum(np.searchsorted(self.v, v), len(self.v) - 1)
+            p *= np.where(self.v[at] == v, self.rest[at], 1.0)
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            seen = self.keys[at] == keys
             p[seen] += self.share[at[seen]]
         return np.log(p)
 
 
-def _counted(trusted: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts of counts of pairs, number of different words before each word) of the trusted texts."""
-    words = 1 << word_bits(shards)
+def _counted(trusted: DataFrame, shards: int) -> DataFrame:
+    """(shard, keys, n): the different pairs of the trusted texts with their counts, in pieces, written down."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in batches_of(whole, 0):
-                p = Pairs(b.column(0).to_pylist(), shards)
-                keys, n = np.unique((p.shard.astype(np.uint64) << np.uint64(32)) | p.low, return_counts=True)
-                shard, cut = np.unique(keys >> np.uint64(32), return_index=True)
-                ends = [*cut[1:].tolist(), len(keys)]
-                low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                rows = [(planes(low[x:y]), planes(n[x:y])) for x, y in zip(cut.tolist(), ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "low", "n"])
+                keys, n = np.unique(Pairs(b.column(0).to_pylist()).keys, return_counts=True)
+                part = mixed(keys) % np.uint64(shards)
+                there = np.unique(part).tolist()
+                rows = [(rising(keys[part == k]), planes(n[part == k])) for k in there]
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "keys", "n"])
 
     def counted(rows: pa.Table) -> pa.Table:
-        low, n = count_pairs([unplanes(x.as_py()) for x in rows.column("low")], [unplanes(x.as_py()) for x in rows.column("n")])
-        before = np.bincount((low & np.uint32(words - 1)).astype(np.int64), minlength=words)
-        parts = [planes(x) for x in np.array_split(before, CHUNKS)]
-        often = planes(np.array([(n == k).sum() for k in (1, 2, 3, 4)]))
-        return pa.table({"part": pa.array(range(CHUNKS + 1), pa.int32()), "data": pa.array([*parts, often], pa.binary())})
-
-    def summed(rows: pa.Table) -> pa.Table:
-        total = None
-        for x in rows.column("data"):
-            own = unplanes(x.as_py()).astype(np.int64)
-            total = own if total is None else total + own
-        return pa.table({"part": rows.column("part").slice(0, 1), "data": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-
-    made = trusted.select("text").mapInArrow(pairs, "shard int, low binary, n binary").groupBy("shard").applyInArrow(counted, "part int, data binary")
-    rows = {r["part"]: np.frombuffer(r["data"], "<i8") for r in made.groupBy("part").applyInArrow(summed, "part int, data binary").collect()}
-    if not rows:
-        return np.zeros(4, np.int64), np.zeros(words, np.int64)
-    return rows[CHUNKS], np.concatenate([rows[k] for k in range(CHUNKS)])
+        keys, n = summed([unrising(x.as_py()) for x in rows.column("keys")], [unplanes(x.as_py()) for x in rows.column("n")])
+        cuts = shard_cuts(keys, shards)
+        there = [k for k in range(shards) if cuts[k + 1] > cuts[k]]
+        return pa.table(
+            {
+                "shard": pa.array(there, pa.int32()),
+                "keys": pa.array([rising(keys[cuts[k] : cuts[k + 1]]) for k in there], pa.binary()),
+                "n": pa.array([planes(n[cuts[k] : cuts[k + 1]]) for k in there], pa.binary()),
+            }
+        )
+
+    made = trusted.select("text").mapInArrow(pairs, "part int, keys binary, n binary")
+    return checkpoint(made.groupBy("part").applyInArrow(counted, "shard int, keys binary, n binary"))
+
+
+def _totals(counts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[bytes, bytes, bytes]]]:
+    """(counts of counts of pairs, pairs of each shard, n(w) by chunks of the words)."""
+    chunk = BITS - (CHUNKS.bit_length() - 1)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, sizes = np.zeros(4, np.int64), np.zeros(shards, np.int64)
+        for b in batches:
+            seen = []
+            for s, keys, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                n = unplanes(n.as_py())
+                often += np.array([(n == k).sum() for k in (1, 2, 3, 4)])
+                sizes[s] += int(n.sum())
+                seen.append(unrising(keys.as_py()) & np.uint64(WORDS - 1))
+            w, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0))
+            cuts = np.searchsorted(w, np.arange(CHUNKS + 1, dtype=np.uint64) << np.uint64(chunk))
+            there = [k for k in range(CHUNKS) if cuts[k + 1] > cuts[k]]
+            rows = [(rising(w[cuts[k] : cuts[k + 1]]), planes(n[cuts[k] : cuts[k + 1]])) for k in there]
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "w", "n"])
+        ends = [(OFTEN, often), (SIZES, sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in ends], pa.int32()), pa.array([rising(np.arange(len(x), dtype=np.uint64)) for _, x in ends], pa.binary()), pa.array([planes(x) for _, x in ends], pa.binary())], names=["chunk", "w", "n"])
+
+    def met(rows: pa.Table) -> pa.Table:
+        k = rows.column("chunk")[0].as_py()
+        w, n = summed([unrising(x.as_py()) for x in rows.column("w")], [unplanes(x.as_py()) for x in rows.column("n")])
+        if k < 0:
+            small, big = b"", np.ones(len(n), bool)
+        else:
+            table, big = np.zeros(1 << chunk, np.uint8), n >= 255
+            table[(w - np.uint64(k << chunk)).astype(np.int64)] = np.minimum(n, 255)
+            small = zstandard.ZstdCompressor(level=1).compress(table.tobytes())
+        return pa.table({"chunk": pa.array([k], pa.int32()), "small": pa.array([small], pa.binary()), "big": pa.array([rising(w[big])], pa.binary()), "n": pa.array([planes(n[big])], pa.binary())})
+
+    made = counts.mapInArrow(words, "chunk int, w binary, n binary").groupBy("chunk").applyInArrow(met, "chunk int, small binary, big binary, n binary")
+    rows = {r["chunk"]: (bytes(r["small"]), bytes(r["big"]), bytes(r["n"])) for r in made.collect()}
+    often, sizes = (unplanes(rows.pop(k)[2]).astype(np.int64) if k in rows else np.zeros(size, np.int64) for k, size in ((OFTEN, 4), (SIZES, shards)))
+    return often, sizes, rows
+
+
+def word_model(chunks: dict[int, tuple[bytes, bytes, bytes]]) -> WordModel:
+    small, big, big_n = np.zeros(WORDS, np.uint8), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    size = WORDS // CHUNKS
+    for k in sorted(chunks):
+        raw, w, n = chunks[k]
+        small[k * size : (k + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+        big.append(unrising(w))
+        big_n.append(unplanes(n))
+    return WordModel(small, np.concatenate(big).astype(np.int64), np.concatenate(big_n).astype(np.int64))
 
 
 def perplexities(
-    docs: DataFrame, labels: DataFrame, *, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality"
+    docs: DataFrame, labels: DataFrame, *, shards: int | None = None, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality"
 ) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, lang, trusted, held_out, n_words, log_perplexity (natural, for a word)."""
+    """One row for each row of ``docs``: doc_id, lang, trusted, held_out, n_words, log_perplexity (natural, for a word).
+
+    ``shards`` (a power of 2) and ``shard_words`` deal the work; scores do not depend on them."""
     spark = docs.sparkSession
     ship(spark)
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.max(label_col).alias("q")).where("q = 1 and i is not null")
@@ -209,14 +273,17 @@ def perplexities(
     if marks.count() <= BROADCAST_LABELS:  # 2 million rows of two numbers, tens of MB; more are joined by a shuffle
         marks = F.broadcast(marks)
     at = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = at.join(marks, F.col("doc_id") == F.col("i"), "left").select("doc_id", "lang", F.col("held").isNotNull().alias("trusted"), F.coalesce("held", F.lit(False)).alias("held_out"), "text")
+    total = (at.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 5  # words, about; they deal the work only
     if shards is None:
-        total = at.agg(F.sum(F.length("text"))).first()[0] or 0  # about five characters a word
         shards = SHARDS
-        while shards < 1 << 16 and total / 5 / shards > SHARD_WORDS:
-            shards *= 4
-    rows = at.join(marks, F.col("doc_id") == F.col("i"), "left").select("doc_id", "lang", F.col("held").isNotNull().alias("trusted"), F.coalesce("held", F.lit(False)).alias("held_out"), "text")
-    often, before = _counted(rows.where("trusted and not held_out"), shards)
-    model = spark.sparkContext.broadcast((discounts(often), word_model(before).astype(np.float32)))
+        while shards < MOST_SHARDS and total / shards > shard_words:
+            shards *= 2
+    counts = _counted(rows.where("trusted and not held_out"), shards)
+    often, sizes, chunks = _totals(counts, shards)
+    # A shard's part of all pairs is about its part of the trusted ones.
+    salts = np.maximum(1, np.ceil(total * sizes / max(int(sizes.sum()), 1) / shard_words)).astype(np.int64).tolist()
+    model = spark.sparkContext.broadcast((discounts(often), chunks))
     meta = [("doc_ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("trusted", pa.list_(pa.bool_())), ("held", pa.list_(pa.bool_())), ("words", pa.list_(pa.int32()))]
     meta_schema = "doc_ids array<long>, langs array<string>, trusted array<boolean>, held array<boolean>, words array<int>"
 
@@ -225,31 +292,38 @@ def perplexities(
         for whole in batches:
             for b in batches_of(whole, 4):
                 number, k = (part << 32) | k, k + 1
-                p = Pairs(b.column(4).to_pylist(), shards)
-                order = np.argsort(p.shard, kind="stable")
-                bounds = np.searchsorted(p.shard[order], np.arange(shards + 1))
-                low, doc = p.low[order], p.doc[order]
-                trained = np.packbits(np.array(b.column(2).to_pylist(), bool) & ~np.array(b.column(3).to_pylist(), bool)).tobytes()
+                p = Pairs(b.column(4).to_pylist())
+                cuts = shard_cuts(p.keys, shards)
                 own = number % shards
-                there = [s for s in range(shards) if bounds[s + 1] > bounds[s] or s == own]
-                lens = [planes(np.bincount(doc[bounds[s] : bounds[s + 1]], minlength=b.num_rows)) for s in there]
-                lows = [low[bounds[s] : bounds[s + 1]].tobytes() for s in there]
+                there = [s for s in range(shards) if cuts[s + 1] > cuts[s] or s == own]
+                keys = [rising(p.keys[cuts[s] : cuts[s + 1]]) for s in there]
+                doc = [planes(p.doc[cuts[s] : cuts[s + 1]]) for s in there]
                 about = [b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), (p.lengths - 1).tolist()]
-                columns = [pa.array(there, pa.int32()), pa.array([number] * len(there), pa.int64()), pa.array(lens, pa.binary()), pa.array([trained] * len(there), pa.binary()), pa.array(lows, pa.binary())]
+                columns = [pa.array(there, pa.int32()), pa.array([number % salts[s] for s in there], pa.int32()), pa.array([number] * len(there), pa.int64())]
+                columns += [pa.array([b.num_rows] * len(there), pa.int32()), pa.array(keys, pa.binary()), pa.array(doc, pa.binary())]
                 columns += [pa.array([x if s == own else None for s in there], t) for x, (_, t) in zip(about, meta, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "batch", "lens", "trained", "low", *[n for n, _ in meta]])
-
-    def scored(rows: pa.Table) -> pa.Table:
-        d, p_word = model.value
-        lens = [unplanes(x.as_py()).astype(np.int64) for x in rows.column("lens")]
-        lows = [np.frombuffer(x.as_py(), "<u4") for x in rows.column("low")]
-        mine = []
-        for n, low, mask in zip(lens, lows, rows.column("trained"), strict=True):
-            trained = np.unpackbits(np.frombuffer(mask.as_py(), np.uint8), count=len(n)).astype(bool)
-            mine.append(low[np.repeat(trained, n)])
-        shard = Shard(*count_pairs(mine), d, p_word, shards)
-        sums = [np.bincount(np.repeat(np.arange(len(n)), n), weights=shard.log_p(low), minlength=len(n)).astype("<f4").tobytes() for n, low in zip(lens, lows, strict=True)]
-        return pa.table({"batch": rows.column("batch"), "sums": pa.array(sums, pa.binary()), **{n: rows.column(n) for n, _ in meta}})
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "salt", "batch", "docs", "keys", "n", *[n for n, _ in meta]])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, p_word, key, known, shard = None, None, None, ([], []), None
+        for b in batches:
+            out = []
+            for r in range(b.num_rows):
+                s, salt, batch, docs_, keys, n = (b.column(c)[r].as_py() for c in range(6))
+                if (s, salt) != key:
+                    key, known, shard = (s, salt), ([], []), None
+                if batch < 0:  # the shard's counts come before its documents
+                    known[0].append(unrising(keys))
+                    known[1].append(unplanes(n))
+                    continue
+                if shard is None:
+                    if p_word is None:
+                        d, p_word = model.value[0], word_model(model.value[1])
+                    shard, known = Shard(*summed(*known), d, p_word), ([], [])
+                sums = np.bincount(unplanes(n).astype(np.int64), weights=shard.log_p(unrising(keys)), minlength=docs_)
+                out.append((r, sums.astype("<f4").tobytes()))
+            rest = b.take(pa.array([r for r, _ in out], pa.int32()))
+            yield pa.RecordBatch.from_arrays([rest.column(2), pa.array([x for _, x in out], pa.binary()), *[rest.column(6 + c) for c in range(len(meta))]], names=["batch", "sums", *[n for n, _ in meta]])
 
     def met(rows: pa.Table) -> pa.Table:
         total = np.zeros(len(rows.column("sums")[0].as_py()) // 4)
@@ -265,8 +339,11 @@ def perplexities(
             }
         )
 
-    dealt = rows.mapInArrow(pairs, f"shard int, batch long, lens binary, trained binary, low binary, {meta_schema}")
-    sums = dealt.groupBy("shard").applyInArrow(scored, f"batch long, sums binary, {meta_schema}")
+    dealt = rows.mapInArrow(pairs, f"shard int, salt int, batch long, docs int, keys binary, n binary, {meta_schema}")
+    salt = F.explode(F.sequence(F.lit(0), F.element_at(F.array(*map(F.lit, salts)), F.col("shard") + 1).cast("int") - 1)).alias("salt")
+    first = counts.select("shard", salt, F.lit(-1).cast("long").alias("batch"), F.lit(0).alias("docs"), "keys", "n")
+    at_shard = dealt.unionByName(first, allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "batch")
+    sums = at_shard.mapInArrow(scored, f"batch long, sums binary, {meta_schema}")
     return sums.groupBy("batch").applyInArrow(met, "doc_id long, lang string, trusted boolean, held_out boolean, n_words long, log_perplexity double")
 
 

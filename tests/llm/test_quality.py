@@ -71,7 +71,7 @@ def test_against_plain_formulas(corpus, monkeypatch):
     held = {r["doc_id"] for r in got if r["held_out"]}
     assert held and held < trusted
     trained = [t for i, t, *_ in rows if i in trusted and i not in held]
-    want = sorted(zip([str(r[0]) for r in rows], plain(trained, [r[1] for r in rows], quality.word_bits(4)), strict=True))
+    want = sorted(zip([str(r[0]) for r in rows], plain(trained, [r[1] for r in rows], quality.BITS), strict=True))
     found = sorted((str(r["doc_id"]), r["log_perplexity"]) for r in got)
     assert [i for i, _ in found] == [i for i, _ in want]
     assert [p for _, p in found] == pytest.approx([p for _, p in want], rel=2e-5)
@@ -80,15 +80,24 @@ def test_against_plain_formulas(corpus, monkeypatch):
 def test_probabilities_sum_to_one():
     import numpy as np
 
-    shards, bits = 1 << 16, quality.word_bits(1 << 16)
-    before = np.zeros(1 << bits, np.int64)
-    before[[2, 5, 9]] = 1, 2, 4
-    p_word = quality.word_model(before)
-    assert p_word.sum() == pytest.approx(1) and p_word.min() > 0
-    low = np.array([2, 5, 9], np.uint32)
-    shard = quality.Shard(low, np.array([1, 3, 7]), np.array([0, 0.6, 1.1, 1.4]), p_word, shards)
-    every = np.arange(1 << bits, dtype=np.uint32)
-    assert np.exp(shard.log_p(every)).sum() == pytest.approx(1)
+    small = np.zeros(quality.WORDS, np.uint8)
+    small[[2, 5, 9]] = 1, 2, 255
+    p_word = quality.WordModel(small, np.array([9]), np.array([700]))
+    every = np.arange(quality.WORDS)
+    assert p_word(every).sum() == pytest.approx(1) and p_word(np.array([3])) > 0
+    assert p_word(np.array([9]))[0] == pytest.approx(700 / 703, rel=0.01)
+    shard = quality.Shard(np.array([2, 5, 9], np.uint64), np.array([1, 3, 7]), np.array([0, 0.6, 1.1, 1.4]), p_word)
+    assert np.exp(shard.log_p(every.astype(np.uint64))).sum() == pytest.approx(1)
+
+
+def test_dealing_changes_no_score(corpus):
+    """Many shards and salts, where one word begins most pairs, score as few do."""
+    docs, labels, _ = corpus
+    few = quality.perplexities(docs, labels, shards=1)
+    many = quality.perplexities(docs, labels, shards=64, shard_words=50)
+    a, b = (sorted((str(r["doc_id"]), r["n_words"], r["log_perplexity"]) for r in x.collect()) for x in (few, many))
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    assert [x[2] for x in a] == pytest.approx([x[2] for x in b], rel=2e-5)
 
 
 def test_judgement(corpus, spark):
@@ -105,5 +114,5 @@ def test_judgement(corpus, spark):
 def test_planes():
     import numpy as np
 
-    x = np.array([0, 1, 255, 256, 2**32 - 1], np.uint32)
-    assert quality.unplanes(quality.planes(x)).tolist() == x.tolist()
+    x = np.array([0, 1, 255, 256, 2**52 - 1], np.uint64)
+    assert quality.unplanes(quality.planes(x)).tolist() == quality.unrising(quality.rising(x)).tolist() == x.tolist()
