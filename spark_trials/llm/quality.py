@@ -8,7 +8,7 @@ from the counts of counts; g(v) and h give what they took back. Words are hashed
 corpus, so P(w) is a table of 64 MB at most (one byte for n(w), larger ones beside it) that goes to every task; words that
 share a number count as one, a share of about (different trusted words) / V.
 
-Pairs are counted in groups by a hash of the whole pair, so a word that begins or ends a third of all pairs is no single
+Pairs are counted in groups by the sum of both words' upper bits, so a word that begins or ends a third of all pairs is no single
 group. For scoring, pairs are dealt to shards by their first word, where the shard's counts meet them: P(w | v) needs c(v)
 and g(v) of v. The counts of a shard are read first and its documents stream past them, so memory is bounded by the counts; a
 shard with more pairs than ``SHARD_WORDS`` is dealt to several tasks (salts), each with its counts. ``shards`` and salts
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from spark_trials.llm.common import checkpoint, ship
 
-SHARDS, MOST_SHARDS, SHARD_WORDS, KEEP, HELD = 64, 1 << 16, 16_000_000, 0.995, 5
-BATCH_ROWS, BATCH_WORDS, CACHED_WORDS = 1024, 1_000_000, 400_000
+SHARDS, MOST_SHARDS, SHARD_WORDS, KEEP, HELD = 32, 1 << 16, 16_000_000, 0.995, 5
+BATCH_ROWS, BATCH_WORDS, COUNTED_WORDS, CACHED_WORDS = 1024, 1_000_000, 2_000_000, 400_000
 BITS = 26
 WORDS = 1 << BITS
 BEGIN, END = 0, 1
@@ -97,16 +97,29 @@ class Pairs:
         self.keys, self.doc = keys[order], np.repeat(np.arange(len(ids)), self.lengths)[order]
 
 
-def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard begins in sorted keys, and the end; ``shards`` is a power of 2 and BEGIN a shard's least word."""
-    width = 2 * BITS - (shards.bit_length() - 1)
-    return np.searchsorted(keys, np.arange(shards + 1, dtype=np.uint64) << np.uint64(width))
+def shard_cuts(keys: np.ndarray, shards: int, bits: int = 2 * BITS) -> np.ndarray:
+    """Where each shard begins in sorted keys of so many bits, and the end; ``shards`` is a power of 2."""
+    return np.searchsorted(keys, np.arange(shards + 1, dtype=np.uint64) << np.uint64(bits - (shards.bit_length() - 1)))
 
 
-def mixed(keys: np.ndarray) -> np.ndarray:
-    """A hash of the whole key."""
-    with np.errstate(over="ignore"):
-        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+def short_bits(shards: int) -> int:
+    """Bits of a key in its part: the upper bits of the second word follow from the part and the first word."""
+    return 2 * BITS - (shards.bit_length() - 1)
+
+
+def parted(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(part, key in it): the part is the sum of both words' upper bits, so neither word alone decides it."""
+    low = np.uint64(short_bits(shards) - BITS)
+    v, w = keys >> np.uint64(BITS), keys & np.uint64(WORDS - 1)
+    return ((v >> low) + (w >> low)) & np.uint64(shards - 1), (v << low) | (w & ((np.uint64(1) << low) - np.uint64(1)))
+
+
+def whole(short: np.ndarray, part: int, shards: int) -> np.ndarray:
+    """The keys that ``parted`` took apart."""
+    low = np.uint64(short_bits(shards) - BITS)
+    v = short >> low
+    upper = (np.uint64(part + shards) - (v >> low)) & np.uint64(shards - 1)
+    return (v << np.uint64(BITS)) | (upper << low) | (short & ((np.uint64(1) << low) - np.uint64(1)))
 
 
 def batches_of(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
@@ -147,7 +160,7 @@ class WordModel:
 
     def __init__(self, small: np.ndarray, big: np.ndarray, big_n: np.ndarray):
         self.small, self.big, self.big_n = small, big, big_n
-        often = np.bincount(small, minlength=256)
+        often = sum(np.bincount(x, minlength=256) for x in np.array_split(small, CHUNKS))  # bincount makes eight bytes of each
         self.total = float((often[:255] * np.arange(255)).sum() + big_n.sum())
         self.d = discounts(often[1:5])
         taken = (self.d[np.minimum(np.arange(256), 3)] * often).sum()
@@ -184,23 +197,34 @@ class Shard:
 
 
 def _counted(trusted: DataFrame, shards: int) -> DataFrame:
-    """(shard, keys, n): the different pairs of the trusted texts with their counts, in pieces, written down."""
+    """(part, shard, keys, n): the different pairs of the trusted texts with their counts, by part and shard."""
+
+    def emitted(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        part, short = parted(keys, shards)
+        there = np.unique(part).tolist()
+        rows = [(rising(short[part == k]), planes(n[part == k])) for k in there]
+        return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "keys", "n"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in batches_of(whole, 0):
-                keys, n = np.unique(Pairs(b.column(0).to_pylist()).keys, return_counts=True)
-                part = mixed(keys) % np.uint64(shards)
-                there = np.unique(part).tolist()
-                rows = [(rising(keys[part == k]), planes(n[part == k])) for k in there]
-                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "keys", "n"])
+        held, size = [], 0
+        for batch in batches:
+            for b in batches_of(batch, 0):
+                held.append(Pairs(b.column(0).to_pylist()).keys)
+                size += len(held[-1])
+                if size >= COUNTED_WORDS:
+                    yield emitted(held)
+                    held, size = [], 0
+        if held:
+            yield emitted(held)
 
     def counted(rows: pa.Table) -> pa.Table:
         keys, n = summed([unrising(x.as_py()) for x in rows.column("keys")], [unplanes(x.as_py()) for x in rows.column("n")])
-        cuts = shard_cuts(keys, shards)
+        cuts = shard_cuts(keys, shards, short_bits(shards))
         there = [k for k in range(shards) if cuts[k + 1] > cuts[k]]
         return pa.table(
             {
+                "part": pa.array([rows.column("part")[0].as_py()] * len(there), pa.int32()),
                 "shard": pa.array(there, pa.int32()),
                 "keys": pa.array([rising(keys[cuts[k] : cuts[k + 1]]) for k in there], pa.binary()),
                 "n": pa.array([planes(n[cuts[k] : cuts[k + 1]]) for k in there], pa.binary()),
@@ -208,7 +232,7 @@ def _counted(trusted: DataFrame, shards: int) -> DataFrame:
         )
 
     made = trusted.select("text").mapInArrow(pairs, "part int, keys binary, n binary")
-    return checkpoint(made.groupBy("part").applyInArrow(counted, "shard int, keys binary, n binary"))
+    return made.groupBy("part").applyInArrow(counted, "part int, shard int, keys binary, n binary")
 
 
 def _totals(counts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[bytes, bytes, bytes]]]:
@@ -219,11 +243,11 @@ def _totals(counts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, dic
         often, sizes = np.zeros(4, np.int64), np.zeros(shards, np.int64)
         for b in batches:
             seen = []
-            for s, keys, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for part, s, keys, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 n = unplanes(n.as_py())
                 often += np.array([(n == k).sum() for k in (1, 2, 3, 4)])
                 sizes[s] += int(n.sum())
-                seen.append(unrising(keys.as_py()) & np.uint64(WORDS - 1))
+                seen.append(whole(unrising(keys.as_py()), part, shards) & np.uint64(WORDS - 1))
             w, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0))
             cuts = np.searchsorted(w, np.arange(CHUNKS + 1, dtype=np.uint64) << np.uint64(chunk))
             there = [k for k in range(CHUNKS) if cuts[k + 1] > cuts[k]]
@@ -263,7 +287,8 @@ def word_model(chunks: dict[int, tuple[bytes, bytes, bytes]]) -> WordModel:
 def perplexities(
     docs: DataFrame, labels: DataFrame, *, shards: int | None = None, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality"
 ) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, lang, trusted, held_out, n_words, log_perplexity (natural, for a word).
+    """One row for each row of ``docs``, written down: doc_id, lang, trusted, held_out, n_words, log_perplexity (natural, for
+    a word).
 
     ``shards`` (a power of 2) and ``shard_words`` deal the work; scores do not depend on them."""
     spark = docs.sparkSession
@@ -279,7 +304,7 @@ def perplexities(
         shards = SHARDS
         while shards < MOST_SHARDS and total / shards > shard_words:
             shards *= 2
-    counts = _counted(rows.where("trusted and not held_out"), shards)
+    counts = _counted(rows.where("trusted and not held_out"), shards).persist()  # used twice, and released below
     often, sizes, chunks = _totals(counts, shards)
     # A shard's part of all pairs is about its part of the trusted ones.
     salts = np.maximum(1, np.ceil(total * sizes / max(int(sizes.sum()), 1) / shard_words)).astype(np.int64).tolist()
@@ -313,7 +338,7 @@ def perplexities(
                 if (s, salt) != key:
                     key, known, shard = (s, salt), ([], []), None
                 if batch < 0:  # the shard's counts come before its documents
-                    known[0].append(unrising(keys))
+                    known[0].append(whole(unrising(keys), -1 - batch, shards))
                     known[1].append(unplanes(n))
                     continue
                 if shard is None:
@@ -341,15 +366,18 @@ def perplexities(
 
     dealt = rows.mapInArrow(pairs, f"shard int, salt int, batch long, docs int, keys binary, n binary, {meta_schema}")
     salt = F.explode(F.sequence(F.lit(0), F.element_at(F.array(*map(F.lit, salts)), F.col("shard") + 1).cast("int") - 1)).alias("salt")
-    first = counts.select("shard", salt, F.lit(-1).cast("long").alias("batch"), F.lit(0).alias("docs"), "keys", "n")
+    first = counts.select("shard", salt, (-1 - F.col("part").cast("long")).alias("batch"), F.lit(0).alias("docs"), "keys", "n")
     at_shard = dealt.unionByName(first, allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "batch")
     sums = at_shard.mapInArrow(scored, f"batch long, sums binary, {meta_schema}")
-    return sums.groupBy("batch").applyInArrow(met, "doc_id long, lang string, trusted boolean, held_out boolean, n_words long, log_perplexity double")
+    try:
+        return checkpoint(sums.groupBy("batch").applyInArrow(met, "doc_id long, lang string, trusted boolean, held_out boolean, n_words long, log_perplexity double"))
+    finally:
+        counts.unpersist()
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, keep: float = KEEP, **options) -> DataFrame:
     """``perplexities`` with the language's threshold and ``kept``."""
-    scored = checkpoint(perplexities(docs, labels, **options))
+    scored = perplexities(docs, labels, **options)
     held = scored.where("held_out")
     at = F.percentile_approx("log_perplexity", F.lit(keep), F.lit(100_000))
     by = held.groupBy(F.col("lang").alias("l")).agg(at.alias("own"))

@@ -116,3 +116,15 @@ def test_planes():
 
     x = np.array([0, 1, 255, 256, 2**52 - 1], np.uint64)
     assert quality.unplanes(quality.planes(x)).tolist() == quality.unrising(quality.rising(x)).tolist() == x.tolist()
+
+
+@pytest.mark.parametrize("shards", [1, 2, 64])
+def test_parts(shards):
+    import numpy as np
+
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 2 * quality.BITS, 5000).astype(np.uint64))
+    part, short = quality.parted(keys, shards)
+    assert len(np.unique(part)) == shards
+    for k in range(shards):
+        assert (np.diff(short[part == k].astype(np.int64)) > 0).all()
+        assert (quality.whole(short[part == k], k, shards) == keys[part == k]).all()
