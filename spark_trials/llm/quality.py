@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from spark_trials.llm.common import checkpoint, ship
 
 SHARDS, MOST_SHARDS, SHARD_WORDS, KEEP, HELD = 32, 1 << 16, 16_000_000, 0.995, 5
-BATCH_ROWS, BATCH_WORDS, COUNTED_WORDS, CACHED_WORDS = 1024, 1_000_000, 2_000_000, 400_000
+BATCH_ROWS, BATCH_WORDS, GATHERED_BYTES, COUNTED_WORDS, CACHED_WORDS = 1024, 1_000_000, 20_000_000, 2_000_000, 400_000
 BITS = 26
 WORDS = 1 << BITS
 BEGIN, END = 0, 1
@@ -65,12 +65,23 @@ def word_ids(text: str) -> list[int]:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Whole numbers, compressed with all their first bytes first: small ones then take little."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Whole numbers, all their first bytes first, each plane of bytes compressed by itself: small ones then take little."""
+    at = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = [k for k in range(8) if at[k].any()]
+    parts = [zstandard.ZstdCompressor(level=1).compress(at[k].tobytes()) for k in used]
+    sizes = np.zeros(9, "<u4")
+    sizes[0], sizes[[k + 1 for k in used]] = len(x), [len(p) for p in parts]
+    return sizes.tobytes() + b"".join(parts)
 
 
 def unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    sizes, lo = np.frombuffer(raw, "<u4", 9).tolist(), 36
+    at = np.zeros((8, sizes[0]), np.uint8)
+    for k, size in enumerate(sizes[1:]):
+        if size:
+            at[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[lo : lo + size]), np.uint8)
+            lo += size
+    return np.ascontiguousarray(at.T).view("<u8").ravel()
 
 
 def rising(x: np.ndarray) -> bytes:
@@ -86,9 +97,9 @@ class Pairs:
     """The word pairs of a few documents, sorted: their keys, first word before second, and their documents."""
 
     def __init__(self, texts: list[str | None]):
-        ids = [word_ids(t or "") for t in texts]
+        ids = [np.array(word_ids(t or ""), np.uint32) for t in texts]
         self.lengths = np.fromiter((len(i) - 1 for i in ids), np.int64, len(ids))
-        flat = np.fromiter((k for i in ids for k in i), np.uint64, int(self.lengths.sum()) + len(ids))
+        flat = np.concatenate(ids).astype(np.uint64) if ids else np.zeros(0, np.uint64)
         first = np.ones(len(flat), bool)
         first[np.cumsum(self.lengths + 1) - 1] = False  # the last word begins no pair
         at = np.flatnonzero(first)
@@ -135,6 +146,20 @@ def batches_of(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about GATHERED_BYTES of text: the more pairs are sorted together, the less each takes."""
+    held, size = [], 0
+    for whole in batches:
+        for b in batches_of(whole, text):
+            held.append(b)
+            size += pa.compute.sum(pa.compute.binary_length(b.column(text))).as_py() or 0
+            if size >= GATHERED_BYTES or len(held) >= 256:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """(0, D1, D2, D3+) from the numbers of things counted once, twice, three and four times."""
     n1, n2, n3, n4 = (float(x) for x in n[:4])
@@ -314,20 +339,19 @@ def perplexities(
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for b in batches_of(whole, 4):
-                number, k = (part << 32) | k, k + 1
-                p = Pairs(b.column(4).to_pylist())
-                cuts = shard_cuts(p.keys, shards)
-                own = number % shards
-                there = [s for s in range(shards) if cuts[s + 1] > cuts[s] or s == own]
-                keys = [rising(p.keys[cuts[s] : cuts[s + 1]]) for s in there]
-                doc = [planes(p.doc[cuts[s] : cuts[s + 1]]) for s in there]
-                about = [b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), (p.lengths - 1).tolist()]
-                columns = [pa.array(there, pa.int32()), pa.array([number % salts[s] for s in there], pa.int32()), pa.array([number] * len(there), pa.int64())]
-                columns += [pa.array([b.num_rows] * len(there), pa.int32()), pa.array(keys, pa.binary()), pa.array(doc, pa.binary())]
-                columns += [pa.array([x if s == own else None for s in there], t) for x, (_, t) in zip(about, meta, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "salt", "batch", "docs", "keys", "n", *[n for n, _ in meta]])
+        for b in gathered(batches, 4):
+            number, k = (part << 32) | k, k + 1
+            p = Pairs(b.column(4).to_pylist())
+            cuts = shard_cuts(p.keys, shards)
+            own = number % shards
+            there = [s for s in range(shards) if cuts[s + 1] > cuts[s] or s == own]
+            keys = [rising(p.keys[cuts[s] : cuts[s + 1]]) for s in there]
+            doc = [planes(p.doc[cuts[s] : cuts[s + 1]]) for s in there]
+            about = [b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), (p.lengths - 1).tolist()]
+            columns = [pa.array(there, pa.int32()), pa.array([number % salts[s] for s in there], pa.int32()), pa.array([number] * len(there), pa.int64())]
+            columns += [pa.array([b.num_rows] * len(there), pa.int32()), pa.array(keys, pa.binary()), pa.array(doc, pa.binary())]
+            columns += [pa.array([x if s == own else None for s in there], t) for x, (_, t) in zip(about, meta, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "salt", "batch", "docs", "keys", "n", *[n for n, _ in meta]])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, p_word, key, known, shard = None, None, None, ([], []), None
