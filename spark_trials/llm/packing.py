@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from spark_trials.llm.common import checkpoint, ship
 
 CAPACITY, END, SALT_ROWS = 2048, 0, 1 << 16
-CACHED_WORDS, LONG_RUN = 300_000, 100_000
+LONG_RUN = 100_000
 #: Runs of what the pre-tokenizer's pattern takes as blanks.
 BLANKS = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}+")
-_coders: dict[str, WordCoder] = {}
+_coders: dict[str, TextCoder] = {}
 
 
 #: The pre-tokenizer of byte-level BPE files that name none of their own.
@@ -65,13 +65,10 @@ def read_byte_bpe(path: str) -> tuple[tiktoken.Encoding, dict[str, int]]:
     return tiktoken.Encoding(os.path.basename(path), pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}), added
 
 
-class WordCoder:
+class TextCoder:
     """The ids of a byte-level BPE tokenizer file, as little-endian unsigned 32-bit bytes.
 
-    Its pre-tokenizer always starts a new piece at a blank that a non-blank follows, so a text can be coded word by word,
-    and words repeat: each is coded once and kept. Texts with other blanks beside a space are coded whole. The kept words
-    are emptied when there are ``CACHED_WORDS``, which bounds memory and changes no result.
-
+    Texts are coded whole by tiktoken with the file's merges; nothing is kept between texts, so memory is a text and its ids.
     The strings of added tokens are their ids, as the tokenizers library has it, and part the text. A run of ``LONG_RUN``
     blanks is taken out before the pre-tokenizer's pattern, whose stack such runs would use up: all but its last blank are
     one piece, or all of it where the text ends.
@@ -80,7 +77,6 @@ class WordCoder:
     def __init__(self, path: str):
         coding, added = read_byte_bpe(path)
         self.code, self.piece = coding.encode_ordinary, coding._encode_single_piece
-        self.known: dict[str, bytes] = {}
         self.added = {token: array("I", [id_]).tobytes() for token, id_ in added.items()}
         longest_first = sorted(map(re.escape, added), key=len, reverse=True)
         self.parts = re.compile(f"({'|'.join(longest_first)})") if added else None
@@ -92,45 +88,22 @@ class WordCoder:
 
     def _plain(self, text: str) -> bytes:
         if len(text) < LONG_RUN:
-            return self._words(text)
+            return self._ids(text)
         out, at = [], 0
         for run in BLANKS.finditer(text):
             stop = run.end() if run.end() == len(text) else run.end() - 1
-            out += [self._words(text[at : run.start()]), array("I", self.piece(text[run.start() : stop])).tobytes()]
+            out += [self._ids(text[at : run.start()]), array("I", self.piece(text[run.start() : stop])).tobytes()]
             at = stop
-        return b"".join([*out, self._words(text[at:])])
+        return b"".join([*out, self._ids(text[at:])])
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.code(text)).tobytes()
 
-    def _words(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if any(map(_blank_first, rest)):
-            return self._ids(text)
-        words = [" " + w for w in rest]
-        if first:
-            words.append(first)
-        known = self.known
-        new = {w for w in words if w not in known}
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = set(words)
-        ids = self._ids
-        for w in new:
-            known[w] = ids(w)
-        if first:
-            words = [words.pop(), *words]
-        return b"".join(map(known.__getitem__, words))
-
-
-def _blank_first(word: str) -> bool:
-    return not word or word[0].isspace()
-
-
-def coder(path: str) -> WordCoder:
+
+def coder(path: str) -> TextCoder:
     """One for each worker process."""
     if path not in _coders:
-        _coders[path] = WordCoder(path)
+        _coders[path] = TextCoder(path)
     return _coders[path]
 
 

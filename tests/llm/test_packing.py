@@ -50,7 +50,7 @@ def test_ids_are_the_tokenizers():
     texts = ["", " ", "  ", "a", " a", "a ", "Hello  world\n b", "it's 12é ok", "\u3000x \x1c y", "<|endoftext|> z", "tab\t t", "x\n\n y", "naïve über  straße", "a" * 5000, "漢字 かな", "\U0001f600 \U0001f600"]
     texts += ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", " <|endoftext|>\n", "<|endoftext|", "  <|endoftext|>  a"]
     texts += [" " * 2_000_000, "\n" * 1_200_000 + "x", "a b\t" * 3 + "\t" * 1_500_000 + " x", "a " + "\u3000" * 150_000 + "!" + " \n" * 60_000 + "<|endoftext|>" + "\x1c" * 120_000 + " z" + " " * 100_000]
-    own = packing.WordCoder(tokenizer_path())
+    own = packing.TextCoder(tokenizer_path())
     for text in [*texts, *texts[:21]]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == real.encode(text, add_special_tokens=False).ids
 
