@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spark_trials.llm import ann, licenses, mixing, packing, quality, simhash, substring_dedup, telephony, toxicity, url_filter
+from spark_trials.llm import ann, curve_packing, licenses, mixing, packing, quality, simhash, substring_dedup, telephony, toxicity, url_filter, vector_codes
 from spark_trials.llm.common import table
 
 URL_RULES = [
@@ -66,11 +66,56 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.telephony(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.pack_along_curve(table(spark, sf_dir, "documents"), tokenizer_path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_mixing, op3_simhash, op4_toxicity, op5_packing, op6_substring_dedup, op7_ann, op8_license_scan, op9_quality, op10_telephony)
-}
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_mixing, op3_simhash, op4_toxicity, op5_packing, op6_substring_dedup, op7_ann, op8_license_scan, op9_quality, op10_telephony,
+        op12_vector_codes, op13_curve_packing,
+    )
+}
+
+def _vector_codes_sql(rounds: int = 2) -> str:
+    """The rounds of op12 as one query: every part against every entry, for vectors of 64 components."""
+    gap = " + ".join(f"(x.{c} - b.{c}) * (x.{c} - b.{c})" for c in "abcd")
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"near{k} AS (SELECT x.r, x.p, min(({gap})::HUGEINT * 64 + b.e) AS m FROM parts x JOIN book{k} b ON x.p = b.p GROUP BY x.r, x.p)")
+        if k < rounds:
+            floors = ", ".join(f"(sum({c}) - ((sum({c}) % count(*) + count(*)) % count(*))) // count(*) AS {c}" for c in "abcd")
+            steps.append(f"moved{k} AS (SELECT n.p, n.m % 64 AS e, {floors} FROM near{k} n JOIN parts x ON x.r = n.r AND x.p = n.p GROUP BY 1, 2)")
+            kept = ", ".join(f"coalesce(m.{c}, b.{c})::BIGINT AS {c}" for c in "abcd")
+            steps.append(f"book{k + 1} AS (SELECT b.p, b.e, {kept} FROM book{k} b LEFT JOIN moved{k} m ON m.p = b.p AND m.e = b.e)")
+    chained = ",\n".join(steps)
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda v: floor(256 * v::DOUBLE)::BIGINT) AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+), parts AS (
+  SELECT r, p, w[4 * p + 1] AS a, w[4 * p + 2] AS b, w[4 * p + 3] AS c, w[4 * p + 4] AS d FROM kept, range(16) AS t(p)
+), book0 AS (
+  SELECT p, r - 1 AS e, a, b, c, d FROM parts WHERE r <= 64
+),
+{chained},
+coded AS (
+  SELECT r, string_agg(printf('%02x', (m % 64)::INTEGER), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM near{rounds} GROUP BY r
+), digest AS (
+  SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY p, e)) AS hex FROM book{rounds}
+)
+SELECT k.vec_id, c.code, c.error, sum(c.error) OVER (PARTITION BY k.label)::BIGINT AS label_error, d.hex AS codebooks_sha256
+FROM kept k JOIN coded c ON c.r = k.r CROSS JOIN digest d
+"""
 
-#: Only op1 is plain enough for SQL; the others are tested against brute force.
+
+#: Ops 1 and 12 are plain enough for SQL; the others are tested against brute force.
 ORACLE_SQL = {
     "op1_url_filter": """
 WITH cut AS (
@@ -93,5 +138,6 @@ WITH cut AS (
 )
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.says, 'allow') AS verdict
 FROM parts p LEFT JOIN met m ON m.page_id = p.page_id AND m.place = 1
-"""
+""",
+    "op12_vector_codes": _vector_codes_sql(),
 }
