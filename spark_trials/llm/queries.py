@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spark_trials.llm import ann, curve_packing, licenses, mixing, packing, quality, simhash, substring_dedup, telephony, toxicity, url_filter, vector_codes
+from spark_trials.llm import ann, curve_packing, licenses, mixing, packing, quality, simhash, spelling, substring_dedup, telephony, toxicity, url_filter, vector_codes
 from spark_trials.llm.common import table
 
 URL_RULES = [
@@ -66,6 +66,10 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.telephony(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -78,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_mixing, op3_simhash, op4_toxicity, op5_packing, op6_substring_dedup, op7_ann, op8_license_scan, op9_quality, op10_telephony,
-        op12_vector_codes, op13_curve_packing,
+        op11_spelling, op12_vector_codes, op13_curve_packing,
     )
 }
 
