@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -55,6 +55,29 @@ def require_none(violations: DataFrame, what: str) -> None:
         raise ContractError(f"{what} breaks its contract: {', '.join(broken)}")
 
 
+def insist(df: DataFrame, rules: Mapping[str, Column], what: str) -> DataFrame:
+    """``df`` as it is, whose job fails at a row that breaks a rule: no pass of its own.
+
+    A rule is a count, null or 0 where the row keeps it; the message has the counts of the row that failed. The error is
+    Spark's own, since it is found while the table is read. The condition ends in the number of the
+    partition, never negative: predicates are not moved below a filter that is not deterministic, so neither a join nor a
+    filter that reads only some of the rows has the others skipped before they are checked.
+    """
+    counts = {name: F.coalesce(c.cast("long"), F.lit(0)) for name, c in rules.items()}
+    broken = F.lit(False)
+    for c in counts.values():
+        broken = broken | (c > 0)
+    said = F.concat_ws(", ", *[F.when(c > 0, F.concat(F.lit(f"{name}: "), c.cast("string"))) for name, c in counts.items()])
+    return df.where(F.when(broken, F.raise_error(F.concat(F.lit(f"{what} breaks its contract: "), said)).cast("boolean")).otherwise(F.spark_partition_id() >= 0))
+
+
+def required(df: DataFrame, columns: Sequence[str], what: str) -> DataFrame:
+    """``df``, whose job fails at a null in one of the columns. The column itself fails, not a filter beside it, which a join
+    by that column would have skip the nulls first."""
+    gone = {c: F.raise_error(F.lit(f"{what} breaks its contract: missing {c}")).cast(df.schema[c].dataType) for c in columns}
+    return df.withColumns({c: F.coalesce(F.col(c), error) for c, error in gone.items()})
+
+
 def text_instant(text: Column) -> Column:
     """A UTC instant of a string with an explicit offset; null for any other."""
     full = F.regexp_replace(F.trim(text), r"T(\d\d:\d\d)(Z|[+-]\d\d:?\d\d)$", "T$1:00$2")
@@ -148,6 +171,15 @@ def exposure_rules(df: DataFrame, column: str) -> dict[str, Column]:
     return {f"{column}_not_finite": gap, f"{column}_negative": ~gap & (value < 0), f"{column}_not_whole": ~gap & (value != F.floor(value))}
 
 
+def settled(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """A table of a few rows by contract, such as a family, the gates or the times of hot ids, computed once and held as a local
+    table, so that what reads it does not run again what it comes from. A larger table is no such thing and fails."""
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ContractError(f"a table that is settled has at most {rows} rows")
+    return df.sparkSession.createDataFrame(found, df.schema)
+
+
 def orphans(events: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
     """Events of ids that ``known`` does not have. Only the ids of ``known`` take part."""
     return events.join(known.select(id_col), id_col, "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spark_trials.functions import stats
 from spark_trials.operators.assignment import BLOCKS, HOLDOUT
-from spark_trials.operators.contracts import ContractError, binary_rules, count_rules, require_columns, require_none
+from spark_trials.operators.contracts import ContractError, binary_rules, count_rules, require_columns, require_none, settled
 from spark_trials.operators.effects import block_effects, paired_with_control, with_binary_effect
 
 # The decision rule's gates, guardrails and method names.
@@ -169,15 +169,6 @@ def guardrail_family(cube: DataFrame, margins: Mapping[str, float], *, holdout:
     )
 
 
-def settled(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """A family or the gates, a dozen rows by contract, computed once and held as a local table, so that the checks, the
-    decision and a report do not run what they come from again. A larger table is no such thing and fails."""
-    found = df.limit(rows + 1).collect()
-    if len(found) > rows:
-        raise ContractError(f"a decision table has at most {rows} rows")
-    return df.sparkSession.createDataFrame(found, df.schema)
-
-
 def negative_control(family: DataFrame, significant: str = "holm_significant") -> DataFrame:
     """One row: passed if no comparison of the family is rejected."""
     return family.agg(F.count(F.lit(1)).alias("comparisons"), F.count_if(significant).alias("rejections"), (~F.bool_or(significant)).alias("passed"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spark_trials.functions import stats
-from spark_trials.operators.contracts import ContractError
+from spark_trials.operators.contracts import insist, missing
 
 COUNTS = ("treatment_successes", "treatment_total", "control_successes", "control_total")
 
@@ -29,13 +29,17 @@ def with_binary_effect(counts: DataFrame, *, confidence: float = 0.95) -> DataFr
     return out.withColumn("p_value_two_sided", stats.normal_p(F.col("z_statistic")))
 
 
-def arm_counts(df: DataFrame, by: Sequence[str], *, arm: str = "arm", outcome: str = "outcome", treatment: str = "treatment", control: str = "control") -> DataFrame:
-    """The four counts of each group in one pass; ``arms_other`` counts rows of any other arm."""
-    t, c, hit = F.col(arm) == treatment, F.col(arm) == control, F.col(outcome).cast("int") == 1
-    return df.groupBy(*by).agg(
-        F.count_if(t & hit).alias("treatment_successes"), F.count_if(t).alias("treatment_total"),
-        F.count_if(c & hit).alias("control_successes"), F.count_if(c).alias("control_total"), F.count_if(~(t | c) | F.col(arm).isNull()).alias("arms_other"),
-    )
+def arm_counts(
+    df: DataFrame, by: Sequence[str], *, arm: str = "arm", outcome: str = "outcome", treatment: str = "treatment", control: str = "control", check: bool = True
+) -> DataFrame:
+    """The four counts of each group in one pass. A row of any other arm, an outcome that is missing (censored rows are to be
+    left out before) or not 0 or 1 fails in the same pass (``check``)."""
+    t, c = F.col(arm) == treatment, F.col(arm) == control
+    gone, value = missing(df, outcome), F.col(outcome).cast("double")
+    four = [F.count_if(t & (value == 1)), F.count_if(t), F.count_if(c & (value == 1)), F.count_if(c)]
+    rules = {"arm_not_declared": ~(t | c) | F.col(arm).isNull(), "outcome_missing": gone, "outcome_not_binary": ~gone & ~value.isin(0.0, 1.0)} if check else {}
+    made = df.groupBy(*by).agg(*[x.alias(n) for x, n in zip(four, COUNTS, strict=True)], *[F.count_if(r).alias(f"_{n}") for n, r in rules.items()])
+    return insist(made, {n: F.col(f"_{n}") for n in rules}, "comparison").drop(*[f"_{n}" for n in rules]) if check else made
 
 
 def compare_groups(
@@ -44,14 +48,12 @@ def compare_groups(
 ) -> DataFrame:
     """Treatment against control in every experiment, with Holm and Benjamini-Hochberg over all of a family.
 
-    A group that lacks an arm or has another one fails (``check``).
+    A group that lacks an arm or has another one, and an outcome that is missing or not binary, fail in the same pass (``check``).
     """
-    counts = arm_counts(df, [*family, experiment], arm=arm, outcome=outcome, treatment=treatment, control=control)
+    counts = arm_counts(df, [*family, experiment], arm=arm, outcome=outcome, treatment=treatment, control=control, check=check)
     if check:
-        bad = counts.where("arms_other > 0 or treatment_total = 0 or control_total = 0").count()
-        if bad:
-            raise ContractError(f"{bad} experiments have not exactly the two declared arms")
-    return adjust(with_binary_effect(counts.drop("arms_other"), confidence=confidence), list(family), [experiment])
+        counts = insist(counts, {"arm_without_rows": ((F.col("treatment_total") == 0) | (F.col("control_total") == 0)).cast("int")}, "comparison")
+    return adjust(with_binary_effect(counts, confidence=confidence), list(family), [experiment])
 
 
 def adjust(effects: DataFrame, family: list[str], keys: list[str], p: str = "p_value_two_sided") -> DataFrame:
@@ -129,22 +131,33 @@ def block_effects(counts: DataFrame, control: str, *, blocks: Sequence[str], fam
 
 
 def compare_blocks(df: DataFrame, *, treatment: str, control: str, outcome: str, blocks: Sequence[str], arm: str = "arm", check: bool = True) -> DataFrame:
-    """One block-standardized comparison from rows."""
-    own = df.where(F.col(arm).isin(treatment, control)) if not check else df
-    if check:
-        other = df.where(F.col(arm).isNull() | ~F.col(arm).isin(treatment, control)).limit(1).count()
-        gone = df.agg(*[F.count_if(F.col(b).isNull() | (F.trim(b) == "")) for b in blocks]).first()
-        if other or any(gone):
-            raise ContractError("comparison needs exactly the two declared arms and complete block labels")
-    made = block_effects(own.groupBy(*blocks, arm).agg(F.count(F.lit(1)).alias("n"), F.sum(outcome).alias("successes")), control, blocks=blocks, arm=arm)
-    if check:
-        row = made.first()
-        n_blocks = own.select(*blocks).distinct().count()
-        if row is None or row["bad_blocks"] or row["block_count"] != n_blocks:
-            raise ContractError("comparison needs equal arms of two rows or more in every block")
-        if not row["valid"]:
-            raise ContractError("comparison needs a positive variance")
-    return made
+    """One block-standardized comparison from rows, which are read once.
+
+    Other arms, block labels that lack, outcomes that are missing or not binary, blocks without equal arms of two rows or more and a
+    variance that is not positive fail in the same pass (``check``): all of it shows in the counts of blocks and arms.
+    """
+    if not check:
+        own = df.where(F.col(arm).isin(treatment, control))
+        return block_effects(own.groupBy(*blocks, arm).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(outcome).cast("int")).alias("successes")), control, blocks=blocks, arm=arm)
+    gone, value = missing(df, outcome), F.col(outcome).cast("double")
+    rows = F.count(F.lit(1))
+    counts = df.groupBy(*blocks, arm).agg(
+        rows.alias("n"), F.count_if(value == 1).alias("successes"), F.count_if(gone).alias("_gone"), F.count_if(~gone & ~value.isin(0.0, 1.0)).alias("_odd")
+    )
+    unnamed = F.lit(False)
+    for b in blocks:
+        unnamed = unnamed | F.col(b).isNull() | (F.trim(F.col(b).cast("string")) == "")
+    t, c = F.col(arm) == treatment, F.col(arm) == control
+    # one row, whatever the input, so that an empty one fails too
+    whole = counts.agg(
+        F.sum(F.when(F.col(arm).isNull() | ~(t | c), F.col("n"))).alias("arm_not_declared"), F.sum(F.when(unnamed, F.col("n"))).alias("block_label_missing"),
+        F.sum("_gone").alias("outcome_missing"), F.sum("_odd").alias("outcome_not_binary"),
+        F.when((F.count_if(t) == 0) | (F.count_if(c) == 0), 1).alias("arm_without_rows"),
+    )
+    rules = whole.columns
+    made = block_effects(counts.drop("_gone", "_odd"), control, blocks=blocks, arm=arm)
+    met = insist(whole, {r: F.col(r) for r in rules}, "comparison").join(made, F.lit(True), "left").drop(*rules)
+    return insist(met, {"block_without_equal_arms": F.col("bad_blocks"), "variance_not_positive": (~F.col("valid")).cast("int")}, "comparison")
 
 
 def standardized_differences(df: DataFrame, covariates: Sequence[str], *, by: Sequence[str] = (), arm: str = "arm", treatment: str = "treatment", control: str = "control") -> DataFrame:
@@ -163,7 +176,7 @@ def standardized_differences(df: DataFrame, covariates: Sequence[str], *, by: Se
 def cadence_contrast(df: DataFrame, *, stratum: str, outcomes: Sequence[str], cadence: str = "cadence", treatment: str = "twice_weekly", control: str = "daily") -> DataFrame:
     """One cadence against the other within strata; each outcome is its own Holm and BH family."""
     long = df.select(stratum, cadence, F.inline(F.array(*[F.struct(F.lit(o).alias("outcome_name"), F.col(o).cast("int").alias("_y")) for o in outcomes])))
-    counts = arm_counts(long, ["outcome_name", stratum], arm=cadence, outcome="_y", treatment=treatment, control=control).drop("arms_other")
+    counts = arm_counts(long, ["outcome_name", stratum], arm=cadence, outcome="_y", treatment=treatment, control=control)
     return adjust(with_binary_effect(counts), ["outcome_name"], [stratum])
 
 

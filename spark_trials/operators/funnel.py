@@ -4,53 +4,78 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_trials.functions.stats import wilson, z_two_sided
-from spark_trials.operators.contracts import ContractError, count_rules, exposure_rules, require_columns, require_instants, require_none, without_orphans
+from spark_trials.operators.contracts import FIRST_INSTANT, ContractError, count_rules, exposure_rules, insist, require_columns, require_instants, require_none, required, settled
+from spark_trials.operators.units import HOT_ROWS, apart, hot_ids, narrow_units, per_unit
 
 
 def funnel_membership(
     events: DataFrame, stages: Sequence[str], *, cohort: DataFrame | None = None, id_col: str = "participant_id", event_col: str = "event_type",
     time_col: str = "event_at", entry_time_col: str = "assigned_at", day_gap: int | None = None, fail_on_orphan_events: bool = True,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Each member with ``<stage>_at`` and ``<stage>_reached``: the first time of a stage strictly after the one before.
 
-    All windows share one partitioning by id and have no order, so any number of stages costs one exchange and no sort
-    of an id's events by time; a per-id minimum never holds a list. With ``day_gap`` a stage must fall that many calendar
-    days after the one before. Members without events are kept; without a cohort, members are the ids of stage events. With one,
-    stage events of unknown ids fail, or are passed over without ``fail_on_orphan_events``.
+    A stage is a round: its events meet the member's entry and the time of the stage before, and the least time after it is
+    kept, a minimum with partial sums and no window or list. Rounds share the partitioning by id, so each stage's events
+    move once and members once. Ids of very many events (``units.hot_ids``) have rounds of their own, in which their few times go
+    to the events and the events stay where they are.
+
+    With ``day_gap`` a stage must fall that many calendar days after the one before. Members without events are kept; without a
+    cohort, members are the ids of stage events. With one, its ids must be there and differ, and stage events of unknown ids
+    fail, or are passed over without ``fail_on_orphan_events``; all of that is found in the same pass.
     """
     require_columns(events, [id_col, event_col, time_col])
     require_instants(events, [time_col])
     if not stages or len({*stages}) != len(stages):
         raise ContractError("stages must be distinct and not empty")
     work = events.where(F.col(event_col).isin(*stages)).select(id_col, F.col(event_col).alias("_e"), F.col(time_col).alias("_t"))
+    hot = hot_ids(work, id_col, rows=hot_rows)
     if cohort is None:
-        base = work.select(id_col).distinct()
+        base = required(work.select(id_col), [id_col], "event table").distinct()
+        units = base.withColumn("_entry", F.lit(FIRST_INSTANT).cast("timestamp"))
     else:
-        base = cohort
         require_instants(cohort, [entry_time_col])
-        if fail_on_orphan_events:
-            without_orphans(work, cohort, id_col)
-        work = work.join(cohort.select(id_col, F.col(entry_time_col).alias("_entry")), id_col).where(F.col("_t") >= F.col("_entry"))
-    own = Window.partitionBy(id_col)
-    previous = None
+        base = required(cohort, [id_col, entry_time_col], "cohort")
+        units = narrow_units(cohort.select(id_col, F.col(entry_time_col).alias("_entry")), id_col, ["_entry"])
+    known = cohort is not None and fail_on_orphan_events
+
+    def after(k: int) -> Column:
+        """Whether an event counts for stage k of a member at ``_entry`` and, in the stage before, ``_last``."""
+        late = F.col("_t") >= F.col("_entry")
+        if k == 0:
+            return late
+        apart_ = F.col("_t") > F.col("_last") if day_gap is None else F.to_date("_t") >= F.date_add(F.to_date("_last"), day_gap)
+        return late & apart_
+
+    (some, many), (of_some, of_many) = apart(work, id_col, hot), apart(units, id_col, hot)
+    out, last = base, None
     for k, stage in enumerate(stages):
-        hit = F.col("_e") == stage
-        if previous is not None:
-            after = F.col("_t") > F.col(previous)
-            if day_gap is not None:
-                after = F.to_date("_t") >= F.date_add(F.to_date(previous), day_gap)
-            hit = hit & after
-        work = work.withColumn(f"_at{k}", F.min(F.when(hit, F.col("_t"))).over(own))
-        previous = f"_at{k}"
-    reached = work.groupBy(id_col).agg(*[F.max(f"_at{k}").alias(f"{s}_at") for k, s in enumerate(stages)])
-    out = base.join(reached, id_col, "left").withColumns({f"{s}_reached": F.col(f"{s}_at").isNotNull() for s in stages})
+        state = of_some if last is None else of_some.join(last.select(id_col, F.col(f"{stages[k - 1]}_at").alias("_last")), id_col, "left")
+        own = some.where(F.col("_e") == stage).select(id_col, "_t")
+        last = per_unit(own, state, id_col, {f"{stage}_at": F.min(F.when(after(k), F.col("_t")))}, fail_on_orphans=known)
+        found = last
+        if many is not None:
+            of_many = settled_rounds(many.where(F.col("_e") == stage), of_many, id_col, after(k), f"{stage}_at")
+            found = last.unionByName(of_many.select(id_col, f"{stage}_at"))
+        out = out.join(found, id_col, "left")
+    if cohort is not None:
+        # a row for every unit, so that a repeated id is found with or without events; a join of which nothing is read would go
+        out = insist(out.join(units, id_col, "left"), {"member_without_entry": F.col("_entry").isNull()}, "cohort")
+    out = out.withColumns({f"{s}_reached": F.col(f"{s}_at").isNotNull() for s in stages})
     return out.select(*base.columns, *[c for s in stages for c in (f"{s}_at", f"{s}_reached")])
 
 
+def settled_rounds(events: DataFrame, state: DataFrame, id_col: str, after: Column, at: str) -> DataFrame:
+    """``state`` with the time of one more stage for the few hot ids, held as a local table that the next round sends out."""
+    state = settled(state)
+    hits = events.join(F.broadcast(state), id_col).where(after).groupBy(id_col).agg(F.min("_t").alias(at))
+    return settled(state.drop("_last").join(hits, id_col, "left").withColumn("_last", F.col(at)))
+
+
 def new_link_funnel(
     events: DataFrame, cohort: DataFrame, stages: Sequence[str], *, linked_before: str = "linked_before_entry", converted_before: str = "converted_before_entry", **options
 ) -> DataFrame:
@@ -82,22 +107,33 @@ def exposure_risk(
 ) -> DataFrame:
     """By group, among actual recipients only: recipients, people with the event, events, deliveries and both rates.
 
-    An event of a participant with no delivery, or of an unknown one, fails (``check``). The name of the event is a parameter, so the same job
-    reports bounces and delivery failures.
+    An id that lacks or repeats, an event of a participant with no delivery or of an unknown one, a group that lacks and an
+    exposure that is no count fail (``check``): they are counted in the aggregate that makes the figures. The name of the
+    event is a parameter, so the same job reports bounces and delivery failures.
     """
     require_columns(cohort, [id_col, by, exposure_col])
-    counts = events.where(F.col(event_col) == event).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-    own = cohort.select(id_col, by, exposure_col, F.lit(True).alias("_known"))
-    work = own.join(counts, id_col, "full_outer" if check else "left").fillna(0, ["_n"])
+    own = events.where(F.col(event_col) == event).select(id_col)
+    units = cohort.select(id_col, by, exposure_col, F.lit(True).alias("_known"))
     if check:
-        require_none(count_rules(work, {"event_of_unknown_participant": F.col("_known").isNull()}), "events")
-        rules = exposure_rules(cohort, exposure_col) | {"group_missing": F.col(by).isNull(), "event_without_exposure": (F.col(exposure_col) == 0) & (F.col("_n") > 0)}
-        require_none(count_rules(work, rules), "cohort")
-    people, ones, total, sent = F.count(F.lit(1)), F.count_if(F.col("_n") > 0), F.sum("_n"), F.sum(F.col(exposure_col).cast("double"))
-    return work.where(F.col(exposure_col) > 0).groupBy(by).agg(
-        people.alias("actual_recipients"), ones.alias("unique_people"), total.alias("events"), sent.alias("delivered_exposures"),
-        (ones / people).alias("unique_user_risk"), (1000.0 * total / sent).alias("events_per_1000_deliveries"),
-    )
+        own, units = required(own, [id_col], "event table"), required(units, [id_col], "cohort")
+        # the window shares the partitioning and the order of the join
+        units = units.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
+    counts = own.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
+    work = units.join(counts, id_col, "full_outer" if check else "left").fillna(0, ["_n"])
+    sent = F.col(exposure_col) > 0
+    people, ones, total, exposed = F.count_if(sent), F.count_if(sent & (F.col("_n") > 0)), F.sum(F.when(sent, F.col("_n"))), F.sum(F.when(sent, F.col(exposure_col).cast("double")))
+    figures = [
+        people.alias("actual_recipients"), ones.alias("unique_people"), total.alias("events"), exposed.alias("delivered_exposures"),
+        (ones / F.nullif(people, F.lit(0))).alias("unique_user_risk"), (1000.0 * total / exposed).alias("events_per_1000_deliveries"),
+    ]
+    rules = {}
+    if check:
+        known = F.col("_known").isNotNull()
+        rules = {"event_of_unknown_participant": ~known, "repeated_id": F.col("_copies") > 1, "group_missing": known & F.col(by).isNull()}
+        rules |= {name: known & c for name, c in exposure_rules(cohort, exposure_col).items()} | {"event_without_exposure": (F.col(exposure_col) == 0) & (F.col("_n") > 0)}
+    made = work.groupBy(by).agg(*figures, *[F.count_if(c).alias(f"_{name}") for name, c in rules.items()])
+    made = insist(made, {name: F.col(f"_{name}") for name in rules}, "exposure table") if check else made
+    return made.where("actual_recipients > 0").drop(*[f"_{name}" for name in rules])
 
 
 def subject_messages(events: DataFrame, *, subject: str, message: str, time_col: str, flags: dict[str, F.Column]) -> DataFrame:

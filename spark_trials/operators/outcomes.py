@@ -8,7 +8,8 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spark_trials.operators.contracts import ContractError, require_columns, require_instants, without_orphans
+from spark_trials.operators.contracts import ContractError, require_columns, require_instants, required
+from spark_trials.operators.units import HOT_ROWS, hot_ids, narrow_units, per_unit
 
 
 def interval(duration: timedelta) -> Column:
@@ -20,27 +21,27 @@ def interval(duration: timedelta) -> Column:
 def windowed_outcome(
     assignments: DataFrame, events: DataFrame, *, window: timedelta, observation_end: Column, id_col: str = "participant_id",
     time_col: str = "assigned_at", event_time_col: str = "event_at", event_type_col: str = "event_type", outcome_event: str = "converted",
-    fail_on_orphan_events: bool = True,
+    fail_on_orphan_events: bool = True, hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Each assignment with window_end, followup_complete, first_outcome_at, has_pre_assignment_outcome and outcome.
 
     The window is half-open, [assigned, assigned + window), and events after ``observation_end`` never count. An outcome
-    is null, not false, where the follow-up is not complete. Events are cut to the outcome type and three columns before
-    they meet the assignments, and per-id minima have partial sums, so an id with very many events is no hot task. Keys
-    must be unique (``contracts``), times must be instants. Outcome events of unknown ids fail; without
-    ``fail_on_orphan_events`` they are passed over.
+    is null, not false, where the follow-up is not complete. Events are cut to the outcome type and two columns before
+    they meet the assignments, once, and an id of very many events is spread (``units``). Ids that lack or repeat fail in the
+    join's own exchange, and so do outcome events of unknown ids; without ``fail_on_orphan_events`` those are passed
+    over. Times must be instants.
     """
     require_columns(assignments, [id_col, time_col])
     require_columns(events, [id_col, event_time_col, event_type_col])
     require_instants(assignments, [time_col])
     require_instants(events, [event_time_col])
-    ends = assignments.withColumn("window_end", F.col(time_col) + interval(window))
+    ends = required(assignments, [id_col, time_col], "assignment table").withColumn("window_end", F.col(time_col) + interval(window))
     own = events.where(F.col(event_type_col) == outcome_event).select(id_col, F.col(event_time_col).alias("_t"))
-    if fail_on_orphan_events:
-        without_orphans(own, assignments, id_col)
-    met = own.join(ends.select(id_col, F.col(time_col).alias("_from"), F.col("window_end").alias("_to")), id_col)
-    inside = (F.col("_t") >= F.col("_from")) & (F.col("_t") < F.col("_to")) & (F.col("_t") <= observation_end)
-    seen = met.groupBy(id_col).agg(F.min(F.when(inside, F.col("_t"))).alias("first_outcome_at"), F.bool_or(F.col("_t") < F.col("_from")).alias("_before"))
+    inside = (F.col("_t") >= F.col("_from")) & (F.col("_t") < F.col("_from") + interval(window)) & (F.col("_t") <= observation_end)
+    found = {"first_outcome_at": F.min(F.when(inside, F.col("_t"))), "_before": F.bool_or(F.col("_t") < F.col("_from"))}
+    units = narrow_units(assignments.select(id_col, F.col(time_col).alias("_from")), id_col, ["_from"])
+    # a row for every unit, so that a repeated id is found with or without events
+    seen = units.join(per_unit(own, units, id_col, found, fail_on_orphans=fail_on_orphan_events, hot=hot_ids(own, id_col, rows=hot_rows)), id_col, "left").drop("_from")
     out = ends.join(seen, id_col, "left").withColumn("followup_complete", F.col("window_end") <= observation_end)
     out = out.withColumn("has_pre_assignment_outcome", F.coalesce("_before", F.lit(False)))
     out = out.withColumn("outcome", F.when(F.col("followup_complete"), F.col("first_outcome_at").isNotNull()))

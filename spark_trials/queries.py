@@ -97,9 +97,17 @@ def c_clean_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 @part
+def c_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What the audits and the frame ask of the clean events; unchecked, for queries that check what they make of it."""
+    return pro.unit_facts(c_ledger(spark, d), c_clean_events(spark, d), data_freeze=ad.instant(ad.C_FREEZE), followup=ad.C_FOLLOWUP)
+
+
 def c_frame(spark: SparkSession, d: str) -> DataFrame:
-    """Unchecked, for queries that check what they make of it; ``q_itt_frame`` checks it."""
-    return pro.itt_frame(c_ledger(spark, d), c_clean_events(spark, d), data_freeze=ad.instant(ad.C_FREEZE), followup=ad.C_FOLLOWUP, check=False)
+    return pro.frame_of(c_facts(spark, d))
+
+
+def c_followup(spark: SparkSession, d: str) -> DataFrame:
+    return pro.followup_of(c_facts(spark, d), data_freeze=ad.instant(ad.C_FREEZE), followup=ad.C_FOLLOWUP, declared=ad.C_FOLLOWUP)
 
 
 @part
@@ -115,12 +123,12 @@ def q_experiment_effects(spark, d):
 @query
 def q_binary_effect(spark, d):
     people = b_outcomes(spark, d).where("outcome is not null").withColumn("custkey_group", F.floor(F.col("c_custkey") / 2) % 20)
-    return plain(eff.with_binary_effect(eff.arm_counts(people, ["custkey_group"]).drop("arms_other")))
+    return plain(eff.with_binary_effect(eff.arm_counts(people, ["custkey_group"])))
 
 
 @query
 def q_mde(spark, d):
-    return plain(eff.with_mde(eff.arm_counts(b_outcomes(spark, d).where("outcome is not null"), ["experiment"]).drop("arms_other")))
+    return plain(eff.with_mde(eff.arm_counts(b_outcomes(spark, d).where("outcome is not null"), ["experiment"])))
 
 
 @query
@@ -332,12 +340,9 @@ def q_followup(spark, d):
     return pro.followup_audit(ledger, c_events(spark, d), data_freeze=ad.instant(ad.C_FREEZE), followup=ad.C_FOLLOWUP, declared=ad.C_FOLLOWUP)
 
 
-
-
 @query
 def q_itt_frame(spark, d):
-    pro.validate_events(c_ledger(spark, d), c_clean_events(spark, d))
-    return c_frame(spark, d)
+    return pro.itt_frame(c_ledger(spark, d), c_clean_events(spark, d), data_freeze=ad.instant(ad.C_FREEZE), followup=ad.C_FOLLOWUP)
 
 
 @query
@@ -347,9 +352,7 @@ def q_event_type_counts(spark, d):
 
 def _gates(spark, d, negative: DataFrame) -> DataFrame:
     ledger = c_ledger(spark, d)
-    events = c_clean_events(spark, d)
-    audit = pro.contamination(ledger, events, followup=ad.C_FOLLOWUP)
-    follow = pro.followup_audit(ledger, events, data_freeze=ad.instant(ad.C_FREEZE), followup=ad.C_FOLLOWUP, declared=ad.C_FOLLOWUP)
+    audit, follow = pro.contamination_of(c_facts(spark, d)), c_followup(spark, d)
     frame, n = c_frame(spark, d), F.count(F.lit(1))
     kept = frame.agg(n.alias("a"), F.countDistinct("participant_id").alias("b")).join(ledger.agg(n.alias("c")), F.lit(True))
     return dec.gate_rows(
@@ -372,14 +375,14 @@ def _cube(spark, d) -> DataFrame:
 
 
 def _negative(spark, d) -> DataFrame:
-    return dec.settled(dec.negative_control(dec.primary_family(_cube(spark, d), outcome="pre_period_engaged")))
+    return con.settled(dec.negative_control(dec.primary_family(_cube(spark, d), outcome="pre_period_engaged")))
 
 
 def _judged(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Primary family, guardrails and gates: six, twelve and ten rows, which the decision reads many times."""
     cube = _cube(spark, d)
-    negative = dec.settled(dec.negative_control(dec.primary_family(cube, outcome="pre_period_engaged")))
-    return dec.settled(dec.primary_family(cube)), dec.settled(dec.guardrail_family(cube, MARGINS)), dec.settled(_gates(spark, d, negative))
+    negative = con.settled(dec.negative_control(dec.primary_family(cube, outcome="pre_period_engaged")))
+    return con.settled(dec.primary_family(cube)), con.settled(dec.guardrail_family(cube, MARGINS)), con.settled(_gates(spark, d, negative))
 
 
 @query
@@ -462,12 +465,11 @@ def q_report_figures(spark, d):
 @query
 def q_prospective_report(spark, d):
     """The report of the seven-arm trial as one JSON document: population, plan, audits, families, gates and decision."""
-    ledger, events = c_ledger(spark, d), c_clean_events(spark, d)
+    ledger = c_ledger(spark, d)
     primary, guards, gates = _judged(spark, d)
     sections = {
         "figures": _report_figures(spark, d), "randomization": asg.ledger_digest(ledger), "sample_ratio": asg.sample_ratio(ledger),
-        "contamination_audit": pro.contamination(ledger, events, followup=ad.C_FOLLOWUP),
-        "followup_audit": pro.followup_audit(ledger, events, data_freeze=ad.instant(ad.C_FREEZE), followup=ad.C_FOLLOWUP, declared=ad.C_FOLLOWUP),
+        "contamination_audit": pro.contamination_of(c_facts(spark, d)), "followup_audit": c_followup(spark, d),
         "primary_funding_family": primary, "guardrail_noninferiority_family": guards, "pre_period_negative_control": _negative(spark, d), "quality_gates": gates,
         "decision": dec.launch_decision(primary, guards, gates, candidate=CANDIDATE, check=False),
     }

@@ -2,6 +2,8 @@ from datetime import datetime, timedelta
 from math import erfc, sqrt
 
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from spark_trials.operators import assignment as asg
@@ -148,8 +150,13 @@ def test_block_standardized_by_hand(spark):
     v = (1 / 3) ** 2 * (0.5 / 2 + 0.5 / 2) + (2 / 3) ** 2 * (0.25 / 4 + 0.25 / 4)
     assert r["standard_error"] == pytest.approx(sqrt(v))
     for bad in (df.where("not (block = 'large' and outcome = 1 and arm = 't')"), df.withColumn("outcome", F.lit(0)), df.withColumn("arm", F.lit("x")), df.withColumn("block", F.lit(None).cast("string"))):
-        with pytest.raises(ContractError):
-            eff.compare_blocks(bad, treatment="t", control="c", outcome="outcome", blocks=["block"])
+        with pytest.raises((PySparkException, Py4JJavaError), match="comparison breaks its contract"):
+            eff.compare_blocks(bad, treatment="t", control="c", outcome="outcome", blocks=["block"]).collect()
+    for value, says in ((None, "outcome_missing: 1"), (2, "outcome_not_binary: 1")):
+        with pytest.raises((PySparkException, Py4JJavaError), match=says):
+            eff.compare_blocks(df.union(spark.createDataFrame([("large", "t", value)], df.schema)), treatment="t", control="c", outcome="outcome", blocks=["block"]).collect()
+    with pytest.raises((PySparkException, Py4JJavaError), match="arm_without_rows"):
+        eff.compare_blocks(df.limit(0), treatment="t", control="c", outcome="outcome", blocks=["block"]).collect()
 
 
 def test_replications_agree_with_the_family(spark):
@@ -204,8 +211,12 @@ def test_other_effects(spark):
     assert eff.standardized_differences(df, ["x"]).first()["smd"] == pytest.approx(1 / sqrt(2))
     groups = spark.createDataFrame([(e, a, k % 2) for e in "xy" for a in ("treatment", "control") for k in range(10)], "experiment string, arm string, outcome int")
     assert eff.compare_groups(groups).where("p_value_holm = 1 and p_value_bh = 1").count() == 2
-    with pytest.raises(ContractError):
-        eff.compare_groups(groups.where("not (experiment = 'x' and arm = 'control')"))
+    for bad, says in (
+        (groups.where("not (experiment = 'x' and arm = 'control')"), "arm_without_rows"), (groups.withColumn("arm", F.lit("other")), "arm_not_declared: 20"),
+        (groups.withColumn("outcome", F.col("outcome") * 2), "outcome_not_binary: 10"), (groups.withColumn("outcome", F.nullif("outcome", F.lit(0))), "outcome_missing: 10"),
+    ):
+        with pytest.raises((PySparkException, Py4JJavaError), match=says):
+            eff.compare_groups(bad).collect()
 
 
 def test_families_fail_closed(spark):

@@ -1,12 +1,17 @@
+import random
 from datetime import timedelta
 
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from spark_trials.operators import funnel, outcomes
+from spark_trials.operators import funnel, outcomes, units
 from spark_trials.operators.contracts import ContractError
 
 WEEK = timedelta(days=7)
+#: What a job that fails raises; the second where more than one stage did.
+FAILURES = (PySparkException, Py4JJavaError)
 
 
 def at(text):
@@ -80,10 +85,15 @@ def test_exposure_risk(spark):
     rows = {r["arm"]: r for r in funnel.exposure_risk(cohort, e).collect()}
     assert (rows["control"]["unique_user_risk"], rows["control"]["events_per_1000_deliveries"]) == (0.5, 400.0)
     assert (rows["treatment"]["actual_recipients"], rows["treatment"]["unique_user_risk"]) == (1, 0.0)
-    with pytest.raises(ContractError):
-        funnel.exposure_risk(cohort, e.union(spark.createDataFrame([("d", "unsubscribed")], e.schema)))
-    with pytest.raises(ContractError):
-        funnel.exposure_risk(cohort.withColumn("messages_delivered", F.lit(-1)), e)
+    for bad, says in (
+        (lambda: funnel.exposure_risk(cohort, e.union(spark.createDataFrame([("d", "unsubscribed")], e.schema))), "event_without_exposure: 1"),
+        (lambda: funnel.exposure_risk(cohort.withColumn("messages_delivered", F.lit(-1)), e), "messages_delivered_negative"),
+        (lambda: funnel.exposure_risk(cohort.union(cohort.where("participant_id = 'a'")), e), "repeated_id: 2"),
+        (lambda: funnel.exposure_risk(cohort.withColumn("participant_id", F.nullif("participant_id", F.lit("b"))), e), "missing participant_id"),
+        (lambda: funnel.exposure_risk(cohort.withColumn("arm", F.lit(None).cast("string")), e), "group_missing"),
+    ):
+        with pytest.raises(FAILURES, match=says):
+            bad().collect()
 
 
 def test_gap_outcomes(spark):
@@ -104,11 +114,76 @@ def test_unknown_ids_and_naive_times_fail(spark):
     assert funnel.funnel_membership(events, ["converted"], cohort=people, fail_on_orphan_events=False).count() == 1
     assert funnel.exposure_risk(people, known, event="converted").first()["unique_people"] == 1
     for made in (lambda: outcomes.windowed_outcome(people, events, **window), lambda: funnel.funnel_membership(events, ["converted"], cohort=people)):
-        with pytest.raises(ContractError, match="1 rows of unknown participants"):
-            made()
-    with pytest.raises(ContractError, match="unknown_participant"):
-        funnel.exposure_risk(people, events, event="converted")
+        with pytest.raises(FAILURES, match="rows_of_unknown_participants: 1"):
+            made().collect()
+    with pytest.raises(FAILURES, match="unknown_participant: 1"):
+        funnel.exposure_risk(people, events, event="converted").collect()
     naive = known.withColumn("event_at", F.col("event_at").cast("timestamp_ntz"))
     for made in (lambda: outcomes.windowed_outcome(people, naive, **window), lambda: funnel.funnel_membership(naive, ["converted"], cohort=people)):
         with pytest.raises(ContractError, match="timezone"):
             made()
+
+
+ASSIGNED = "participant_id string, arm string, assigned_at timestamp"
+SEEN = "participant_id string, event_type string, event_at timestamp"
+
+
+def test_repeated_and_missing_ids_fail(spark):
+    """An id assigned on two days, with or without events, and ids that lack, on either side."""
+    twice = table(spark, [("a", "t", "2026-01-01"), ("a", "t", "2026-01-20"), ("b", "t", "2026-01-01")], ASSIGNED)
+    gone = table(spark, [("a", "t", "2026-01-01"), (None, "t", "2026-01-02")], ASSIGNED)
+    once = table(spark, [("a", "t", "2026-01-01"), ("b", "t", "2026-01-01")], ASSIGNED)
+    e = table(spark, [("a", "converted", "2026-01-02")], SEEN)
+    lost = e.union(table(spark, [(None, "converted", "2026-01-03")], SEEN))
+    jobs = (
+        lambda people, events: outcomes.windowed_outcome(people, events, window=WEEK, observation_end=at("2026-03-01")),
+        lambda people, events: funnel.funnel_membership(events, ["converted", "linked"], cohort=people),
+        lambda people, events: funnel.new_link_funnel(events, people.withColumns({c: F.lit(False) for c in ("linked_before_entry", "converted_before_entry")}), ["converted"]),
+        lambda people, events: funnel.exposure_risk(people.withColumn("messages_delivered", F.lit(1)), events, event="converted"),
+    )
+    for job in jobs:
+        assert job(once, e).count() > 0
+        for people, events, says in ((twice, e, "repeated_id: 2"), (twice, e.limit(0), "repeated_id: 2"), (gone, e, "missing participant_id"), (once, lost, "missing participant_id")):
+            with pytest.raises(FAILURES, match=says):
+                job(people, events).collect()
+    passed = outcomes.windowed_outcome(once, lost, window=WEEK, observation_end=at("2026-03-01"), fail_on_orphan_events=False)
+    assert passed.where("outcome").count() == 1
+
+
+def test_checks_read_the_events_once(spark, tmp_path):
+    """The plan has one scan of the events for each join with them, and funnels have no window."""
+    e = table(spark, [("a", "converted", "2026-01-02"), ("a", "linked", "2026-01-03")], SEEN)
+    e.write.parquet(str(tmp_path / "e"))
+    people = table(spark, [("a", "t", "2026-01-01")], ASSIGNED)
+    events = spark.read.parquet(str(tmp_path / "e"))
+    plan = outcomes.windowed_outcome(people, events, window=WEEK, observation_end=at("2026-03-01"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    plan = funnel.funnel_membership(events, ["converted", "linked"], cohort=people)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_a_hot_id_is_spread(spark):
+    """One id has a third of all events; its events meet its unit where they lie, and results are those of plain loops."""
+    rng = random.Random(4)
+    people = [(f"p{k}", "t", f"2026-01-{1 + k % 9:02d} 00:00") for k in range(30)]
+    rows = [(rng.choice(people)[0] if k % 3 else "p7", rng.choice(STAGES), f"2026-01-{rng.randint(1, 28):02d} {rng.randint(0, 23):02d}:00") for k in range(900)]
+    cohort, e = table(spark, people, ASSIGNED), table(spark, rows, SEEN)
+    want = {}
+    for who, _, entry in people:
+        own, last = sorted((t, s) for p, s, t in rows if p == who and t >= entry), ""
+        for s in STAGES:
+            last = next((t for t, kind in own if kind == s and t > last), None) if last is not None else None
+            want[who, s] = last
+    assert units.hot_ids(e, "participant_id", rows=250) == ["p7"] and units.hot_ids(e, "participant_id", rows=None) == []
+    for hot_rows in (250, 10, None):  # the one id; all of them; none
+        made = funnel.funnel_membership(e, STAGES, cohort=cohort, hot_rows=hot_rows).collect()
+        assert {(r["participant_id"], s): r[f"{s}_at"] and f"{r[f'{s}_at']:%Y-%m-%d %H:%M}" for r in made for s in STAGES} == want
+        found = outcomes.windowed_outcome(cohort, e, window=WEEK, observation_end=at("2026-03-01"), hot_rows=hot_rows).collect()
+        for r in found:
+            entry = next(t for p, _, t in people if p == r["participant_id"])
+            stop = f"2026-01-{int(entry[8:10]) + 7:02d} 00:00"
+            assert r["outcome"] == any(p == r["participant_id"] and s == "converted" and entry <= t < stop for p, s, t in rows)
+    plan = outcomes.windowed_outcome(cohort, e, window=WEEK, observation_end=at("2026-03-01"), hot_rows=60)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "strategy=broadcast" in plan
+    naive = funnel.funnel_membership(e, STAGES, hot_rows=250)
+    assert naive.count() == len({p for p, _, _ in rows})
