@@ -12,7 +12,7 @@ Pairs are counted in groups by the sum of both words' upper bits, so a word that
 group. For scoring, pairs are dealt to shards by their first word, where the shard's counts meet them: P(w | v) needs c(v)
 and g(v) of v. The counts of a shard are read first and its documents stream past them, so memory is bounded by the counts; a
 shard with more pairs than ``SHARD_WORDS`` is dealt to several tasks (salts), each with its counts. ``shards`` and salts
-decide where a pair is looked up and never what it scores. Pairs travel sorted, as differences, by planes of bytes.
+decide where a pair is looked up and never what it scores, to the last bit. Pairs travel sorted, as differences, by planes of bytes.
 
 Trusted rows are those with label 1; one in five of them, by a hash of the id, is held out of the counts. In each language
 a document is kept if its perplexity is at most the ``KEEP`` quantile of the held-out trusted ones, which the model has not
@@ -39,8 +39,10 @@ from pyspark.sql import functions as F
 
 from spark_trials.llm.common import checkpoint, ship
 
-SHARDS, MOST_SHARDS, SHARD_WORDS, KEEP, HELD = 32, 1 << 16, 16_000_000, 0.995, 5
-BATCH_ROWS, BATCH_WORDS, GATHERED_BYTES, COUNTED_WORDS, CACHED_WORDS = 1024, 1_000_000, 20_000_000, 2_000_000, 400_000
+SHARDS, MOST_SHARDS, SHARD_WORDS, KEEP, HELD = 8, 1 << 16, 4_000_000, 0.995, 5
+BATCH_ROWS, BATCH_WORDS, GATHERED_BYTES, COUNTED_WORDS, CACHED_WORDS, CACHED_LETTERS = 1024, 1_000_000, 20_000_000, 2_000_000, 300_000, 64
+#: Logarithms are summed as whole numbers of this part of one, so sums are the same in any order and for any dealing.
+UNIT = 1 << 24
 BITS = 26
 WORDS = 1 << BITS
 BEGIN, END = 0, 1
@@ -51,14 +53,16 @@ _ids: dict[str, int] = {}
 
 
 def word_ids(text: str) -> list[int]:
-    """Numbers of a text's words between BEGIN and END. Words are kept with their numbers, up to a bound."""
+    """Numbers of a text's words between BEGIN and END. Short words are kept with their numbers, up to a bound of tens of MB."""
     if len(_ids) > CACHED_WORDS:
         _ids.clear()
     out = [BEGIN]
     for w in text.split():
         k = _ids.get(w)
         if k is None:
-            k = _ids[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % (WORDS - 2) + 2
+            k = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % (WORDS - 2) + 2
+            if len(w) <= CACHED_LETTERS:
+                _ids[w] = k
         out.append(k)
     out.append(END)
     return out
@@ -160,6 +164,11 @@ def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Record
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def mixed(number: int) -> int:
+    """A hash of a batch's number (partition and place in it), by which batches are dealt."""
+    return xxhash.xxh64_intdigest(number.to_bytes(8, "little"))
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """(0, D1, D2, D3+) from the numbers of things counted once, twice, three and four times."""
     n1, n2, n3, n4 = (float(x) for x in n[:4])
@@ -343,12 +352,12 @@ def perplexities(
             number, k = (part << 32) | k, k + 1
             p = Pairs(b.column(4).to_pylist())
             cuts = shard_cuts(p.keys, shards)
-            own = number % shards
+            own, dealt_by = mixed(number) % shards, mixed(~number & 0xFFFFFFFFFFFFFFFF)
             there = [s for s in range(shards) if cuts[s + 1] > cuts[s] or s == own]
             keys = [rising(p.keys[cuts[s] : cuts[s + 1]]) for s in there]
             doc = [planes(p.doc[cuts[s] : cuts[s + 1]]) for s in there]
             about = [b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), (p.lengths - 1).tolist()]
-            columns = [pa.array(there, pa.int32()), pa.array([number % salts[s] for s in there], pa.int32()), pa.array([number] * len(there), pa.int64())]
+            columns = [pa.array(there, pa.int32()), pa.array([dealt_by % salts[s] for s in there], pa.int32()), pa.array([number] * len(there), pa.int64())]
             columns += [pa.array([b.num_rows] * len(there), pa.int32()), pa.array(keys, pa.binary()), pa.array(doc, pa.binary())]
             columns += [pa.array([x if s == own else None for s in there], t) for x, (_, t) in zip(about, meta, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["shard", "salt", "batch", "docs", "keys", "n", *[n for n, _ in meta]])
@@ -369,22 +378,19 @@ def perplexities(
                     if p_word is None:
                         d, p_word = model.value[0], word_model(model.value[1])
                     shard, known = Shard(*summed(*known), d, p_word), ([], [])
-                sums = np.bincount(unplanes(n).astype(np.int64), weights=shard.log_p(unrising(keys)), minlength=docs_)
-                out.append((r, sums.astype("<f4").tobytes()))
+                lost = np.rint(-UNIT * shard.log_p(unrising(keys)))  # bincount adds doubles, of whole numbers exactly
+                out.append((r, planes(np.bincount(unplanes(n).astype(np.int64), weights=lost, minlength=docs_).astype(np.int64))))
             rest = b.take(pa.array([r for r, _ in out], pa.int32()))
             yield pa.RecordBatch.from_arrays([rest.column(2), pa.array([x for _, x in out], pa.binary()), *[rest.column(6 + c) for c in range(len(meta))]], names=["batch", "sums", *[n for n, _ in meta]])
 
     def met(rows: pa.Table) -> pa.Table:
-        total = np.zeros(len(rows.column("sums")[0].as_py()) // 4)
-        order = np.argsort([x.as_py() for x in rows.column("sums")], kind="stable")  # sums do not depend on the order of arrival
-        for k in order.tolist():
-            total += np.frombuffer(rows.column("sums")[k].as_py(), "<f4")
+        total = sum(unplanes(x.as_py()).astype(np.int64) for x in rows.column("sums"))
         about = next({n: rows.column(n)[k].as_py() for n, _ in meta} for k in range(rows.num_rows) if rows.column("doc_ids")[k].is_valid)
         n = np.array(about["words"], np.int64)
         return pa.table(
             {
                 "doc_id": pa.array(about["doc_ids"], pa.int64()), "lang": pa.array(about["langs"], pa.string()), "trusted": pa.array(about["trusted"], pa.bool_()),
-                "held_out": pa.array(about["held"], pa.bool_()), "n_words": pa.array(n), "log_perplexity": pa.array(-total / (n + 1)),
+                "held_out": pa.array(about["held"], pa.bool_()), "n_words": pa.array(n), "log_perplexity": pa.array(total / UNIT / (n + 1)),
             }
         )
 
