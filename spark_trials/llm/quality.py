@@ -12,7 +12,8 @@ Pairs are counted in groups by the sum of both words' upper bits, so a word that
 group. For scoring, pairs are dealt to shards by their first word, where the shard's counts meet them: P(w | v) needs c(v)
 and g(v) of v. The counts of a shard are read first and its documents stream past them, so memory is bounded by the counts; a
 shard with more pairs than ``SHARD_WORDS`` is dealt to several tasks (salts), each with its counts. ``shards`` and salts
-decide where a pair is looked up and never what it scores, to the last bit. Pairs travel sorted, as differences, by planes of bytes.
+decide where a pair is looked up and never what it scores, to the last bit. Pairs that begin with a word unknown to trusted
+text need no counts and are scored where they are. The others travel sorted, as differences, by planes of bytes.
 
 Trusted rows are those with label 1; one in five of them, by a hash of the id, is held out of the counts. In each language
 a document is kept if its perplexity is at most the ``KEEP`` quantile of the held-out trusted ones, which the model has not
@@ -26,6 +27,7 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,10 +41,10 @@ from pyspark.sql import functions as F
 
 from spark_trials.llm.common import checkpoint, ship
 
-SHARDS, MOST_SHARDS, SHARD_WORDS, KEEP, HELD = 8, 1 << 16, 4_000_000, 0.995, 5
-BATCH_ROWS, BATCH_WORDS, GATHERED_BYTES, COUNTED_WORDS, CACHED_WORDS, CACHED_LETTERS = 1024, 1_000_000, 20_000_000, 2_000_000, 300_000, 64
+SHARDS, MOST_SHARDS, SHARD_WORDS, KEEP, HELD = 8, 1 << 16, 8_000_000, 0.995, 5
+BATCH_ROWS, BATCH_WORDS, GATHERED_BYTES, COUNTED_WORDS, CACHED_WORDS, CACHED_LETTERS = 1024, 1_000_000, 15_000_000, 2_000_000, 300_000, 64
 #: Logarithms are summed as whole numbers of this part of one, so sums are the same in any order and for any dealing.
-UNIT = 1 << 24
+UNIT = 1 << 18
 BITS = 26
 WORDS = 1 << BITS
 BEGIN, END = 0, 1
@@ -98,18 +100,36 @@ def unrising(raw: bytes) -> np.ndarray:
 
 
 class Pairs:
-    """The word pairs of a few documents, sorted: their keys, first word before second, and their documents."""
+    """The word pairs of a few documents, sorted: their keys, first word before second, and their documents.
 
-    def __init__(self, texts: list[str | None]):
-        ids = [np.array(word_ids(t or ""), np.uint32) for t in texts]
+    With a model of words, pairs whose score needs no pair counts are scored here, ``lost`` by document: a first word that
+    trusted text lacks leaves P(w) alone. Second words that it lacks are all alike and become one number.
+    """
+
+    def __init__(self, texts: pa.Array, p_word: WordModel | None = None):
+        ids = [np.array(word_ids(t.as_py() or ""), np.uint32) for t in texts]
         self.lengths = np.fromiter((len(i) - 1 for i in ids), np.int64, len(ids))
-        flat = np.concatenate(ids).astype(np.uint64) if ids else np.zeros(0, np.uint64)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        del ids
         first = np.ones(len(flat), bool)
         first[np.cumsum(self.lengths + 1) - 1] = False  # the last word begins no pair
         at = np.flatnonzero(first)
-        keys = (flat[at] << np.uint64(BITS)) | flat[at + 1]
+        v, w, doc = flat[at], flat[at + 1], np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        del flat, first, at
+        self.lost = np.zeros(len(self.lengths), np.int64)
+        if p_word is not None:
+            alone = (p_word.small[v] == 0) & (v != BEGIN)
+            self.lost += np.bincount(doc[alone], weights=units(p_word(w[alone].astype(np.int64))), minlength=len(self.lengths)).astype(np.int64)
+            v, w, doc = v[~alone], w[~alone], doc[~alone]
+            w = np.where(p_word.small[w] == 0, np.uint32(BEGIN), w)  # never a second word, so as rare as any other that is not there
+        keys = (v.astype(np.uint64) << np.uint64(BITS)) | w
         order = np.argsort(keys, kind="stable")
-        self.keys, self.doc = keys[order], np.repeat(np.arange(len(ids)), self.lengths)[order]
+        self.keys, self.doc = keys[order], doc[order]
+
+
+def units(p: np.ndarray) -> np.ndarray:
+    """-log p in whole numbers of a ``UNIT``, as doubles that add exactly."""
+    return np.rint(-UNIT * np.log(p))
 
 
 def shard_cuts(keys: np.ndarray, shards: int, bits: int = 2 * BITS) -> np.ndarray:
@@ -218,7 +238,7 @@ class Shard:
         self.share = (count - taken) / total[at] if len(keys) else np.zeros(0)
         self.rest = np.bincount(at, weights=taken) / total if len(keys) else np.zeros(0)
 
-    def log_p(self, keys: np.ndarray) -> np.ndarray:
+    def p(self, keys: np.ndarray) -> np.ndarray:
         p = self.p_word((keys & np.uint64(WORDS - 1)).astype(np.int64))
         if len(self.keys):
             v = keys >> np.uint64(BITS)
@@ -227,7 +247,7 @@ class Shard:
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             seen = self.keys[at] == keys
             p[seen] += self.share[at[seen]]
-        return np.log(p)
+        return p
 
 
 def _counted(trusted: DataFrame, shards: int) -> DataFrame:
@@ -244,7 +264,7 @@ def _counted(trusted: DataFrame, shards: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for b in batches_of(batch, 0):
-                held.append(Pairs(b.column(0).to_pylist()).keys)
+                held.append(Pairs(b.column(0)).keys)
                 size += len(held[-1])
                 if size >= COUNTED_WORDS:
                     yield emitted(held)
@@ -318,6 +338,17 @@ def word_model(chunks: dict[int, tuple[bytes, bytes, bytes]]) -> WordModel:
     return WordModel(small, np.concatenate(big).astype(np.int64), np.concatenate(big_n).astype(np.int64))
 
 
+_models: dict[str, WordModel] = {}
+
+
+def model_of(sent) -> WordModel:
+    """The model of words that was sent, made once in a worker."""
+    if sent.value[2] not in _models:
+        _models.clear()
+        _models[sent.value[2]] = word_model(sent.value[1])
+    return _models[sent.value[2]]
+
+
 def perplexities(
     docs: DataFrame, labels: DataFrame, *, shards: int | None = None, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality"
 ) -> DataFrame:
@@ -342,28 +373,28 @@ def perplexities(
     often, sizes, chunks = _totals(counts, shards)
     # A shard's part of all pairs is about its part of the trusted ones.
     salts = np.maximum(1, np.ceil(total * sizes / max(int(sizes.sum()), 1) / shard_words)).astype(np.int64).tolist()
-    model = spark.sparkContext.broadcast((discounts(often), chunks))
-    meta = [("doc_ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("trusted", pa.list_(pa.bool_())), ("held", pa.list_(pa.bool_())), ("words", pa.list_(pa.int32()))]
-    meta_schema = "doc_ids array<long>, langs array<string>, trusted array<boolean>, held array<boolean>, words array<int>"
+    model = spark.sparkContext.broadcast((discounts(often), chunks, uuid.uuid4().hex))
+    meta = [("lost", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("trusted", pa.list_(pa.bool_())), ("held", pa.list_(pa.bool_())), ("words", pa.list_(pa.int32()))]
+    meta_schema = "lost array<long>, doc_ids array<long>, langs array<string>, trusted array<boolean>, held array<boolean>, words array<int>"
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
         for b in gathered(batches, 4):
             number, k = (part << 32) | k, k + 1
-            p = Pairs(b.column(4).to_pylist())
+            p = Pairs(b.column(4), model_of(model))
             cuts = shard_cuts(p.keys, shards)
             own, dealt_by = mixed(number) % shards, mixed(~number & 0xFFFFFFFFFFFFFFFF)
             there = [s for s in range(shards) if cuts[s + 1] > cuts[s] or s == own]
             keys = [rising(p.keys[cuts[s] : cuts[s + 1]]) for s in there]
             doc = [planes(p.doc[cuts[s] : cuts[s + 1]]) for s in there]
-            about = [b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), (p.lengths - 1).tolist()]
+            about = [p.lost.tolist(), b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), (p.lengths - 1).tolist()]
             columns = [pa.array(there, pa.int32()), pa.array([dealt_by % salts[s] for s in there], pa.int32()), pa.array([number] * len(there), pa.int64())]
             columns += [pa.array([b.num_rows] * len(there), pa.int32()), pa.array(keys, pa.binary()), pa.array(doc, pa.binary())]
             columns += [pa.array([x if s == own else None for s in there], t) for x, (_, t) in zip(about, meta, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["shard", "salt", "batch", "docs", "keys", "n", *[n for n, _ in meta]])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, p_word, key, known, shard = None, None, None, ([], []), None
+        key, known, shard = None, ([], []), None
         for b in batches:
             out = []
             for r in range(b.num_rows):
@@ -375,18 +406,16 @@ def perplexities(
                     known[1].append(unplanes(n))
                     continue
                 if shard is None:
-                    if p_word is None:
-                        d, p_word = model.value[0], word_model(model.value[1])
-                    shard, known = Shard(*summed(*known), d, p_word), ([], [])
-                lost = np.rint(-UNIT * shard.log_p(unrising(keys)))  # bincount adds doubles, of whole numbers exactly
-                out.append((r, planes(np.bincount(unplanes(n).astype(np.int64), weights=lost, minlength=docs_).astype(np.int64))))
+                    shard, known = Shard(*summed(*known), model.value[0], model_of(model)), ([], [])
+                lost = np.bincount(unplanes(n).astype(np.int64), weights=units(shard.p(unrising(keys))), minlength=docs_)
+                out.append((r, planes(lost.astype(np.int64))))
             rest = b.take(pa.array([r for r, _ in out], pa.int32()))
             yield pa.RecordBatch.from_arrays([rest.column(2), pa.array([x for _, x in out], pa.binary()), *[rest.column(6 + c) for c in range(len(meta))]], names=["batch", "sums", *[n for n, _ in meta]])
 
     def met(rows: pa.Table) -> pa.Table:
         total = sum(unplanes(x.as_py()).astype(np.int64) for x in rows.column("sums"))
         about = next({n: rows.column(n)[k].as_py() for n, _ in meta} for k in range(rows.num_rows) if rows.column("doc_ids")[k].is_valid)
-        n = np.array(about["words"], np.int64)
+        n, total = np.array(about["words"], np.int64), total + np.array(about["lost"], np.int64)
         return pa.table(
             {
                 "doc_id": pa.array(about["doc_ids"], pa.int64()), "lang": pa.array(about["langs"], pa.string()), "trusted": pa.array(about["trusted"], pa.bool_()),
