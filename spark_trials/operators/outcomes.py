@@ -84,3 +84,35 @@ def gap_outcomes(
     return assignments.join(gaps, id_col, "left").groupBy(arm_col).agg(
         F.count(F.lit(1)).alias("participants"), F.count("_n").alias("participants_with_gap_outcome"), F.coalesce(F.sum("_n"), F.lit(0)).alias("gap_outcome_events")
     )
+
+
+def gap_sensitivity(
+    assignments: DataFrame, events: DataFrame, *, window: timedelta, observation_end: Column, outcome_event: str = "converted", delivery_event: str = "delivered",
+    eligible_col: str = "eligible_at", id_col: str = "participant_id", time_col: str = "assigned_at", event_col: str = "event_type", event_time_col: str = "event_at",
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """Each assignment under two analyses, ``all_outcomes`` and ``without_gap``: (assignment columns, analysis, followup_complete,
+    outcome, gap_outcome_events).
+
+    An outcome event is in the gap if it falls at or after eligibility and before the unit's first delivery; the second analysis
+    removes it and takes the next one that is left. Both come from one pass over the outcome events, which meet the
+    unit's bounds once. Ids and times are held to what ``windowed_outcome`` asks.
+    """
+    require_columns(assignments, [id_col, time_col, eligible_col])
+    require_columns(events, [id_col, event_col, event_time_col])
+    require_instants(assignments, [time_col, eligible_col])
+    require_instants(events, [event_time_col])
+    base = required(assignments, [id_col, time_col, eligible_col], "assignment table")
+    own = events.where(F.col(event_col).isin(outcome_event, delivery_event)).select(id_col, F.col(event_col).alias("_e"), F.col(event_time_col).alias("_t"))
+    hot = hot_ids(own, id_col, rows=hot_rows)
+    units = narrow_units(base.select(id_col, F.col(time_col).alias("_from"), F.col(eligible_col).alias("_eligible")), id_col, ["_from", "_eligible"])
+    first = per_unit(own.where(F.col("_e") == delivery_event).drop("_e"), units, id_col, {"_first": F.min("_t")}, hot=hot)
+    bounds = units.join(first, id_col, "left")
+    gap = F.coalesce((F.col("_t") >= F.col("_eligible")) & (F.col("_t") < F.col("_first")), F.lit(False))
+    inside = (F.col("_t") >= F.col("_from")) & (F.col("_t") < F.col("_from") + interval(window)) & (F.col("_t") <= observation_end)
+    found = {"_all": F.bool_or(inside), "_kept": F.bool_or(inside & ~gap), "_gaps": F.count_if(gap)}
+    seen = units.join(per_unit(own.where(F.col("_e") == outcome_event).drop("_e"), bounds, id_col, found, hot=hot), id_col, "left").drop("_from", "_eligible")
+    complete = F.col(time_col) + interval(window) <= observation_end
+    both = F.array(*[F.struct(F.lit(name).alias("analysis"), F.when(complete, F.coalesce(c, F.lit(False))).alias("outcome")) for name, c in (("all_outcomes", "_all"), ("without_gap", "_kept"))])
+    out = base.join(seen, id_col, "left").withColumn("followup_complete", complete).withColumn("gap_outcome_events", F.coalesce("_gaps", F.lit(0)))
+    return out.select(*assignments.columns, "followup_complete", "gap_outcome_events", F.inline(both))

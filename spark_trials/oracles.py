@@ -188,6 +188,14 @@ B_FLAGGED = """b_flagged AS (SELECT c.*, coalesce(f.l, false) AS linked_before_e
 O["q_new_link_funnel"] = with_(B_COHORT, B_EVENTS, B_FLAGGED, funnel("b_cohort", "b_events", "e.event_at > {}")) + (
     f"SELECT s3.participant_id, epoch_us(s3.assigned_at) AS assigned_at, linked_before_entry, converted_before_entry, {STAGE_COLUMNS} FROM s3 JOIN b_flagged f USING (participant_id) WHERE NOT linked_before_entry AND NOT converted_before_entry"
 )
+O["q_gap_sensitivity"] = with_(
+    A_COHORT, A_EVENTS, "f AS (SELECT participant_id, min(event_at) AS first FROM a_events WHERE event_type = 'delivered' GROUP BY 1)",
+    """less AS (SELECT e.* FROM a_events e LEFT JOIN f USING (participant_id) LEFT JOIN a_cohort c USING (participant_id)
+       WHERE NOT coalesce(e.event_type = 'converted' AND e.event_at >= c.assigned_at - INTERVAL 2 DAY AND e.event_at < f.first, false))""",
+    outcome("o1", "a_cohort", "a_events", 7, "2024-01-28"), outcome("o2", "a_cohort", "less", 7, "2024-01-28"),
+    "sides AS (SELECT 'all_outcomes' AS analysis, experiment, arm, outcome FROM o1 WHERE outcome IS NOT NULL UNION ALL SELECT 'without_gap', experiment, arm, outcome FROM o2 WHERE outcome IS NOT NULL)",
+    f"n AS ({counts('sides', 'analysis, experiment')})", effect_ctes("n", "analysis, experiment"), adjusted("effect", "adj", "p_value_two_sided", "analysis", "experiment"),
+) + f"SELECT analysis, experiment, {effect_columns()}, {r9('p_value_holm')} AS p_value_holm, {r9('p_value_bh')} AS p_value_bh FROM adj"
 O["q_gap_outcomes"] = with_(
     A_COHORT, A_EVENTS, "f AS (SELECT participant_id, min(event_at) AS first FROM a_events WHERE event_type = 'delivered' GROUP BY 1)",
     "g AS (SELECT e.participant_id, count(*) AS n FROM a_events e JOIN f USING (participant_id) JOIN a_cohort c USING (participant_id) WHERE e.event_type = 'converted' AND e.event_at >= c.assigned_at AND e.event_at < f.first GROUP BY 1)",
@@ -545,6 +553,52 @@ O["q_report_figures"] = (
     )
 )
 O["q_column_contracts"] = """SELECT n.rows, r.rule, r.broken FROM (SELECT count(*) AS rows FROM customer) n, (VALUES ('unique', 0), ('unique_of_repeated', 1), ('required', 0), ('required_of_missing', 1), ('exact', 0), ('exact_of_more', 1), ('instant', 0), ('instant_without_zone', 1)) r(rule, broken)"""
-O["q_reader"] = "SELECT o_orderstatus, count(*) AS orders, CAST(round(sum(CAST(o_totalprice AS DECIMAL(38,4))), 2) AS DOUBLE) AS total FROM orders GROUP BY 1"
+O["q_reader"] = with_(
+    A_COHORT, A_EVENTS, "k AS (SELECT c_custkey % 10 AS k FROM a_cohort)",
+    "reasons(k, reason) AS (VALUES (1, 'assigned_at_naive'), (2, 'assigned_at_invalid'), (3, 'messages_delivered_invalid'), (4, 'linked_before_entry_invalid'), (5, 'participant_id_missing'))",
+    "e AS (SELECT CASE WHEN day(event_at) = 9 THEN 'event_at_naive' ELSE 'taken' END AS reason FROM a_events)",
+) + (
+    "SELECT 'assignments' AS table, coalesce(r.reason, 'taken') AS reason, count(*) AS rows FROM k LEFT JOIN reasons r USING (k) GROUP BY 2 UNION ALL SELECT 'events', reason, count(*) FROM e GROUP BY 2"
+)
+O["q_pruned_events"] = with_(*A_BASE) + f"SELECT participant_id, arm, {micros('first_outcome_at')}, outcome FROM a_out WHERE assigned_at < TIMESTAMP '2024-01-15'"
+O["q_event_days"] = with_(A_COHORT, A_EVENTS, "b AS (SELECT min(assigned_at) AS lo, max(assigned_at) + INTERVAL 7 DAY AS hi FROM a_cohort WHERE assigned_at < TIMESTAMP '2024-01-06')") + (
+    "SELECT strftime(event_at, '%Y-%m-%d') AS day, count(*) AS rows FROM a_events, b WHERE event_at >= lo AND event_at < hi GROUP BY 1"
+)
+
+
+def texts(src: str) -> str:
+    """(record) of all rows of ``src`` as JSON texts: keys sorted, nine digits after the point, what is not finite as null."""
+    c = "COLUMNS(* EXCLUDE row_no)"
+    double = f"typeof({c}) = 'DOUBLE'"
+    value = (
+        f"CASE WHEN {c} IS NULL THEN 'null' WHEN {double} AND NOT isfinite(coalesce(try_cast({c} AS DOUBLE), 0)) THEN 'null' "
+        f"WHEN {double} THEN printf('%.9f', round(try_cast({c} AS DOUBLE), 9) + 0.0) WHEN typeof({c}) = 'VARCHAR' THEN CAST(to_json(CAST({c} AS VARCHAR)) AS VARCHAR) "
+        f"WHEN typeof({c}) LIKE '%[]' THEN CAST(to_json({c}) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
+    )
+    return (
+        f"(SELECT '{{' || string_agg(to_json(k) || ':' || v, ',' ORDER BY k) || '}}' AS record FROM (UNPIVOT (SELECT row_no, {value} FROM (SELECT row_number() OVER () AS row_no, * FROM {src})) "
+        "ON COLUMNS(* EXCLUDE row_no) INTO NAME k VALUE v) GROUP BY row_no)"
+    )
 
+
+def json_document(sections: dict[str, str]) -> str:
+    """A report of full statements by section."""
+    names = sorted(sections)
+    ctes = [f"s{k} AS ({sections[n]})" for k, n in enumerate(names)]
+    parts = [f"'\"{n}\":[' || (SELECT coalesce(string_agg(record, ',' ORDER BY record), '') FROM {texts(f's{k}')}) || ']'" for k, n in enumerate(names)]
+    return with_(*ctes) + "SELECT '{' || " + " || ',' || ".join(parts) + " || '}' AS report"
+
+
+O["q_records"] = with_(f"s AS (SELECT *, CAST('nan' AS DOUBLE) AS not_finite FROM ({O['q_experiment_effects']}))") + f"SELECT record FROM {texts('s')}"
+O["q_report"] = json_document({"effects": O["q_experiment_effects"], "censoring": O["q_censoring_by_experiment"], "funnel": O["q_funnel_summary"], "unsubscribe": O["q_unsub"], "population": O["q_population_flow"]})
+O["q_prospective_report"] = json_document(
+    {
+        "figures": O["q_report_figures"], "randomization": O["q_ledger_digest"], "sample_ratio": with_(*C_BASE) + ", " + srm("c_ledger", BLOCKS),
+        "contamination_audit": with_(*C_BASE, C_EVENTS, C_CLEAN, DELIVERIES.format("c_clean"), CONTAMINATION) + "SELECT * FROM contamination",
+        "followup_audit": with_(*C_BASE, C_EVENTS, C_CLEAN, FOLLOWUP.format("c_clean")) + "SELECT * FROM followup",
+        "primary_funding_family": O["q_primary_family"], "guardrail_noninferiority_family": O["q_guardrail_family"], "pre_period_negative_control": O["q_negative_control"],
+        "quality_gates": O["q_gates"],
+        "decision": f"SELECT status, candidate_arm, CASE WHEN reasons = '' THEN [] ELSE string_split(reasons, ',') END AS reasons, CASE WHEN failed_gates = '' THEN [] ELSE string_split(failed_gates, ',') END AS failed_gates FROM ({O['q_decision']})",
+    }
+)
 ORACLE_SQL = O

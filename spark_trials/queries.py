@@ -20,7 +20,7 @@ from spark_trials.operators import prospective as pro
 from spark_trials.operators import replication as rep
 from spark_trials.oracles import ORACLE_SQL  # noqa: F401
 from spark_trials.plans import adapters as ad
-from spark_trials.sources import report, tables
+from spark_trials.sources import report, shared, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STAGES = ("opened", "linked", "converted")
@@ -206,6 +206,14 @@ def q_gap_outcomes(spark, d):
     return out.gap_outcomes(ad.a_cohort(spark, d).withColumn("eligible_at", F.col("assigned_at")), ad.a_events(spark, d))
 
 
+@query
+def q_gap_sensitivity(spark, d):
+    """Effects with all outcomes and without those between eligibility and the first delivery, side by side."""
+    people = ad.a_cohort(spark, d).withColumn("eligible_at", F.col("assigned_at") - F.lit(timedelta(days=2)))
+    rows = out.gap_sensitivity(people, ad.a_events(spark, d), window=ad.A_WINDOW, observation_end=ad.instant(ad.A_END)).where("outcome is not null")
+    return plain(eff.compare_groups(rows, family=["analysis"]))
+
+
 @query
 def q_unsub(spark, d):
     return plain(fun.exposure_risk(ad.a_exposed(spark, d), ad.a_events(spark, d)))
@@ -473,7 +481,7 @@ def q_prospective_report(spark, d):
         "primary_funding_family": primary, "guardrail_noninferiority_family": guards, "pre_period_negative_control": _negative(spark, d), "quality_gates": gates,
         "decision": dec.launch_decision(primary, guards, gates, candidate=CANDIDATE, check=False),
     }
-    return report.document(sections)
+    return report.document(sections, digits=9)
 
 
 def _count_of(contract: Callable[[], object]) -> int:
@@ -500,12 +508,63 @@ def q_column_contracts(spark, d):
     return people.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.inline(found))
 
 
+def _as_text(df: DataFrame) -> DataFrame:
+    """Rows as a text export has them: instants with their offset, all else as it is printed."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return df.select(*[(stamp(c) if t == "timestamp" else F.col(c).cast("string")).alias(c) for c, t in df.dtypes])
+
+
+def _faulty_exports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Assignments and events as text, with faults by the customer's number and by the day."""
+    k = F.substring("participant_id", 2, 20).cast("long") % 10
+    people = ad.a_exposed(spark, d).withColumns({"linked_before_entry": F.col("c_custkey") % 3 == 0, "converted_before_entry": F.lit(False)})
+    texts = _as_text(people.select(*tables.ASSIGNMENTS.names))
+    texts = texts.withColumns(
+        {
+            "assigned_at": F.when(k == 1, F.regexp_replace("assigned_at", "Z$", "")).when(k == 2, F.lit("soon")).otherwise(F.col("assigned_at")),
+            "messages_delivered": F.when(k == 3, F.lit("many")).otherwise(F.col("messages_delivered")), "linked_before_entry": F.when(k == 4, F.lit("perhaps")).otherwise(F.col("linked_before_entry")),
+            "participant_id": F.when(k == 5, F.lit(None).cast("string")).otherwise(F.col("participant_id")),
+        }
+    )
+    events = _as_text(ad.a_events(spark, d).select(*tables.EVENTS.names))
+    naive = F.dayofmonth(F.to_date(F.substring("event_at", 1, 10))) == 9
+    return texts, events.withColumn("event_at", F.when(naive, F.regexp_replace("event_at", "Z$", "")).otherwise(F.col("event_at")))
+
+
 @query
 def q_reader(spark, d):
-    """Orders by the readers: a declared schema and the exact columns, then rows and totals by status."""
-    schema = ad.table(spark, d, "orders").schema
-    rows = tables.read(spark, f"{d}/orders.parquet", schema)
-    return plain(rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum(F.col("o_totalprice").cast("decimal(38,4)")), 2).cast("double").alias("total")))
+    """Assignments (CSV) and events (JSON lines) with faults, exported and read again by their declared schemas: how many rows
+    are taken, and how many are not, by reason."""
+    made = None
+    top = shared.folder(spark, "exports")
+    for name, fmt, texts, schema in zip(("assignments", "events"), ("csv", "json"), _faulty_exports(spark, d), (tables.ASSIGNMENTS, tables.EVENTS), strict=True):
+        texts.write.format(fmt).option("header", True).save(f"{top}/{name}")
+        rows, rejects = tables.read_with_rejects(spark, f"{top}/{name}", schema, fmt)
+        taken = rows.groupBy(F.lit("taken").alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
+        own = taken.unionByName(tables.reject_counts(rejects)).select(F.lit(name).alias("table"), "reason", "rows")
+        made = own if made is None else made.unionByName(own)
+    return made
+
+
+@query
+def q_pruned_events(spark, d):
+    """Events stored by day, of which only the days that the assignment windows span are read: outcomes in each window."""
+    top = shared.folder(spark, "events-by-day")
+    tables.write_events(ad.a_events(spark, d), f"{top}/events")
+    people = ad.a_cohort(spark, d).where(F.col("assigned_at") < ad.instant("2024-01-15 00:00:00"))
+    events = tables.read_events(spark, f"{top}/events", tables.EVENTS, **tables.window_bounds(people, ad.A_WINDOW))
+    made = out.windowed_outcome(people, events, window=ad.A_WINDOW, observation_end=ad.instant(ad.A_END), fail_on_orphan_events=False)
+    return plain(made.select("participant_id", "arm", "first_outcome_at", "outcome"))
+
+
+@query
+def q_event_days(spark, d):
+    """Days of the stored events that windows of two early cohorts need, and how many rows each has."""
+    top = shared.folder(spark, "events-by-day")
+    tables.write_events(ad.a_events(spark, d), f"{top}/events")
+    people = ad.a_cohort(spark, d).where(F.col("assigned_at") < ad.instant("2024-01-06 00:00:00"))
+    events = tables.read_events(spark, f"{top}/events", tables.EVENTS, **tables.window_bounds(people, ad.A_WINDOW))
+    return events.groupBy(F.to_date("event_at").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query
@@ -579,9 +638,9 @@ def q_rep_gates(spark, d):
 def q_report(spark, d):
     """The two-arm report: effects, censoring, funnel and exposure risk as one JSON document."""
     sections = {"effects": q_experiment_effects, "censoring": q_censoring_by_experiment, "funnel": q_funnel_summary, "unsubscribe": q_unsub, "population": q_population_flow}
-    return report.document({n: f(spark, d) for n, f in sections.items()})
+    return report.document({n: f(spark, d) for n, f in sections.items()}, digits=9)
 
 
 @query
 def q_records(spark, d):
-    return report.records(q_experiment_effects(spark, d).withColumn("not_finite", F.lit(float("nan"))))
+    return report.records(q_experiment_effects(spark, d).withColumn("not_finite", F.lit(float("nan"))), digits=9)
