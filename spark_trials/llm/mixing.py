@@ -11,8 +11,8 @@ the open ones meet in the next level, until one is left in each class. These few
 and the last one alone is rounded by its fraction. No bucket grows with its source: a source with a third of all rows is
 only more buckets.
 
-Long documents come first (``BANDS``). What the last one of them was rounded up or down is spread over the fractions of all
-shorter ones of the source, as far as these stay within 0 and 1 whichever way it falls; that change has mean zero, so it
+Documents come in bands, long ones first (``BANDS``). What the last one of a band was rounded up or down is spread over all
+shorter ones of the source, as far as their fractions stay within 0 and 1 whichever way it falls; that change has mean zero, so it
 leaves every expectation right, and the words of a source end within a short document of the target where there are any.
 
 All draws are hashes of the id, the text, the level and the seed, so reruns agree.
@@ -36,8 +36,8 @@ MOST = 3
 FAN_IN = 128
 #: A table of so many sources, under 1 MB, is sent to all executors.
 BROADCAST_SOURCES = 10_000
-#: Documents of so many words and more are rounded before all shorter ones.
-BANDS = (256,)
+#: Borders in words: longer documents are rounded first, and each band takes up what rounding the one before left over.
+BANDS = (4096, 1024, 256, 64)
 BLOCK = 1 << 16
 _KEY = ("id", "hash", "row", "size")
 _ITEM = "struct<id:bigint,hash:bigint,row:bigint,size:bigint,x:double,u:double>"
