@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spark_trials.functions import stats
 from spark_trials.operators.assignment import BLOCKS, HOLDOUT
-from spark_trials.operators.contracts import ContractError, binary_rules, count_rules, require_columns, require_none, settled
+from spark_trials.operators.contracts import ContractError, binary_rules, require_columns, require_none
 from spark_trials.operators.effects import block_effects, paired_with_control, with_binary_effect
 
 # The decision rule's gates, guardrails and method names.
@@ -24,8 +24,22 @@ GUARDRAIL_METHOD = ("pooled_difference_in_proportions", "pooled_newcombe_style_b
 CELLS = 6
 
 
-def factorial_violations(df: DataFrame, outcomes: Sequence[str], *, id_col: str = "participant_id", holdout: str = HOLDOUT) -> DataFrame:
-    """(rule, violations) of a factorial frame: ids, arms, the complete 3 x 2 grid, holdout without factors, outcomes."""
+def _listed(one: DataFrame) -> DataFrame:
+    """(rule, violations) of a row of counts."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("rule"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("violations")) for c in one.columns])
+    return one.select(F.inline(pairs))
+
+
+def _different(values: Column) -> Column:
+    """How many different values, nulls aside, an array has."""
+    return F.size(F.array_distinct(F.array_compact(values)))
+
+
+def factorial_violations(df: DataFrame, outcomes: Sequence[str], *, id_col: str = "participant_id", holdout: str = HOLDOUT, blocks: Sequence[str] = ()) -> DataFrame:
+    """(rule, violations) of a factorial frame: ids, arms, the complete 3 x 2 grid, holdout without factors, outcomes, block labels.
+
+    Rows are counted by cell, a handful of rows that the shape of the grid is read from too; only ids meet besides.
+    """
     held = F.col("arm") == holdout
     rules = {
         "id_missing": F.col(id_col).isNull(), "arm_blank": F.col("arm").isNull() | (F.trim("arm") == ""),
@@ -34,26 +48,24 @@ def factorial_violations(df: DataFrame, outcomes: Sequence[str], *, id_col: str
     }
     for o in outcomes:
         rules |= binary_rules(df, o)
-    out = count_rules(df, rules)
-    repeated = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).cast("long").alias("violations"))
-    out = out.unionByName(repeated.select(F.lit("duplicate_id").alias("rule"), "violations"))
-    # the distinct cells are a handful of rows
-    cells = df.select("arm", "content", "cadence").distinct()
+    rules |= {f"{b}_missing": F.col(b).isNull() | (F.trim(F.col(b).cast("string")) == "") for b in blocks}
+    cells = df.groupBy("arm", "content", "cadence").agg(*[F.count_if(c).alias(name) for name, c in rules.items()])
     active = F.when(F.col("arm") != holdout, F.col("arm"))
     grid = F.when(F.col("arm") != holdout, F.struct("content", "cadence"))
-    shape = cells.agg(
-        F.abs(F.countDistinct(active) - CELLS).alias("active_arms_not_six"), F.abs(F.countDistinct(grid) - CELLS).alias("grid_cells_not_six"),
-        F.abs(F.count(active) - F.countDistinct(active)).alias("arm_in_more_cells"), F.when(F.count_if(F.col("arm") == holdout) > 0, 0).otherwise(1).alias("holdout_absent"),
-        F.abs(F.countDistinct(F.when(F.col("arm") != holdout, F.col("content"))) - 3).alias("contents_not_three"),
-    )
-    pairs = F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).cast("long").alias("violations")) for c in shape.columns])
-    return out.unionByName(shape.select(F.inline(pairs)))
+    shape = {
+        "active_arms_not_six": F.abs(F.countDistinct(active) - CELLS), "grid_cells_not_six": F.abs(F.size(F.collect_set(grid)) - CELLS),
+        "arm_in_more_cells": F.abs(F.count(active) - F.countDistinct(active)), "holdout_absent": F.when(F.count_if(F.col("arm") == holdout) > 0, 0).otherwise(1),
+        "contents_not_three": F.abs(F.size(F.collect_set(F.when(F.col("arm") != holdout, F.col("content")))) - 3),
+    }
+    one = cells.agg(*[F.sum(name).alias(name) for name in rules], *[c.alias(name) for name, c in shape.items()])
+    repeated = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum(F.when(F.col("_n") > 1, F.col("_n"))).alias("duplicate_id"))
+    return _listed(one).unionByName(_listed(repeated))
 
 
-def validate_factorial_frame(df: DataFrame, outcomes: Sequence[str], *, id_col: str = "participant_id", holdout: str = HOLDOUT) -> DataFrame:
+def validate_factorial_frame(df: DataFrame, outcomes: Sequence[str], *, id_col: str = "participant_id", holdout: str = HOLDOUT, blocks: Sequence[str] = ()) -> DataFrame:
     """``df`` as it is, or an error with the counts of the rules it breaks; a frame without rows breaks them too."""
-    require_columns(df, [id_col, "arm", "content", "cadence", *outcomes])
-    require_none(factorial_violations(df, outcomes, id_col=id_col, holdout=holdout), "factorial frame")
+    require_columns(df, [id_col, "arm", "content", "cadence", *outcomes, *blocks])
+    require_none(factorial_violations(df, outcomes, id_col=id_col, holdout=holdout, blocks=blocks), "factorial frame")
     return df
 
 
@@ -63,27 +75,24 @@ def arm_cube(df: DataFrame, outcomes: Sequence[str], blocks: Sequence[str] = BLO
     The frame is validated first (``check``): what a repeated unit or an outcome of 2 did cannot be seen in the sums.
     """
     if check:
-        labels = {f"{b}_missing": F.col(b).isNull() | (F.trim(F.col(b).cast("string")) == "") for b in blocks}
-        if labels:
-            require_none(count_rules(df, labels), "block labels")
-        validate_factorial_frame(df, outcomes, holdout=holdout)
+        validate_factorial_frame(df, outcomes, holdout=holdout, blocks=blocks)
     return df.groupBy(*blocks, "arm").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(o).cast("long")).alias(o) for o in outcomes])
 
 
 def cube_violations(cube: DataFrame, outcomes: Sequence[str], *, holdout: str = HOLDOUT, blocks: Sequence[str] | None = BLOCKS) -> DataFrame:
     """(rule, violations) of a count cube: six active arms and the holdout, whole counts, and in every block the same number
     of units, two at least, in all seven arms (where ``blocks`` are named)."""
-    n, active = F.col("n"), F.when(F.col("arm") != holdout, F.col("arm"))
+    n, rows = F.col("n"), F.count(F.lit(1))
     rules = {"arm_missing": F.col("arm").isNull(), "count_not_positive": n.isNull() | (n < 1)}
     rules |= {f"{o}_not_a_count": F.coalesce((F.col(o) < 0) | (F.col(o) > n), F.lit(True)) for o in outcomes}
-    out = count_rules(cube, rules)
-    shape = cube.agg(F.abs(F.countDistinct(active) - CELLS).alias("active_arms_not_six"), F.when(F.count_if(F.col("arm") == holdout) > 0, 0).otherwise(1).alias("holdout_absent"))
+    sums = [F.count_if(c).alias(name) for name, c in rules.items()]
+    by = cube.groupBy(*(blocks or [])).agg(*sums, F.collect_set("arm").alias("_arms"), rows.alias("_rows"), F.min("n").alias("_low"), F.max("n").alias("_high"))
+    arms = F.array_distinct(F.flatten(F.collect_list("_arms")))
+    shape = {"active_arms_not_six": F.abs(F.size(F.array_except(arms, F.array(F.lit(holdout)))) - CELLS), "holdout_absent": (~F.array_contains(arms, holdout)).cast("int")}
     if blocks:
-        by = cube.groupBy(*blocks).agg(F.countDistinct("arm").alias("a"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
-        bad = (F.col("a") != CELLS + 1) | (F.col("rows") != CELLS + 1) | (F.col("low") != F.col("high")) | (F.col("low") < 2)
-        shape = shape.join(by.agg(F.count_if(bad).alias("blocks_not_balanced")), F.lit(True))
-    pairs = F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).cast("long").alias("violations")) for c in shape.columns])
-    return out.unionByName(shape.select(F.inline(pairs)))
+        odd = (F.size("_arms") != CELLS + 1) | (F.col("_rows") != CELLS + 1) | (F.col("_low") != F.col("_high")) | (F.col("_low") < 2)
+        shape["blocks_not_balanced"] = F.count_if(odd)
+    return _listed(by.agg(*[F.sum(name).alias(name) for name in rules], *[c.alias(name) for name, c in shape.items()]))
 
 
 def _alpha(alpha: float) -> float:
@@ -184,54 +193,83 @@ def gate_rows(gates: dict[str, DataFrame | bool]) -> DataFrame:
     return out.unionByName(out.sparkSession.range(1).select(F.inline(F.array(*fixed)))) if fixed else out
 
 
-def _near(a, b, relative: float = 0.0, absolute: float = 1e-15):
+def _near(a: Column, b: Column, relative: float = 0.0, absolute: float = 1e-15) -> Column:
     return F.abs(a - b) <= absolute + relative * F.abs(b)
 
 
-def decision_violations(primary: DataFrame, guardrails: DataFrame, gates: DataFrame) -> DataFrame:
-    """(rule, violations): counts, methods and ranges, and all numbers that can be recomputed from the others."""
-    p, h = F.col("p_value_two_sided"), F.col("p_value_holm")
-    d, se = F.col("risk_difference"), F.col("risk_difference_standard_error")
-    z = stats.z_two_sided(0.95)
-    again = stats.with_holm(primary.withColumn("_f", F.lit(1)), "p_value_two_sided", "_holm", ["_f"], ["active_arm"])
-    numbers = [d, se, p, h, F.col("risk_difference_ci_low_nominal"), F.col("risk_difference_ci_high_nominal")]
-    lost = F.lit(False)
-    for c in numbers:
+def _gathered(primary: DataFrame, guardrails: DataFrame, gates: DataFrame) -> DataFrame:
+    """One row of three arrays: six, twelve and ten rows by contract, so all rules are expressions over one row."""
+    tables = {"primary": primary, "guards": guardrails, "gates": gates}
+    one = [df.agg(F.collect_list(F.struct(*df.columns)).alias(name)) for name, df in tables.items()]
+    return one[0].join(one[1], F.lit(True)).join(one[2], F.lit(True))
+
+
+def _holm_of(rows: Column) -> Column:
+    """The rows' (p, arm, adjusted p before the running maximum), by p and then arm."""
+    ordered = F.array_sort(F.transform(rows, lambda r: F.struct(r["p_value_two_sided"].alias("p"), r["active_arm"].alias("arm"))))
+    return F.transform(ordered, lambda r, k: F.struct(r.alias("key"), F.least(F.lit(1.0), r["p"] * (F.size(rows) - k)).alias("adjusted")))
+
+
+def _primary_rules(r: Column, holm: Column) -> dict[str, Column]:
+    p, h, d, se, low, high = (r[c] for c in ("p_value_two_sided", "p_value_holm", "risk_difference", "risk_difference_standard_error", "risk_difference_ci_low_nominal", "risk_difference_ci_high_nominal"))
+    z, lost = stats.z_two_sided(0.95), F.lit(False)
+    for c in (d, se, p, h, low, high):
         lost = lost | c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    primary_rules = {
-        "primary_number_missing": lost | F.col("superiority_pass").isNull() | F.col("block_count").isNull(),
-        "primary_method": ~F.coalesce((F.col("estimator") == BLOCK_METHOD[0]) & (F.col("variance_estimator") == BLOCK_METHOD[1]) & (F.col("interval_method") == BLOCK_METHOD[2]), F.lit(False)),
-        "primary_blocks": ~F.coalesce((F.col("block_columns") == "|".join(BLOCKS)) & (F.col("block_count") > 0), F.lit(False)),
-        "primary_family": (F.col("family_size") != CELLS) | ~_near(F.col("family_alpha"), F.lit(0.05)),
+    key = F.struct(p.alias("p"), r["active_arm"].alias("arm"))
+    again = F.array_max(F.transform(F.filter(holm, lambda x: x["key"] <= key), lambda x: x["adjusted"]))
+    method = [r[c] == v for c, v in zip(("estimator", "variance_estimator", "interval_method"), BLOCK_METHOD, strict=True)]
+    return {
+        "primary_number_missing": lost | r["superiority_pass"].isNull() | r["block_count"].isNull(),
+        "primary_method": ~F.coalesce(method[0] & method[1] & method[2], F.lit(False)),
+        "primary_blocks": ~F.coalesce((r["block_columns"] == "|".join(BLOCKS)) & (r["block_count"] > 0), F.lit(False)),
+        "primary_family": (r["family_size"] != CELLS) | ~_near(r["family_alpha"], F.lit(0.05)),
         "primary_range": ~(p.between(0.0, 1.0) & h.between(0.0, 1.0) & (se > 0)),
         "primary_raw_p": ~_near(p, stats.erfc(F.abs(d / se) / 2**0.5), 1e-12),
-        "primary_holm_p": ~_near(h, F.col("_holm"), 1e-12),
-        "primary_interval": ~(
-            _near(F.col("risk_difference_ci_low_nominal"), F.greatest(F.lit(-1.0), d - z * se), 1e-12)
-            & _near(F.col("risk_difference_ci_high_nominal"), F.least(F.lit(1.0), d + z * se), 1e-12)
-        ),
-        "primary_pass": F.col("superiority_pass") != ((h < F.col("family_alpha")) & (d > 0)),
+        "primary_holm_p": ~_near(h, again, 1e-12),
+        "primary_interval": ~(_near(low, F.greatest(F.lit(-1.0), d - z * se), 1e-12) & _near(high, F.least(F.lit(1.0), d + z * se), 1e-12)),
+        "primary_pass": r["superiority_pass"] != ((h < r["family_alpha"]) & (d > 0)),
     }
+
+
+def _guard_rules(r: Column) -> dict[str, Column]:
     size = CELLS * len(GUARDRAILS)
-    guard_rules = {
-        "guardrail_outcome": ~F.col("outcome").isin(*GUARDRAILS),
-        "guardrail_method": ~F.coalesce((F.col("point_estimator") == GUARDRAIL_METHOD[0]) & (F.col("uncertainty_method") == GUARDRAIL_METHOD[1]) & ~F.col("block_adjusted_uncertainty"), F.lit(False)),
-        "guardrail_family": (F.col("family_size") != size) | ~_near(F.col("family_alpha"), F.lit(0.05)) | ~_near(F.col("bonferroni_alpha_each"), F.col("family_alpha") / size),
-        "guardrail_margin": ~F.coalesce((F.col("noninferiority_margin") >= 0) & (F.col("noninferiority_margin") < 1), F.lit(False)),
-        "guardrail_pass": ~F.col("noninferiority_pass").eqNullSafe(F.col("simultaneous_one_sided_upper_bound") < F.col("noninferiority_margin")),
+    method = (r["point_estimator"] == GUARDRAIL_METHOD[0]) & (r["uncertainty_method"] == GUARDRAIL_METHOD[1]) & ~r["block_adjusted_uncertainty"]
+    return {
+        "guardrail_outcome": ~r["outcome"].isin(*GUARDRAILS),
+        "guardrail_method": ~F.coalesce(method, F.lit(False)),
+        "guardrail_family": (r["family_size"] != size) | ~_near(r["family_alpha"], F.lit(0.05)) | ~_near(r["bonferroni_alpha_each"], r["family_alpha"] / size),
+        "guardrail_margin": ~F.coalesce((r["noninferiority_margin"] >= 0) & (r["noninferiority_margin"] < 1), F.lit(False)),
+        "guardrail_pass": ~r["noninferiority_pass"].eqNullSafe(r["simultaneous_one_sided_upper_bound"] < r["noninferiority_margin"]),
     }
 
-    def one(df: DataFrame, name: str, c) -> DataFrame:
-        return df.agg(F.abs(c).cast("long").alias("violations")).select(F.lit(name).alias("rule"), "violations")
 
-    out = count_rules(again, primary_rules).unionByName(count_rules(guardrails, guard_rules))
-    out = out.unionByName(one(primary, "primary_rows_not_six", F.count(F.lit(1)) - CELLS)).unionByName(one(primary, "primary_arms_repeat", F.count(F.lit(1)) - F.countDistinct("active_arm")))
-    out = out.unionByName(one(primary, "primary_block_counts_differ", F.countDistinct("block_count") - 1))
-    out = out.unionByName(one(guardrails, "guardrail_rows_not_twelve", F.count(F.lit(1)) - size))
-    out = out.unionByName(one(guardrails, "guardrail_rows_repeat", F.count(F.lit(1)) - F.countDistinct(F.struct("active_arm", "outcome"))))
-    out = out.unionByName(one(guardrails.join(primary.select("active_arm"), "active_arm", "left_anti"), "guardrail_arm_unknown", F.count(F.lit(1))))
-    need = F.lit(len(GATES)) - F.count_if(F.col("gate").isin(*GATES) & F.col("passed").isNotNull())
-    return out.unionByName(one(gates.dropDuplicates(["gate"]), "gates_missing", need))
+def decision_violations(primary: DataFrame, guardrails: DataFrame, gates: DataFrame) -> DataFrame:
+    """(rule, violations): counts, methods and ranges, and all numbers that can be recomputed from the others.
+
+    The three tables become arrays of one row, and each row's broken rules are named by one pass over its array, so the
+    plan has three aggregates whatever the number of rules.
+    """
+    p, g, q, size = F.col("primary"), F.col("guards"), F.col("gates"), CELLS * len(GUARDRAILS)
+
+    def named(rules: dict[str, Column]) -> Column:
+        return F.array_compact(F.array(*[F.when(c, name) for name, c in rules.items()]))
+
+    met = _gathered(primary, guardrails, gates).withColumn("holm", _holm_of(p))
+    met = met.withColumn("broken", F.flatten(F.concat(F.transform(p, lambda r: named(_primary_rules(r, F.col("holm")))), F.transform(g, lambda r: named(_guard_rules(r))))))
+    arms = F.transform(p, lambda r: r["active_arm"])
+
+    def times(name: str) -> Column:
+        return F.size(F.filter("broken", lambda b: b == name))
+
+    counts = {name: times(name) for name in [*_primary_rules(p[0], F.col("holm")), *_guard_rules(g[0])]}
+    counts |= {
+        "primary_rows_not_six": F.abs(F.size(p) - CELLS), "primary_arms_repeat": F.size(p) - _different(arms),
+        "primary_block_counts_differ": F.abs(_different(F.transform(p, lambda r: r["block_count"])) - 1), "guardrail_rows_not_twelve": F.abs(F.size(g) - size),
+        "guardrail_rows_repeat": F.size(g) - _different(F.transform(g, lambda r: F.struct(r["active_arm"], r["outcome"]))),
+        "guardrail_arm_unknown": F.size(F.filter(g, lambda r: ~F.coalesce(F.array_contains(arms, r["active_arm"]), F.lit(False)))),
+        "gates_missing": len(GATES) - _different(F.transform(F.filter(q, lambda r: r["gate"].isin(*GATES) & r["passed"].isNotNull()), lambda r: r["gate"])),
+    }
+    return _listed(met.select(*[c.alias(name) for name, c in counts.items()]))
 
 
 def launch_decision(primary: DataFrame, guardrails: DataFrame, gates: DataFrame, *, candidate: str | None, check: bool = True) -> DataFrame:
@@ -244,15 +282,15 @@ def launch_decision(primary: DataFrame, guardrails: DataFrame, gates: DataFrame,
         require_none(decision_violations(primary, guardrails, gates), "decision input")
         if candidate is not None and not primary.where(F.col("active_arm") == candidate).limit(1).count():
             raise ContractError("candidate is not one of the active arms")
-    failed = gates.agg(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("gate")))).alias("failed_gates"))
+    own = lambda r: r["active_arm"] == candidate
+    out = _gathered(primary, guardrails, gates).withColumn("failed_gates", F.array_sort(F.transform(F.filter("gates", lambda r: ~r["passed"]), lambda r: r["gate"])))
     if candidate is None:
-        out = failed.withColumn("_more", F.array(F.lit("pre_specified_candidate_required")))
+        out = out.withColumn("_more", F.array(F.lit("pre_specified_candidate_required")))
     else:
-        first = primary.agg(F.coalesce(F.bool_or(F.when(F.col("active_arm") == candidate, F.col("superiority_pass"))), F.lit(False)).alias("_won"))
-        weak = guardrails.agg(F.array_sort(F.collect_list(F.when((F.col("active_arm") == candidate) & ~F.col("noninferiority_pass"), F.col("outcome")))).alias("_weak"))
-        out = failed.join(first, F.lit(True)).join(weak, F.lit(True))
-        named = F.transform("_weak", lambda o: F.concat(F.lit("guardrail_noninferiority_not_established:"), o))
-        out = out.withColumn("_more", F.concat(F.when(F.col("_won"), F.array().cast("array<string>")).otherwise(F.array(F.lit("primary_superiority_not_established"))), named))
+        won = F.exists("primary", lambda r: F.coalesce(own(r) & r["superiority_pass"], F.lit(False)))
+        weak = F.array_sort(F.transform(F.filter("guards", lambda r: own(r) & ~r["noninferiority_pass"]), lambda r: r["outcome"]))
+        named = F.transform(weak, lambda o: F.concat(F.lit("guardrail_noninferiority_not_established:"), o))
+        out = out.withColumn("_more", F.concat(F.when(won, F.array().cast("array<string>")).otherwise(F.array(F.lit("primary_superiority_not_established"))), named))
     reasons = F.concat(F.transform("failed_gates", lambda g: F.concat(F.lit("quality_gate_failed:"), g)), F.col("_more"))
     out = out.withColumn("reasons", reasons)
     status = F.when(F.size("reasons") == 0, "criteria_met").otherwise("continue_testing")

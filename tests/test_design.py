@@ -138,6 +138,26 @@ def test_families_and_decision(spark):
     ):
         with pytest.raises(ContractError):
             dec.launch_decision(*bad, candidate=best)
+    assert dec.decision_violations(primary, guards, gates).where("violations > 0").count() == 0
+
+    def one(name, value, arm="current__daily"):
+        return F.when(F.col("active_arm") == arm, value).otherwise(F.col(name))
+
+    tampered = {
+        "p": ((primary.withColumn("p_value_two_sided", one("p_value_two_sided", F.lit(0.123))), guards, gates), {"primary_raw_p": 1}),
+        "holm": ((primary.withColumn("p_value_holm", one("p_value_holm", F.lit(0.0))), guards, gates), {"primary_holm_p": 1}),
+        "range": ((primary.withColumn("risk_difference_standard_error", one("risk_difference_standard_error", F.lit(float("inf")))), guards, gates), {"primary_number_missing": 1}),
+        "alpha": ((primary.withColumn("family_alpha", F.lit(0.1)), guards, gates), {"primary_family": 6}),
+        "blocks": ((primary.withColumn("block_count", one("block_count", F.lit(7))), guards, gates), {"primary_block_counts_differ": 1}),
+        "twice": ((primary.union(primary.where("active_arm = 'current__daily'")), guards, gates), {"primary_rows_not_six": 1, "primary_arms_repeat": 1}),
+        "margin": ((primary, guards.withColumn("noninferiority_margin", one("noninferiority_margin", F.lit(1.0))), gates), {"guardrail_margin": 2}),
+        "method": ((primary, guards.withColumn("block_adjusted_uncertainty", F.lit(True)), gates), {"guardrail_method": 12}),
+        "stranger": ((primary, guards.withColumn("active_arm", one("active_arm", F.lit("other"))), gates), {"guardrail_arm_unknown": 2}),
+        "gate": ((primary, guards, gates.withColumn("passed", F.when(F.col("gate") != "sample_ratio", F.col("passed")))), {"gates_missing": 1}),
+    }
+    for what, (tables_, want) in tampered.items():
+        found = {r["rule"]: r["violations"] for r in dec.decision_violations(*tables_).where("violations > 0").collect()}
+        assert want.items() <= found.items(), (what, found)
     with pytest.raises(ContractError):
         dec.launch_decision(primary, guards, gates, candidate="nothing")
 
