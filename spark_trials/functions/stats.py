@@ -107,14 +107,21 @@ def upper_bound(ts: Column, tn: Column, cs: Column, cn: Column, tail_alpha: floa
 
 
 def chi_square_tail(statistic: Column, df: int) -> Column:
-    """Survival function of chi-square for an even number of degrees of freedom: a finite sum."""
-    if df <= 0 or df % 2:
-        raise ValueError("degrees of freedom must be even and positive")
-    half, term, total = statistic / 2.0, F.lit(1.0), F.lit(1.0)
-    for k in range(1, df // 2):
-        term = term * half / float(k)
-        total = total + term
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(-half) * total))
+    """Survival function of chi-square: a finite sum, which for an odd number of degrees of freedom starts from a normal tail."""
+    if df <= 0 or int(df) != df:
+        raise ValueError("degrees of freedom must be whole and positive")
+    half, total = statistic / 2.0, F.lit(0.0)
+    if df % 2:
+        term = F.sqrt(half) * F.lit(2 / sqrt(pi))  # half ** (k - 1/2) / gamma(k + 1/2), from k = 1 on
+        for k in range(1, df // 2 + 1):
+            total, term = total + term, term * half / (k + 0.5)
+        tail = erfc(F.sqrt(half)) + F.exp(-half) * total
+    else:
+        term = F.lit(1.0)
+        for k in range(df // 2):
+            total, term = total + term, term * half / float(k + 1)
+        tail = F.exp(-half) * total
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail))
 
 
 def mde(baseline: Column, control_total: Column, treatment_total: Column, *, alpha: float = 0.05, power: float = 0.8) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -210,21 +210,31 @@ def one_to_one_audit(left: DataFrame, right: DataFrame, on: Sequence[str], *, su
 
 def one_to_one_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], *, how: str = "inner", require_match: str = "both", suffixes: tuple[str, str] = ("_left", "_right")
-) -> tuple[DataFrame, dict[str, int]]:
+) -> tuple[DataFrame, Observation]:
     """An audited join: unique keys on both sides, and no row unmatched on the sides that ``require_match`` names.
 
-    Returns the rows that ``how`` asks for and the counts of unmatched rows. One join feeds both.
+    Returns the rows that ``how`` asks for and an observation, whose ``get`` has the counts of unmatched rows once the rows have been
+    read. One join and no further pass: keys are counted in the exchange that the join needs, and what breaks the contract
+    fails while the rows are read.
     """
     if how not in ("inner", "left", "right", "outer") or require_match not in ("both", "left", "right", "none"):
         raise ContractError("unknown join option")
-    validate_unique_key(left, on, "left table")
-    validate_unique_key(right, on, "right table")
-    met = one_to_one_audit(left, right, on, suffixes=suffixes).persist()
-    only_left, only_right = met.agg(F.count_if(~F.col("in_right")), F.count_if(~F.col("in_left"))).first()
-    if (require_match in ("both", "left") and only_left) or (require_match in ("both", "right") and only_right):
-        raise ContractError(f"one-to-one join leaves {only_left} left and {only_right} right rows unmatched")
+
+    def once(df: DataFrame, what: str) -> DataFrame:
+        counted = required(df, on, what).withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(*on)))
+        return insist(counted, {"duplicate_key": F.when(F.col("_copies") > 1, F.col("_copies"))}, what).drop("_copies")
+
+    met = one_to_one_audit(once(left, "left table"), once(right, "right table"), on, suffixes=suffixes)
+    rules = {}
+    if require_match in ("both", "left"):
+        rules["unmatched_left"] = (~F.col("in_right")).cast("int")
+    if require_match in ("both", "right"):
+        rules["unmatched_right"] = (~F.col("in_left")).cast("int")
+    counts = Observation()
+    met = met.observe(counts, F.count_if(~F.col("in_right")).alias("left_unmatched"), F.count_if(~F.col("in_left")).alias("right_unmatched"))
+    met = insist(met, rules, "one-to-one join") if rules else met
     keep = {"inner": F.col("in_left") & F.col("in_right"), "left": F.col("in_left"), "right": F.col("in_right"), "outer": F.lit(True)}[how]
-    return met.where(keep).drop("in_left", "in_right"), {"left_unmatched": only_left, "right_unmatched": only_right}
+    return met.where(keep).drop("in_left", "in_right"), counts
 
 
 def amplification(rows: DataFrame, joined: DataFrame, id_col: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_trials.functions import stats
+from spark_trials.operators.contracts import settled
 from spark_trials.operators.effects import sample_variance
 
 REP = ("scenario", "replication")
@@ -78,7 +79,7 @@ def replicated_policy(
     bound = _bounds(margins, alpha, comparisons)
     safe = F.coalesce(guard & (bound["upper_bound"] < bound["margin"]), F.lit(False))
     if truth is not None:
-        table = table.join(F.broadcast(truth), ["scenario", "arm"], "left")  # one row for each scenario and arm
+        table = table.join(F.broadcast(settled(truth)), ["scenario", "arm"], "left")  # a row for each scenario and arm, a thousand at most
         covers = F.coalesce(F.col("valid") & (F.col("ci_low") <= F.col("true_effect")) & (F.col("ci_high") >= F.col("true_effect")), F.lit(False))
     else:
         covers = F.lit(None).cast("boolean")
@@ -127,7 +128,7 @@ def replicated_rates(
     first, guard = F.col("outcome") == primary, F.col("outcome").isin(*margins) & (F.col("arm") == candidate)
     bound = _bounds(margins, 0.05, 12)
     covers = F.col("valid") & (F.col("ci_low") <= F.col("true_effect")) & (F.col("ci_high") >= F.col("true_effect"))
-    rows = table.where(first | guard).join(F.broadcast(truth), ["scenario", "arm"], "left").join(policy.select(*REP, "invalid"), list(REP))
+    rows = table.where(first | guard).join(F.broadcast(settled(truth)), ["scenario", "arm"], "left").join(policy.select(*REP, "invalid"), list(REP))
     metric = F.when(first, F.concat(F.lit("nominal_95_ci_coverage:"), F.col("arm").cast("string"))).otherwise(F.concat(F.lit("candidate_guardrail:"), F.col("outcome").cast("string")))
     hit = ~F.col("invalid") & F.coalesce(F.when(first, covers).otherwise(bound["upper_bound"] < bound["margin"]), F.lit(False))
     return _summary(flags.unionByName(rows.select("scenario", metric.alias("metric"), hit.alias("flag"))), ["scenario", "metric"], confidence)

@@ -438,7 +438,7 @@ def rep_family(out: str, outcome_no: int) -> str:
 R_GUARD = f"""rg0 AS (SELECT scenario, replication, outcome, arm, sum(n) AS n, sum(s) AS s FROM r WHERE outcome IN (2, 3) GROUP BY 1, 2, 3, 4),
 rg1 AS (SELECT a.scenario, a.replication, a.outcome, a.arm, a.s AS ts, a.n AS tn, h.s AS cs, h.n AS cn, CASE a.outcome WHEN 2 THEN 0.05::DOUBLE ELSE 0.03::DOUBLE END AS margin FROM rg0 a JOIN rg0 h ON a.scenario = h.scenario AND a.replication = h.replication AND a.outcome = h.outcome AND h.arm = 0 WHERE a.arm > 0),
 rg AS (SELECT *, ts / tn - cs / cn AS d, least(1.0, ts / tn - cs / cn + sqrt(pow({wil('ts', 'tn', ZG, '+')} - ts / tn, 2) + pow(cs / cn - {wil('cs', 'cn', ZG, '-')}, 2))) AS ub FROM rg1)"""
-R_TRUTH = """tr AS (SELECT a.scenario, a.arm, a.x - h.x AS true_effect FROM (SELECT scenario, arm, sum(s) / sum(n) AS x FROM r WHERE outcome = 0 GROUP BY 1, 2) a JOIN (SELECT scenario, sum(s) / sum(n) AS x FROM r WHERE outcome = 0 AND arm = 0 GROUP BY 1) h USING (scenario) WHERE a.arm > 0)"""
+R_TRUTH = """tr AS (SELECT a.scenario, a.arm, a.x - h.x AS true_effect FROM (SELECT scenario, arm, sum(s) / sum(n) AS x FROM r WHERE outcome = 0 AND replication % 2 = 1 GROUP BY 1, 2) a JOIN (SELECT scenario, sum(s) / sum(n) AS x FROM r WHERE outcome = 0 AND replication % 2 = 1 AND arm = 0 GROUP BY 1) h USING (scenario) WHERE a.arm > 0)"""
 R_POLICY = """pp AS (SELECT f.scenario, f.replication, bool_and(valid) AS v, bool_or(reject) AS any_reject, bool_or(sup) AS any_sup, bool_or(sup AND f.arm = 4) AS superior,
   bool_or(f.arm = 4 AND coalesce(valid AND lo <= true_effect AND hi >= true_effect, false)) AS covered, max(d) FILTER (WHERE f.arm = 4) AS eff FROM pf f JOIN tr USING (scenario, arm) GROUP BY 1, 2),
 pn AS (SELECT scenario, replication, bool_and(valid) AS v, bool_or(reject) AS neg FROM nf GROUP BY 1, 2),

@@ -1,4 +1,6 @@
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from spark_trials.operators import contracts as con
@@ -58,13 +60,16 @@ def test_binary(spark):
 def test_one_to_one(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     right = spark.createDataFrame([(2, "x"), (3, "y")], "k int, v string")
-    with pytest.raises(ContractError, match="1 left and 1 right"):
-        con.one_to_one_join(left, right, ["k"])
+    for require, says in (("both", "unmatched_(left|right): 1"), ("left", "unmatched_left: 1"), ("right", "unmatched_right: 1")):
+        with pytest.raises((PySparkException, Py4JJavaError), match=says):
+            con.one_to_one_join(left, right, ["k"], require_match=require)[0].collect()
     for how, n in (("inner", 1), ("left", 2), ("right", 2), ("outer", 3)):
         rows, counts = con.one_to_one_join(left, right, ["k"], how=how, require_match="none")
-        assert rows.columns == ["k", "v_left", "v_right"] and rows.count() == n and counts == {"left_unmatched": 1, "right_unmatched": 1}
-    with pytest.raises(ContractError):
-        con.one_to_one_join(left.union(left), right, ["k"], require_match="none")
+        assert rows.columns == ["k", "v_left", "v_right"] and len(rows.collect()) == n and counts.get == {"left_unmatched": 1, "right_unmatched": 1}
+    gone = right.union(spark.createDataFrame([(None, "z")], right.schema))
+    for a, b, says in ((left.union(left), right, "left table breaks its contract: duplicate_key: 2"), (left, gone, "right table breaks its contract: missing k")):
+        with pytest.raises((PySparkException, Py4JJavaError), match=says):
+            con.one_to_one_join(a, b, ["k"], require_match="none")[0].collect()
 
 
 def test_orphans_and_exposures(spark):

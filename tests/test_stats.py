@@ -59,4 +59,8 @@ def test_chi_square(spark):
     got = spark.range(1).select(stats.chi_square_tail(F.lit(9.0), 6), stats.chi_square_tail(F.lit(0.0), 6)).first()
     assert got[0] == pytest.approx(math.exp(-half) * (1 + half + half**2 / 2)) and got[1] == 1.0
     with pytest.raises(ValueError):
-        stats.chi_square_tail(F.lit(1.0), 5)
+        stats.chi_square_tail(F.lit(1.0), 0)
+    # the points that one in twenty exceeds
+    points = {1: 3.841458820694124, 2: 5.991464547107979, 3: 7.814727903251179, 5: 11.070497693516351, 6: 12.591587243743977, 9: 16.918977604620448}
+    tails = spark.range(1).select(*[stats.chi_square_tail(F.lit(x), df) for df, x in points.items()]).first()
+    assert list(tails) == pytest.approx([0.05] * len(points), abs=1e-12)
