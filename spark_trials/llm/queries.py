@@ -119,7 +119,7 @@ FROM kept k JOIN coded c ON c.r = k.r CROSS JOIN digest d
 """
 
 
-#: Ops 1 and 12 are plain enough for SQL; the others are tested against brute force.
+#: Ops 1, 11 (whose crc32 goes bit by bit) and 12 are plain enough for SQL; the others are tested against brute force.
 ORACLE_SQL = {
     "op1_url_filter": """
 WITH cut AS (
@@ -142,6 +142,40 @@ WITH cut AS (
 )
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.says, 'allow') AS verdict
 FROM parts p LEFT JOIN met m ON m.page_id = p.page_id AND m.place = 1
+""",
+    "op11_spelling": r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS r FROM documents) WHERE length(r) >= 6 GROUP BY 1, 2
+), coded AS (
+  SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+         lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes FROM runs
+), bits AS (
+  SELECT run, n, flatten(list_transform(bytes, lambda b: list_transform(range(8), lambda k: CAST((b >> k) & 1 AS BIGINT)))) AS bits FROM coded
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bits),
+         lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END), CAST(4294967295 AS BIGINT)) AS h FROM bits
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+  ) WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5
+), less AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM words, LATERAL (SELECT unnest(range(length(word))) AS i)
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS most, min(near) FILTER (WHERE n = top) AS near FROM (SELECT *, max(n) OVER (PARTITION BY word) AS top FROM pairs) GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 5 * w.n THEN b.near END AS form, CASE WHEN b.most >= 5 * w.n THEN b.most END AS form_n
+  FROM words w LEFT JOIN best b USING (word)
+), chain AS (
+  SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT c.word, c.root FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NULL
+)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e USING (word)
 """,
     "op12_vector_codes": _vector_codes_sql(),
 }

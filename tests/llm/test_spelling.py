@@ -3,9 +3,13 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 
 from spark_trials.llm import spelling as sp
+from spark_trials.llm.queries import ORACLE_SQL
+
+SAMPLE = "/root/testdata/sf0.001/documents.parquet"
 
 
 def near(a, b):
@@ -122,6 +126,12 @@ def test_long_words_and_texts(spark):
     assert [r[4] for r in want if len(r[0]) > 100] == [2, 1, 1]
 
 
+def test_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SAMPLE}'")
+    assert made(sp.variants(spark.read.parquet(SAMPLE))) == sorted(con.execute(ORACLE_SQL["op11_spelling"]).fetchall())
+
+
 def test_defined_results(docs, docs_rows, clashing, no_docs):
     want = brute([(r[0], r[1]) for r in docs_rows])
     assert made(sp.variants(docs)) == want == made(sp.variants(clashing))
