@@ -13,7 +13,8 @@ licenses, Apache and Mozilla the template is the header that files carry, and co
 Defined results: one row for each match of a row of the input whose coverage, the share of the template's words that the
 alignment matches, is ``COVERAGE`` or more. Of matches that overlap by half of the shorter one, the one that fits best
 stands for all: most words matched, then the greater coverage, then the first by place and name. Null and empty texts have none, repeated rows repeat theirs, a text of
-any length is read whole, other columns are not read, and an empty table gives an empty result.
+any length is read whole, other columns are not read, and an empty table gives an empty result. Ids are whole numbers or cast to
+them; a string that is none fails.
 """
 
 from __future__ import annotations

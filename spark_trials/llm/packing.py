@@ -13,7 +13,7 @@ all tasks, and pieces, numbered within their length by a distributed count, look
 
 Defined results: a null or empty text is the one token that ends a document. Only documents longer than the capacity are
 cut, into full pieces; the first one may be shorter. Repeated rows are packed as documents of their own. Other columns
-are not read. An empty table gives an empty result.
+are not read. An empty table gives an empty result. Ids are whole numbers or cast to them; a string that is none fails.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ seen either; a language without any takes that of all languages.
 
 Defined results: a null text is an empty one, of which the model sees the end alone. Repeated rows are scored one by one.
 Labels that conflict for an id count as the larger. Without trusted rows P is uniform and all documents are kept. An empty
-table gives an empty result; other columns are not read.
+table gives an empty result; other columns are not read. Texts of any length are read whole; ids are whole numbers or cast to
+them, and a string that is none fails.
 """
 
 from __future__ import annotations

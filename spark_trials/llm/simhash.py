@@ -18,7 +18,8 @@ meet pairwise in tasks of their own, so none grows with the cell.
 Defined results: a null text or one of blanks has no words and fingerprint zero, linked like any other; under ``width``
 words the whole sequence is the one shingle. Repeated rows share their fingerprint and class. A class is named by its
 least doc_id; null ids are passed over unless a class has no other. ``one_of_each`` goes by classes and not by their names,
-so classes without ids, or with an id in common, keep a row each. An empty table gives an empty result.
+so classes without ids, or with an id in common, keep a row each. An empty table gives an empty result. Texts of any length
+are read whole; ids are whole numbers or cast to them, and a string that is none fails.
 """
 
 from __future__ import annotations

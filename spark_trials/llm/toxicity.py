@@ -10,7 +10,9 @@ what is sent to the tasks is the lexicon of at most ``lexicon_words`` words.
 
 Defined results: a null text is an empty one; its features are zero and it gets the score they give. Labels that are null
 or conflict for one id count as the larger, missing ones as none. Without rows of both labels every score is the share of
-toxic rows (0 without any). Repeated rows get equal scores; an empty table gives an empty result.
+toxic rows (0 without any). Repeated rows get equal scores; an empty table gives an empty result. Texts of any length are read
+whole, ids are whole numbers or cast to them (a string that is none fails), and other columns are not read. ``you_a_word`` is 0
+in a text without words of the lexicon, and ``capital_words`` in one with fewer than three of A-Z.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 from spark_trials.llm.common import checkpoint, ship
 
 FIT_ROWS, LEXICON_WORDS, CUT = 40_000, 2_000, 0.7
-KEPT_WORDS, FIT_TASKS = 300_000, 6
+KEPT_WORDS, KEPT_LETTERS, FIT_TASKS = 300_000, 64, 6
 WORD = re.compile(r"[^\W_]+")
 #: Letters parted by digits or signs. Possessive, and tried only where a run of letters starts: linear in any text.
 HIDDEN = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$*#!|+]++[^\W\d_]++)++")
@@ -47,7 +49,7 @@ NAMES = ("hits_a_word", "log_hits", "weight_a_word", "strongest", "near_you", "y
 
 
 class Weights(dict):
-    """The weight of a word: its own, or that of its beginning, or 0. Words are kept as they come, up to ``KEPT_WORDS``."""
+    """The weight of a word: its own, or that of its beginning, or 0. Short words are kept as they come, up to ``KEPT_WORDS``."""
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
@@ -57,7 +59,9 @@ class Weights(dict):
         of, (long, short) = self.lexicon.get, STEMS
         if len(self) >= KEPT_WORDS:
             self.clear()
-        found = self[word] = of(word) or of(word[:long] + "*") or of(word[:short] + "*") or 0.0
+        found = of(word) or of(word[:long] + "*") or of(word[:short] + "*") or 0.0
+        if len(word) <= KEPT_LETTERS:
+            self[word] = found
         return found
 
 

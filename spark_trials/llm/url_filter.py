@@ -10,7 +10,8 @@ start so. Rules may hold ``*`` (any run of bytes) in host and path.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and no rule. Of the rules that fit, the
 longest wins (then block before allow, then code point order). A URL that no rule fits gets ``default``. Rows are kept
-one by one, so repeated rows give repeated results, an empty table an empty one, and other columns are not read.
+one by one, so repeated rows give repeated results, an empty table an empty one, and other columns are not read. URLs of any
+length are read whole.
 """
 
 from __future__ import annotations
