@@ -1,14 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences. From every sentence on, the fewest consecutive ones, ``SENTENCES`` at least, that hold ``words``
-words are a span; its hash is taken over the lower-cased words. Equal spans anywhere in the corpus are repeats. The first
+A text is cut into sentences. From every sentence on, and up to every sentence, the fewest consecutive ones, ``SENTENCES`` at
+least, that hold ``words`` words are a span; its hash is taken over the lower-cased words. Equal spans anywhere in the corpus are repeats. The first
 one, by (doc_id, text, place), stays; all sentences that any other one covers go. A sentence that goes has an equal one in
 an earlier place, so of each repeated passage one copy stays.
 
 A sentence ends after ``.``, ``!`` or ``?`` and a blank, and at a line end. One of more than ``LONG`` words, such as a
-passage that was pasted into the middle of another sentence, is cut before capitals that follow a blank as well. What a
-passage shares at its edges with the sentences around it stays: its first words up to the first border, and what follows
-the last border from which ``words`` words are left.
+passage that was pasted into the middle of another sentence, is cut into clauses: after ``,``, ``;`` or ``:`` and a blank,
+and before capitals that follow a blank. What a passage shares at its edges with the sentences around it stays: its words
+before its first border and behind its last one.
 
 Scale: a first pass counts bare hashes, with partial sums; a second one emits place and a second hash, 128 bits in all, of
 those spans only that came twice, so a passage in a third of all documents is a count, a minimum, and a join that adaptive
@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 
 from spark_trials.llm.common import SENT_ROWS, checkpoint, fresh, sent_if_small, ship
 
-WORDS, SENTENCES, LONG = 20, 2, 40
+WORDS, SENTENCES, LONG = 20, 2, 20
 BREAK = re.compile(r"\n\s*|(?<=[.!?])[^\S\n]+")
-CAPITAL = re.compile(r"[^\S\n](?=[A-ZÀ-ÖØ-Þ])")
+CLAUSE = re.compile(r"(?<=[,;:])[^\S\n]+|[^\S\n](?=[A-ZÀ-ÖØ-Þ])")
 _ODD, _SEEDS = 0x9E3779B97F4A7C15, (0, 7)
 _PLACES = 1 << 16
 
@@ -55,7 +55,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     for a, b in _cut(text, BREAK, 0, len(text)):
         # so many words have so many letters and blanks at least
         long = b - a > 2 * LONG and len(text[a:b].split()) > LONG
-        out += _cut(text, CAPITAL, a, b) if long else [(a, b)]
+        out += _cut(text, CLAUSE, a, b) if long else [(a, b)]
     return [(a, b) for a, b in out if not text[a:b].isspace()]
 
 
@@ -73,7 +73,7 @@ def _power(n: int) -> np.ndarray:
 
 
 def spans(text: str, words: int = WORDS, least: int = SENTENCES, seeds: tuple[int, ...] = (0,)) -> tuple[np.ndarray, ...]:
-    """(first sentence, number of sentences, a hash for each seed) of every span."""
+    """(first sentence, number of sentences, a hash for each seed) of every span, each place once."""
     none = np.zeros(0, np.int64)
     cut = sentences(text)
     if len(cut) < least:
@@ -82,10 +82,11 @@ def spans(text: str, words: int = WORDS, least: int = SENTENCES, seeds: tuple[in
     own = [text[a:b].lower().split() for a, b in cut]
     joined = [" ".join(w).encode("utf-8", "surrogatepass") for w in own]
     total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))])
-    first = np.arange(len(cut))
-    stop = np.maximum(np.searchsorted(total, total[:-1] + words, side="left"), first + least)
-    first = first[stop <= len(cut)]
-    stop = stop[: len(first)] if len(first) else none
+    places, size = np.arange(len(cut) + 1), len(cut) + 1
+    stop = np.maximum(np.searchsorted(total, total[:-1] + words, side="left"), places[:-1] + least)
+    first = np.minimum(np.searchsorted(total, total[1:] - words, side="right") - 1, places[1:] - least)
+    on, up_to = stop < size, first >= 0
+    first, stop = np.divmod(np.unique(np.concatenate([places[:-1][on] * size + stop[on], first[up_to] * size + places[1:][up_to]])), size)
     up, down = _power(len(cut) + 1)
     out = []
     for seed in seeds:

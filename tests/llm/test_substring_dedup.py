@@ -5,7 +5,6 @@ from llm_samples import prose
 from spark_trials.llm import substring_dedup as sub
 
 
-
 def cut(text):
     """Sentences letter by letter, without patterns: (start, end) with the blanks that follow."""
 
@@ -29,29 +28,42 @@ def cut(text):
             return run(k, hi, True)
         return run(k, hi, False) if k and text[k - 1] in ".!?" and text[k].isspace() else 0
 
-    def capital(k, lo, hi):
+    def clause(k, lo, hi):
+        if k and text[k - 1] in ",;:" and text[k].isspace() and text[k] != "\n":
+            return run(k, hi, False)
         great = k + 1 < hi and text[k + 1] != "×" and ("A" <= text[k + 1] <= "Z" or "À" <= text[k + 1] <= "Þ")
         return k + 1 if great and text[k].isspace() and text[k] != "\n" else 0
 
     out = []
     for a, b in pieces(0, len(text), ends):
-        out += pieces(a, b, capital) if len(text[a:b].split()) > sub.LONG else [(a, b)]
+        out += pieces(a, b, clause) if len(text[a:b].split()) > sub.LONG else [(a, b)]
     return [(a, b) for a, b in out if text[a:b].strip()]
 
 
+def runs(sizes, words, least):
+    """(from, to) of the shortest runs that begin, or end, at each place, by trying."""
+
+    def enough(k, j):
+        return j - k >= least and sum(sizes[k:j]) >= words
+
+    out = set()
+    for at in range(len(sizes) + 1):
+        k = j = at
+        while j < len(sizes) and not enough(at, j):
+            j += 1
+        while k > 0 and not enough(k, at):
+            k -= 1
+        out |= {(a, b) for a, b in ((at, j), (k, at)) if enough(a, b)}
+    return sorted(out)
+
+
 def plain(rows, words=sub.WORDS, least=sub.SENTENCES):
     """All runs of all texts by their words; every run but the first takes its sentences away."""
     docs = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
     seen, gone = set(), {d: set() for d in docs}
     for d in docs:
         own = [d[1][a:b].lower().split() for a, b in cut(d[1])]
-        for k in range(len(own)):
-            n, j = 0, k
-            while j < len(own) and (n < words or j - k < least):
-                n += len(own[j])
-                j += 1
-            if n < words or j - k < least:
-                continue
+        for k, j in runs([len(s) for s in own], words, least):
             run = tuple(tuple(s) for s in own[k:j])
             if run in seen:
                 gone[d] |= set(range(k, j))
@@ -68,7 +80,7 @@ def plain(rows, words=sub.WORDS, least=sub.SENTENCES):
 
 def test_sentences_against_plain_cuts():
     rng = random.Random(3)
-    bits = ["a", "B", "word", "Ärger", "×x", ".", "!", "?", "\n", " ", "  ", "\t", "\u00a0", "Öl", "e.g."]
+    bits = ["a", "B", "word", "Ärger", "×x", ".", ",", ";", ":", "!", "?", "\n", " ", "  ", "\t", "\u00a0", "Öl", "e.g."]
     for _ in range(600):
         text = "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 120)))
         assert sub.sentences(text) == cut(text), repr(text)
@@ -111,3 +123,17 @@ def test_spans_are_positions_free(no_docs):
     assert len(sub.spans("one two. " + "three " * 25, least=1)[0]) == 2 and len(sub.spans("one two. " + "three " * 25)[0]) == 1
     assert sub.dedup(no_docs).count() == 0
     assert "".join(text[x:y] for x, y in sub.sentences(text)) == text
+
+
+def test_ends_of_passages_and_clauses(spark):
+    """A passage goes whole, its last short sentence included; one that is a single long sentence goes by its clauses."""
+    rng = random.Random(5)
+    passage = f"{prose(rng, 12)} end. {prose(rng, 14)} end. {prose(rng, 6)} end."
+    long = ", ".join(prose(rng, 9).lower().replace(".", "").replace(",", "") for _ in range(7))
+    rows = [(k, f"{prose(rng, 30)} end. {passage} {prose(rng, 30)}") for k in range(3)] + [(10 + k, f"{prose(rng, 8)} and {long}, {prose(rng, 15)}") for k in range(3)]
+    got = {r["doc_id"]: r["text"] for r in sub.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [passage in got[k] for k in range(3)] == [True, False, False]
+    last = passage.split(" end. ")[2]
+    assert last in got[0] and last not in got[1] and last not in got[2]
+    inner = ", ".join(long.split(", ")[1:])
+    assert inner in got[10] and all(clause not in got[k] for k in (11, 12) for clause in inner.split(", "))
