@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spark_trials.llm.common import SENT_ROWS, checkpoint, fresh, sent_if_small, ship
+from spark_trials.llm.common import SENT_ROWS, checkpoint, fresh, ship
 
 WORDS, SENTENCES, LONG = 20, 2, 20
 BREAK = re.compile(r"\n\s*|(?<=[.!?])[^\S\n]+")
@@ -140,7 +140,7 @@ def repeated(docs: DataFrame, *, words: int = WORDS, least: int = SENTENCES, id_
     ship(docs.sparkSession)
     # Written down, the counted side has an exchange of its own, without which a join's hot span cannot be split.
     often = checkpoint(_hashes(docs, words, least, text_col).groupBy("span").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("span"))
-    again = checkpoint(_places(docs, words, least, id_col, text_col).join(sent_if_small(often, 4 * SENT_ROWS), "span"))
+    again = checkpoint(_places(docs, words, least, id_col, text_col).join(often, "span"))
     # rows that repeat an id and a text have the same places, all of them first ones
     at = F.struct("id", "text_hash", "place")
     head = checkpoint(again.groupBy("span", "second").agg(F.min(at).alias("head")))
