@@ -134,7 +134,8 @@ def _places(docs: DataFrame, words: int, least: int, id_col: str, text_col: str)
 
 
 def repeated(docs: DataFrame, *, words: int = WORDS, least: int = SENTENCES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, cuts): of each document with spans to remove, their places, packed as first * 65536 + number."""
+    """(id, text_hash, cuts): of each document with spans to remove, their places, packed as first * 65536 + number and merged
+    where they overlap or touch."""
     if max(words, least) >= _PLACES:
         raise ValueError(f"a span holds fewer than {_PLACES} words and sentences")
     ship(docs.sparkSession)
@@ -144,7 +145,16 @@ def repeated(docs: DataFrame, *, words: int = WORDS, least: int = SENTENCES, id_
     # rows that repeat an id and a text have the same places, all of them first ones
     at = F.struct("id", "text_hash", "place")
     head = checkpoint(again.groupBy("span", "second").agg(F.min(at).alias("head")))
-    return again.join(head, ["span", "second"]).where(~at.eqNullSafe(F.col("head"))).groupBy("id", "text_hash").agg(F.collect_set("place").alias("cuts"))
+    gone = again.join(head, ["span", "second"]).where(~at.eqNullSafe(F.col("head"))).groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("c"))
+    return gone.select("id", "text_hash", F.expr(_MERGED).alias("cuts"))
+
+
+#: Sorted places ``c`` as the fewest that cover the same sentences: those that overlap or touch are one.
+_MERGED = """aggregate(c, named_struct('done', cast(array() as array<bigint>), 'at', c[0] div 65536L, 'to', c[0] div 65536L),
+  (m, x) -> if(x div 65536L <= m.to and x div 65536L + x % 65536L - m.at < 65536L,
+    named_struct('done', m.done, 'at', m.at, 'to', greatest(m.to, x div 65536L + x % 65536L)),
+    named_struct('done', concat(m.done, array(m.at * 65536L + m.to - m.at)), 'at', x div 65536L, 'to', x div 65536L + x % 65536L)),
+  m -> concat(m.done, array(m.at * 65536L + m.to - m.at)))"""
 
 
 def clean(text: str, cuts: np.ndarray) -> tuple[str, int, int]:

@@ -137,3 +137,11 @@ def test_ends_of_passages_and_clauses(spark):
     assert last in got[0] and last not in got[1] and last not in got[2]
     inner = ", ".join(long.split(", ")[1:])
     assert inner in got[10] and all(clause not in got[k] for k in (11, 12) for clause in inner.split(", "))
+
+
+def test_places_are_merged(spark):
+    """A copy of a whole document is one place, not one for each of its spans."""
+    rng = random.Random(6)
+    text = " ".join(f"{prose(rng, 11)} end." for _ in range(40))
+    rows = sub.repeated(spark.createDataFrame([(1, text), (2, f"{text} "), (3, prose(rng, 90))], "doc_id long, text string")).collect()
+    assert [(r["id"], r["cuts"]) for r in rows] == [(2, [len(sub.sentences(text))])]
