@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spark_trials.functions.stats import wilson, z_two_sided
 from spark_trials.operators.contracts import FIRST_INSTANT, ContractError, count_rules, exposure_rules, insist, require_columns, require_instants, require_none, required, settled
-from spark_trials.operators.units import HOT_ROWS, apart, hot_ids, narrow_units, per_unit
+from spark_trials.operators.units import HOT_ROWS, apart, hot_ids, narrow_units
 
 
 def funnel_membership(
@@ -19,10 +19,11 @@ def funnel_membership(
 ) -> DataFrame:
     """Each member with ``<stage>_at`` and ``<stage>_reached``: the first time of a stage strictly after the one before.
 
-    A stage is a round: its events meet the member's entry and the time of the stage before, and the least time after it is
-    kept, a minimum with partial sums and no window or list. Rounds share the partitioning by id, so each stage's events
-    move once and members once. Ids of very many events (``units.hot_ids``) have rounds of their own, in which their few times go
-    to the events and the events stay where they are.
+    A stage is a round: its events, with a row for each member beside them, meet the members' entry and earlier stages, and the
+    least time after those is kept, a minimum with partial sums and no window or list. A round is one join and one aggregate in
+    the order of that join, and its result is the next one's table of members, so a task sorts each stage's events once and holds
+    no table of ids; what it holds does not grow with the square of the stages. Ids of very many events (``units.hot_ids``) have
+    rounds of their own, in which their few times go to the events and the events stay where they are.
 
     With ``day_gap`` a stage must fall that many calendar days after the one before. Members without events are kept; without a
     cohort, members are the ids of stage events. With one, its ids must be there and differ, and stage events of unknown ids
@@ -51,20 +52,27 @@ def funnel_membership(
         apart_ = F.col("_t") > F.col("_last") if day_gap is None else F.to_date("_t") >= F.date_add(F.to_date("_last"), day_gap)
         return late & apart_
 
-    (some, many), (of_some, of_many) = apart(work, id_col, hot), apart(units, id_col, hot)
-    out, last = base, None
+    (some, many), (of_some, of_many), (members, of_hot) = apart(work, id_col, hot), apart(units, id_col, hot), apart(base, id_col, hot)
+    own = F.struct(*[F.col(f"`{c}`") for c in base.columns])
+    state, done = of_some, []
     for k, stage in enumerate(stages):
-        state = of_some if last is None else of_some.join(last.select(id_col, F.col(f"{stages[k - 1]}_at").alias("_last")), id_col, "left")
-        own = some.where(F.col("_e") == stage).select(id_col, "_t")
-        last = per_unit(own, state, id_col, {f"{stage}_at": F.min(F.when(after(k), F.col("_t")))}, fail_on_orphans=known)
-        found = last
-        if many is not None:
+        rows, beside = some.where(F.col("_e") == stage).select(id_col, "_t"), members.select(id_col, F.lit(None).cast("timestamp").alias("_t"))
+        rows = required(rows, [id_col], "event table") if known else rows
+        if k == 0:  # later rounds have the member's own columns from the one before
+            rows, beside = rows.withColumn("_own", F.lit(None)), members.select(id_col, F.lit(None).cast("timestamp").alias("_t"), own.alias("_own"))
+        met = rows.unionByName(beside).join(state.withColumn("_known", F.lit(True)), id_col, "left" if known else "inner")
+        before = [F.min(c).alias(c) for c in ("_entry", *done)]
+        at = f"{stage}_at"
+        state = met.groupBy(id_col).agg(*before, F.first("_own", ignorenulls=True).alias("_own"), F.min(F.when(after(k), F.col("_t"))).alias(at), F.count_if(F.col("_known").isNull()).alias("_lost"))
+        # the member's own row is read whatever is asked of the result, so that the aggregate is one in the order of the join
+        rules = {"rows_of_unknown_participants": F.col("_lost"), "member_without_entry": F.col("_entry").isNull(), "member_without_row": F.col("_own").isNull()}
+        done.append(at)
+        state = insist(state, rules, "event table").drop("_lost").withColumn("_last", F.col(at))
+    out = state.select("_own.*", *done)
+    if many is not None:
+        for k, stage in enumerate(stages):
             of_many = settled_rounds(many.where(F.col("_e") == stage), of_many, id_col, after(k), f"{stage}_at")
-            found = last.unionByName(of_many.select(id_col, f"{stage}_at"))
-        out = out.join(found, id_col, "left")
-    if cohort is not None:
-        # a row for every unit, so that a repeated id is found with or without events; a join of which nothing is read would go
-        out = insist(out.join(units, id_col, "left"), {"member_without_entry": F.col("_entry").isNull()}, "cohort")
+        out = out.unionByName(of_hot.join(F.broadcast(of_many.select(id_col, *done)), id_col).select(*base.columns, *done))
     out = out.withColumns({f"{s}_reached": F.col(f"{s}_at").isNotNull() for s in stages})
     return out.select(*base.columns, *[c for s in stages for c in (f"{s}_at", f"{s}_reached")])
 
