@@ -113,8 +113,9 @@ def c_unbalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks(people, ["_all"], F.sha2(F.concat(F.lit("srm|"), "participant_id"), 256), prefix=3).withColumn("arm", arm_of(F.col("_rank")))
 
 
-def c_events(spark: SparkSession, sf_dir: str, ledger: DataFrame) -> DataFrame:
-    """Order events with two clocks, as dirty as they come."""
+def _c_rows(spark: SparkSession, sf_dir: str, ledger: DataFrame) -> DataFrame:
+    """C's events with their unit's ``assigned_at``. The join is one of both sides by id at every size, so that what follows, the
+    search for repeats and all that is asked by unit, finds the events where they are."""
     urgent = F.col("o_orderpriority") == "1-URGENT"
     kind = (
         F.when(F.col("o_orderstatus") == "F", "funded").when((F.col("o_orderstatus") == "O") & urgent, "unsubscribed")
@@ -125,28 +126,34 @@ def c_events(spark: SparkSession, sf_dir: str, ledger: DataFrame) -> DataFrame:
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("event_id"), _person("o_custkey").alias("participant_id"), kind.alias("event_type"), at.alias("event_at"),
         (at + F.make_dt_interval(hours=(F.col("o_orderkey") % 36).cast("int"))).alias("available_at"), "o_orderkey",
     )
-    met = orders.join(ledger.select("participant_id", "arm", "content", "cadence"), "participant_id")
+    met = orders.join(ledger.select("participant_id", "arm", "content", "cadence", "assigned_at").hint("merge"), "participant_id")
     delivered, held = F.col("event_type") == "delivered", F.col("arm") == HOLDOUT
     met = met.where(~(delivered & held) | (F.col("o_orderkey") % 40 == 0))
     content = F.when(held, CONTENTS[0]).when(F.col("o_orderkey") % 50 == 0, "challenger_b").otherwise(F.col("content"))
     return met.select(
         "event_id", "participant_id", "event_type", "event_at", "available_at",
         F.when(delivered, content).alias("delivered_content"), F.when(delivered, F.when(held, CADENCES[0]).otherwise(F.col("cadence"))).alias("delivered_cadence"),
+        "assigned_at",
     )
 
 
+def c_events(spark: SparkSession, sf_dir: str, ledger: DataFrame) -> DataFrame:
+    """Order events with two clocks, as dirty as they come."""
+    return _c_rows(spark, sf_dir, ledger).drop("assigned_at")
+
+
 def c_clean_events(spark: SparkSession, sf_dir: str, ledger: DataFrame) -> DataFrame:
     """C's events without early outcomes, late rows, mistimed pre-period rows and repeats."""
-    events = c_events(spark, sf_dir, ledger)
-    e = events.join(ledger.select("participant_id", "assigned_at"), "participant_id")
+    e = _c_rows(spark, sf_dir, ledger)
+    columns = [c for c in e.columns if c != "assigned_at"]
     before = F.col("event_at") < F.col("assigned_at")
     pre = F.col("event_type") == "pre_period_engaged"
     late = ~before & (F.col("event_at") < F.col("assigned_at") + F.lit(C_FOLLOWUP)) & (F.col("available_at") > instant(C_FREEZE))
     bad = (F.col("event_type").isin(*OUTCOMES.values()) & before) | late | (pre & (~before | (F.col("available_at") > F.col("assigned_at"))))
-    kept = e.where(~bad).select(*events.columns)
-    payload = [c for c in events.columns if c not in ("event_id", "available_at")]
+    kept = e.where(~bad).select(*columns)
+    payload = [c for c in columns if c not in ("event_id", "available_at")]
     once = kept.groupBy(*payload).agg(F.min(F.struct("event_id", "available_at")).alias("_first"))
-    return once.select(*payload, "_first.*").select(*events.columns)
+    return once.select(*payload, "_first.*").select(*columns)
 
 
 def r_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

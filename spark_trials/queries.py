@@ -83,7 +83,8 @@ def a_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 @part
 def c_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return ad.c_ledger(spark, d)
+    """The ledger, kept by id in as many parts as its size asks for; the ranks leave it in as many as a shuffle may have."""
+    return ad.c_ledger(spark, d).repartition("participant_id")
 
 
 @part
